@@ -1 +1,92 @@
+"""Fits on a table with one row per customer. Trainers differ, so these have no SQL; tests check their invariants."""
+
+from pyspark.sql import functions as F
+
+from featforge.operators import models as L
+from featforge.operators.sampling import train_test_split
+from featforge.plans.keys import key, table
+
+_SMALL = {"maxIter": 5, "maxDepth": 3}
+FEATURES = ["n_orders", "mean_price", "max_price", "finished_share", "urgent_share", "lines", "returned_share", "c_mktsegment"]
+
+
+def matrix(spark, sf_dir):
+    """Customers with features of their orders and lines; the label tells who has a negative balance."""
+    per_order = table(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag").groupBy(
+        F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.count(F.lit(1)).alias("_lines"), F.count_if(F.col("l_returnflag") == "R").alias("_returned"))
+    orders = table(spark, sf_dir, "orders").join(per_order, "o_orderkey", "left")
+    per_customer = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).alias("n_orders"), F.avg("o_totalprice").alias("mean_price"), F.max("o_totalprice").alias("max_price"),
+        F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("finished_share"),
+        F.avg((F.col("o_orderpriority") == "1-URGENT").cast("int")).alias("urgent_share"),
+        F.sum("_lines").alias("lines"), F.try_divide(F.sum("_returned"), F.sum("_lines")).alias("returned_share"))
+    customers = table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_mktsegment", (F.col("c_acctbal") < 0).cast("int").alias("target"))
+    return customers.join(per_customer, "c_custkey", "left")
+
+
+@key("tree_importance")
+def tree_importance(spark, sf_dir):
+    return L.tree_importance(matrix(spark, sf_dir), FEATURES, "target", "c_custkey", _SMALL)
+
+
+@key("null_importance")
+def null_importance(spark, sf_dir):
+    return L.null_importance(matrix(spark, sf_dir), FEATURES, "target", "c_custkey", 3, _SMALL)
+
+
+@key("forward_select")
+def forward_select(spark, sf_dir):
+    kept = L.forward_select(matrix(spark, sf_dir), ["n_orders", "mean_price", "max_price", "returned_share"], "target",
+                            "c_custkey", family="tree_gini", params={"maxDepth": 4})
+    return spark.createDataFrame(kept, "feature string, auc double")
+
+
+@key("fit_gbt")
+def fit_gbt(spark, sf_dir):
+    model = L.fit(matrix(spark, sf_dir), FEATURES, "target", "c_custkey", _SMALL, validation_fraction=0.2)
+    return model.top_features(10)
+
+
+@key("compare_models")
+def compare_models(spark, sf_dir):
+    train, test = train_test_split(matrix(spark, sf_dir), 0.2, "c_custkey", stratify="target")
+    return L.compare_models(train, test, FEATURES, "target", "c_custkey", {
+        "gbt": ("gbt", _SMALL), "random_forest": ("random_forest", {"numTrees": 10}), "tree_gini": ("tree_gini", {}),
+        "tree_entropy": ("tree_entropy", {}), "logistic": ("logistic", {"maxIter": 10})})
+
+
+@key("oof_predictions")
+def oof_predictions(spark, sf_dir):
+    return L.cross_val_predict(matrix(spark, sf_dir), FEATURES, "target", "c_custkey", 3, _SMALL)[0]
+
+
+@key("batch_score")
+def batch_score(spark, sf_dir):
+    data = matrix(spark, sf_dir)
+    model = L.fit(data, FEATURES, "target", "c_custkey", {"numTrees": 10}, "random_forest")
+    return model.score(data, ["c_custkey"])
+
+
+@key("param_search")
+def param_search(spark, sf_dir):
+    space = {"maxDepth": ("int", 2, 5), "subsamplingRate": ("float", 0.5, 1.0), "stepSize": ("log", 0.05, 0.5)}
+    return L.search(matrix(spark, sf_dir), FEATURES, "target", "c_custkey", space, n_trials=2, k=3, fixed={"maxIter": 3})
+
+
+@key("blend_mean", """
+select o_custkey as c_custkey, round((a + b) / 2, 9) as probability
+from (select o_custkey, avg((o_orderstatus = 'F')::int) as a, avg((o_orderstatus = 'O')::int) as b from orders group by 1)""")
+def blend_mean(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    parts = [orders.groupBy("c_custkey").agg(F.avg((F.col("o_orderstatus") == s).cast("int")).alias("probability")) for s in "FO"]
+    return L.blend(parts, "c_custkey").select("c_custkey", F.round("probability", 9).alias("probability"))
+
+
+@key("select_and_evaluate")
+def select_and_evaluate(spark, sf_dir):
+    from featforge.plans.workflows import select_and_evaluate as job
+    return job(matrix(spark, sf_dir), FEATURES, "target", "c_custkey", n_runs=2, k=3, params=_SMALL)
+
 

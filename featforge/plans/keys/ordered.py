@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from featforge.operators import ordered as W
 from featforge.operators.selection import value_at_rank
-from featforge.plans.keys import key, rounded, table
+from featforge.plans.keys import NUDGE, key, rounded, table
 
 _EVENTS = "(select event_id, user_id, ts, case when event_type <> 'error' then value end as value from events)"
 
@@ -30,10 +30,10 @@ def win_cum_sum(spark, sf_dir):
 
 
 @key("win_cum_mean", f"""
-select event_id, case when value is not null then round(avg(value) over (partition by user_id order by ts), 7) end as "CUM_MEAN(value)"
+select event_id, case when value is not null then round((avg(value) over (partition by user_id order by ts)) * {NUDGE}, 7) end as "CUM_MEAN(value)"
 from {_EVENTS}""")
 def win_cum_mean(spark, sf_dir):
-    return rounded(W.cum_mean(_events(spark, sf_dir), ["value"], ["ts"], by=["user_id"]).select("event_id", "`CUM_MEAN(value)`"), 7)
+    return rounded(W.cum_mean(_events(spark, sf_dir), ["value"], ["ts"], by=["user_id"]).select("event_id", "`CUM_MEAN(value)`"), 7, nudge=True)
 
 
 @key("win_percentile", f"""

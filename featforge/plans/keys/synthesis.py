@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from featforge.operators import synthesis as D
-from featforge.plans.keys import key, rounded, table
+from featforge.plans.keys import NUDGE, key, rounded, table
 
 _ORDER_NUMBERS = ("o_totalprice",)
 _LINE_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount")
@@ -48,20 +48,16 @@ def _digits(name):
 
 def _typed(name, expression):
     integral = name in ("SUM(orders.COUNT(lineitem))", "MAX(orders.COUNT(lineitem))", "MIN(orders.COUNT(lineitem))")
-    return f'({expression})::bigint as "{name}"' if integral else f'round({expression}, {_digits(name)}) as "{name}"'
+    return f'({expression})::bigint as "{name}"' if integral else f'round({expression} * {NUDGE}, {_digits(name)}) as "{name}"'
 
 
 _DEPTH2 = ("select o_custkey, count(*) as \"COUNT(orders)\", " + ", ".join(_typed(n, e) for n, e in _ORDER_FEATURES)
            + f" from ({_ORDERS}) group by 1")
 
 
-def _nudged(df):
+def _checked(df):
     """Round per feature: sums of prices have large values and standard deviations lose more digits."""
-    from pyspark.sql import types as T
-    return df.select(*[
-        (F.round(F.col(f"`{f.name}`"), _digits(f.name)) + 0.0).alias(f.name)
-        if isinstance(f.dataType, T.DoubleType) and f.name != "c_acctbal" else F.col(f"`{f.name}`")
-        for f in df.schema.fields])
+    return rounded(df, {c: _digits(c) for c in df.columns if c != "c_acctbal"}, nudge=True)
 
 
 @key("dfs_depth1", "select c_custkey, c_acctbal, coalesce(\"COUNT(orders)\", 0)::bigint as \"COUNT(orders)\", "
@@ -70,14 +66,14 @@ def _nudged(df):
      + ", ".join(_typed(n, e) for n, e in _columns("orders", _ORDER_NUMBERS))
      + " from orders group by 1) on c_custkey = o_custkey")
 def dfs_depth1(spark, sf_dir):
-    return _nudged(D.dfs(entity_set(spark, sf_dir, with_lines=False), max_depth=1))
+    return _checked(D.dfs(entity_set(spark, sf_dir, with_lines=False), max_depth=1))
 
 
 @key("dfs_depth2", "select c_custkey, c_acctbal, coalesce(\"COUNT(orders)\", 0)::bigint as \"COUNT(orders)\", "
      + ", ".join(f'"{n}"' for n, _ in _ORDER_FEATURES)
      + f" from customer left join ({_DEPTH2}) on c_custkey = o_custkey")
 def dfs_depth2(spark, sf_dir):
-    return _nudged(D.dfs(entity_set(spark, sf_dir), max_depth=2))
+    return _checked(D.dfs(entity_set(spark, sf_dir), max_depth=2))
 
 
 @key("entity_check", """
@@ -99,16 +95,16 @@ def dfs_defs(spark, sf_dir):
     return defs.join(filled, defs["name"] == filled["column"]).drop("column")
 
 
-@key("dfs_transforms", """
+@key("dfs_transforms", f"""
 with f as (select c_custkey, c_acctbal, count(o_orderkey) as n, max(o_totalprice) as v
            from customer left join orders on c_custkey = o_custkey group by 1, 2)
-select c_custkey, n::bigint as "COUNT(orders)", round(v, 4) as "MAX(orders.o_totalprice)",
+select c_custkey, n::bigint as "COUNT(orders)", round(v * {NUDGE}, 4) as "MAX(orders.o_totalprice)",
        (n - lag(n) over w)::bigint as "DIFF(COUNT(orders))",
-       round(v - lag(v) over w, 4) as "DIFF(MAX(orders.o_totalprice))",
+       round((v - lag(v) over w) * {NUDGE}, 4) as "DIFF(MAX(orders.o_totalprice))",
        (sum(n) over w)::bigint as "CUM_SUM(COUNT(orders))",
-       case when v is not null then round(sum(v) over w, 2) end as "CUM_SUM(MAX(orders.o_totalprice))",
+       case when v is not null then round((sum(v) over w) * {NUDGE}, 2) end as "CUM_SUM(MAX(orders.o_totalprice))",
        round(sum(n) over w / count(*) over w::double, 9) as "CUM_MEAN(COUNT(orders))",
-       case when v is not null then round(avg(v) over w, 4) end as "CUM_MEAN(MAX(orders.o_totalprice))",
+       case when v is not null then round((avg(v) over w) * {NUDGE}, 4) end as "CUM_MEAN(MAX(orders.o_totalprice))",
        round((rank() over (order by n) + (count(*) over (partition by n) - 1) / 2.0::double) / count(*) over (), 9)
            as "PERCENTILE(COUNT(orders))",
        round((rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0::double) / count(*) over (), 9)
@@ -117,10 +113,9 @@ from f window w as (order by c_custkey)""")
 def dfs_transforms(spark, sf_dir):
     es = entity_set(spark, sf_dir, with_lines=False)
     out = D.dfs(es, agg=["count", "max"], max_depth=1, trans=D.TRANSFORMS).drop("c_acctbal")
-    digits = {"CUM_SUM(MAX(orders.o_totalprice))": 2, "CUM_MEAN(MAX(orders.o_totalprice))": 4,
-              "DIFF(MAX(orders.o_totalprice))": 4}
-    return rounded(out.select(*[F.round(F.col(f"`{c}`"), digits[c]).alias(c) if c in digits else F.col(f"`{c}`")
-                                for c in out.columns]), 9)
+    prices = rounded(out, {"CUM_SUM(MAX(orders.o_totalprice))": 2, "CUM_MEAN(MAX(orders.o_totalprice))": 4,
+                           "DIFF(MAX(orders.o_totalprice))": 4, "MAX(orders.o_totalprice)": 4}, nudge=True)
+    return rounded(prices, 9)
 
 
 @key("dfs_where", "select c_custkey, c_acctbal, coalesce(n, 0)::bigint as \"COUNT(orders)\", round(s, 2) as \"SUM(orders.o_totalprice)\", "
@@ -168,10 +163,10 @@ def expand_nonlinear(spark, sf_dir):
 
 @key("l1_select")
 def l1_select(spark, sf_dir):
-    """Rows per feature that an L1-penalised model keeps when it tells large orders from small ones."""
+    """Values per feature that an L1-penalised model keeps when it tells generous lines from others."""
     from featforge.operators.profile import per_column
-    df = table(spark, sf_dir, "lineitem", "l_quantity", "l_discount", "l_tax", "l_extendedprice").withColumn(
-        "label", (F.col("l_extendedprice") > 40000).cast("int")).drop("l_extendedprice")
+    df = table(spark, sf_dir, "lineitem", "l_quantity", "l_discount", "l_tax").withColumn(
+        "label", (F.col("l_discount") > F.col("l_tax")).cast("int"))
     wide = D.expand_nonlinear(df, ["l_quantity", "l_discount", "l_tax"])
     names = D.l1_select(wide, [c for c in wide.columns if c != "label"], "label")
     return per_column(wide, names, {"n_values": lambda c: F.count(F.col(f"`{c}`"))})
