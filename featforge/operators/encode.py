@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from featforge.functions.numeric import as_column, col
+from featforge.operators.ordered import add_row_index
 from featforge.operators.quantiles import unpivot
 from featforge.operators.rows import string_columns
 
@@ -32,7 +34,10 @@ def categories(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIE
 
 @dataclass(frozen=True)
 class OneHot:
-    """Fitted categories; ``transform`` adds 0/1 columns ``<prefix>_<value>`` in place of the source columns."""
+    """Fitted categories; ``transform`` adds 0/1 columns ``<prefix>_<value>`` in place of the source columns.
+
+    The prefix is the column name unless given; an empty prefix leaves the plain value as the name.
+    """
 
     values: Mapping[str, Sequence[str]]
     null_category: bool = True
@@ -44,10 +49,11 @@ class OneHot:
         out: dict[str, Column] = {}
         for c, values in self.values.items():
             prefix = (self.prefixes or {}).get(c, c)
+            name = lambda v, prefix=prefix: f"{prefix}_{v}" if prefix else str(v)
             for v in list(values)[1 if self.drop_first else 0:]:
-                out[f"{prefix}_{v}"] = col(c).eqNullSafe(F.lit(v)).cast("int")
+                out[name(v)] = col(c).eqNullSafe(F.lit(v)).cast("int")
             if self.null_category:
-                out[f"{prefix}_nan"] = col(c).isNull().cast("int")
+                out[name("nan")] = col(c).isNull().cast("int")
         return out
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -68,27 +74,30 @@ def one_hot(df: DataFrame, cols: Sequence[str] | None = None, null_category: boo
     return model.transform(df), list(model.new_columns())
 
 
-def _numbered(distinct: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Codes 0.. over a table of distinct values: at most MAX_CATEGORIES rows, checked before the single window."""
-    size = distinct.limit(MAX_CATEGORIES + 1).count()
-    if size > MAX_CATEGORIES:
-        from featforge.operators.ordered import add_row_index
-        return add_row_index(distinct, order, "_row").withColumn("code", (F.col("_row") - 1).cast("int"))
-    window = Window.partitionBy(F.lit(0)).orderBy(*[col(o) for o in order])
-    return distinct.withColumn("code", (F.row_number().over(window) - 1).cast("int"))
+def _numbered(distinct: DataFrame, order: str) -> DataFrame:
+    """``(value, code)`` with codes 0.. over a table of distinct values.
+
+    Up to MAX_CATEGORIES values are listed in order, which stops early on larger tables; those are numbered with the
+    distributed row index instead.
+    """
+    first = distinct.orderBy(order).limit(MAX_CATEGORIES + 1).select("value").collect()
+    if len(first) > MAX_CATEGORIES:
+        return add_row_index(distinct, [order], "_row").select("value", (F.col("_row") - 1).cast("int").alias("code"))
+    schema = T.StructType([distinct.schema["value"], T.StructField("code", T.IntegerType())])
+    return distinct.sparkSession.createDataFrame([(r["value"], i) for i, r in enumerate(first)], schema)
 
 
 def factorize_map(df: DataFrame, column: str, order_by: Sequence[Column | str]) -> DataFrame:
     """``(value, code)``: codes by first appearance in the given order."""
     first = F.min(F.struct(*[as_column(o).alias(f"o{i}") for i, o in enumerate(order_by)])).alias("_first")
     distinct = df.where(col(column).isNotNull()).groupBy(col(column).alias("value")).agg(first)
-    return _numbered(distinct, ["_first"]).select("value", "code")
+    return _numbered(distinct, "_first")
 
 
 def ordinal_map(df: DataFrame, column: str, null_text: str = "Unknown") -> DataFrame:
     """``(value, code)``: codes in lexicographic order, nulls counted as ``null_text``."""
     distinct = df.select(F.coalesce(col(column), F.lit(null_text)).alias("value")).distinct()
-    return _numbered(distinct, ["value"]).select("value", "code")
+    return _numbered(distinct, "value")
 
 
 def apply_codes(df: DataFrame, column: str, codes: DataFrame, name: str | None = None,

@@ -33,7 +33,7 @@ def compare(df, con, sql: str) -> list[str]:
     mine, theirs = df.toArrow(), con.execute(sql).to_arrow_table()
     a, b = sorted(mine.column_names), sorted(theirs.column_names)
     if a != b:
-        return [f"columns {a} vs {b}"]
+        return [f"columns only in the query {sorted(set(a) - set(b))}, only in the SQL {sorted(set(b) - set(a))}"]
     out = []
     for n in a:
         x, y = _kind(mine.schema.field(n).type), _kind(theirs.schema.field(n).type)
@@ -47,7 +47,8 @@ def compare(df, con, sql: str) -> list[str]:
     bad = [(l, r) for l, r in zip(left, right) if l != r and not all(
         u == v or (isinstance(u, float) and isinstance(v, float) and math.isnan(u) and math.isnan(v)) for u, v in zip(l, r))]
     if bad:
-        out.append(f"{len(bad)} of {len(left)} rows differ, first: {dict(zip(a, bad[0][0]))} vs {dict(zip(a, bad[0][1]))}")
+        out.append(f"{len(bad)} of {len(left)} rows differ, first: "
+                   + str({n: (u, v) for n, u, v in zip(a, *bad[0]) if u != v or len(a) < 8}))
     return out
 
 
