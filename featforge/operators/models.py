@@ -156,7 +156,7 @@ def assemble(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[
     """Labelled rows with ``features``, materialised for repeated passes."""
     known = df.where(col(label).isNotNull())
     prep = preprocessor or Preprocessor().fit(known, features)
-    return cut_lineage(prep.transform(known, [*keep, label])), prep
+    return cut_lineage(prep.transform(known, [*keep, label]), spread=True), prep
 
 
 def fit(df: DataFrame, features: Sequence[str], label: str, key, params: Mapping | None = None, family: str = "gbt",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from featforge.functions.aggregates import safe_corr
 from featforge.functions.numeric import col, is_infinite
-from featforge.operators.quantiles import most_frequent, quantiles, unpivot, value_table
+from featforge.operators.quantiles import most_frequent, quantile_columns, unpivot, value_table
 from featforge.operators.rollup import unpivot_stats
 from featforge.operators.rows import floating_columns, split_columns, string_columns
 
@@ -62,18 +62,13 @@ def column_info(df: DataFrame, approx: bool = False) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std, min, quartiles, max per numeric column."""
     columns = split_columns(df)[0] if columns is None else list(columns)
-    q = quantiles(df, columns, [0.25, 0.5, 0.75])
-    wide = q.groupBy("column").agg(*[
-        F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n)
-        for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
+    wide = quantile_columns(df, columns, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     return (unpivot_stats(df, columns).join(wide, "column", "left")
             .select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
 
 
 def box_stats(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
-    q = quantiles(df, columns, [0.0, 0.25, 0.5, 0.75, 1.0], accuracy)
-    names = ((0.0, "low"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1.0, "high"))
-    return q.groupBy("column").agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in names])
+    return quantile_columns(df, columns, {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}, accuracy)
 
 
 def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -82,7 +77,7 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     floats = set(floating_columns(df))
     infinities = per_column(df, columns, {
         "infinity_count": lambda c: F.count_if(is_infinite(c)) if c in floats else F.lit(0).cast("long")})
-    medians = quantiles(df, columns, [0.5]).select("column", F.col("quantile").alias("median"))
+    medians = quantile_columns(df, columns, {"median": 0.5})
     return (unpivot_stats(df, columns).join(infinities, "column").join(medians, "column", "left")
             .select("column", "mean", "median", "std", "min", "max", "missing",
                     percent(F.col("missing"), F.col("missing") + F.col("count")).alias("missing_pct"),
@@ -92,11 +87,9 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 def profile_categorical(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Distinct values, missing count and percent, most common value and its count per non-numeric column."""
     columns = split_columns(df)[1] if columns is None else list(columns)
-    values = value_table(df, columns, "string")
-    counts = values.groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"))
     base = per_column(df, columns, {"missing": null_count, "_n": row_count})
-    return (base.join(counts, "column", "left").join(most_frequent(values), "column", "left")
-            .select("column", F.coalesce("unique_values", F.lit(0)).alias("unique_values"), "missing",
+    return (base.join(most_frequent(value_table(df, columns, "string")), "column", "left")
+            .select("column", F.coalesce("n_distinct", F.lit(0)).alias("unique_values"), "missing",
                     percent(F.col("missing"), F.col("_n")).alias("missing_pct"),
                     F.col("mode").alias("most_common"), F.col("mode_count").alias("most_common_count")))
 

@@ -1,18 +1,25 @@
-"""Exact quantiles and modes of whole columns.
+"""Exact quantiles, value counts and modes of whole columns.
 
-Spark's own ``percentile`` keeps every distinct value of a group in one task. Here values are counted first and
-ranked with the distributed running sum, so no task holds a column.
+Spark's own ``percentile`` keeps every distinct value of a group in one task. Exact quantiles are found here by
+selection instead: a quantile sketch brackets each wanted rank, a counting pass tells how many values lie below and
+inside the bracket, and the bracket shrinks by a factor of thousands per round until its values can be listed. Each
+pass is a global aggregate without a shuffle of rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featforge.functions.numeric import col
-from featforge.operators.ordered import OrderedTable
+
+_ACCURACY = 10_000      # rank error of one sketch: 1 / accuracy of the rows it saw
+_LISTED = 50_000        # values of one bracket that may be listed on the driver
+_COLUMNS_PER_JOB = 40   # a job reads only its own columns, so more columns mean more jobs, not more input
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], cast: str = "double", keep: Sequence[str] = ()) -> DataFrame:
@@ -28,56 +35,179 @@ def value_table(df: DataFrame, columns: Sequence[str], cast: str = "double") ->
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
-def quantiles_of_values(values: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """Quantiles with linear interpolation of a value table, as ``(column, prob, quantile)``."""
-    ranked = OrderedTable(values, ["value"], by=["column"]).running(sums={"upto": "n"})
-    totals = ranked.groupBy("column").agg(F.max("upto").alias("total"))  # one row per column
-    position = F.col("prob") * (F.col("total") - 1)
-    low, high = F.floor(position), F.ceil(position)
-    covers = lambda rank: (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
-    hits = (ranked.join(F.broadcast(totals), "column")
-            .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-            .where(covers(low) | covers(high))
-            .groupBy("column", "prob").agg(
-                F.max(F.when(covers(low), F.col("value"))).alias("_low"),
-                F.max(F.when(covers(high), F.col("value"))).alias("_high"),
-                F.max(position - low).alias("_part")))
-    return hits.select("column", "prob",
-                       (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("quantile"))
+@dataclass
+class _Bracket:
+    """Values ``low..high`` known to hold the wanted 0-based rank; ``below`` counts the values under ``low``."""
+
+    column: str
+    rank: int
+    low: float
+    high: float
+    below: int
+    inside: int
+
+    def holds(self):
+        return col(self.column).cast("double").between(F.lit(self.low), F.lit(self.high))
+
+
+def _aggregate(df: DataFrame, exprs: list) -> tuple:
+    return df.agg(*[e.alias(f"a{i}") for i, e in enumerate(exprs)]).first()
+
+
+def _count(df: DataFrame, brackets: list[_Bracket]) -> None:
+    """Exact numbers of values below and inside each bracket."""
+    exprs = []
+    for b in brackets:
+        v = col(b.column).cast("double")
+        exprs += [F.count_if(v < b.low), F.count_if(v <= b.high)]
+    row = _aggregate(df, exprs)
+    for i, b in enumerate(brackets):
+        b.below, b.inside = row[2 * i], row[2 * i + 1] - row[2 * i]
+
+
+def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
+    """Shrink each bracket around its rank with a sketch of the values inside it."""
+    margin = 2.0 / _ACCURACY
+    exprs = []
+    for b in brackets:
+        q = (b.rank - b.below) / max(b.inside - 1, 1)
+        exprs.append(F.percentile_approx(F.when(b.holds(), col(b.column).cast("double")),
+                                         [max(q - margin, 0.0), min(q + margin, 1.0)], _ACCURACY))
+    row = _aggregate(df, exprs)
+    old = [(b.low, b.high) for b in brackets]
+    for i, b in enumerate(brackets):
+        b.low, b.high = row[i]
+    _count(df, brackets)
+    for b, (low, high) in zip(brackets, old):
+        # A sketch that missed the rank still tells on which side of it the rank lies.
+        if b.rank < b.below:
+            b.low, b.high = low, b.low
+            _count(df, [b])
+        elif b.rank >= b.below + b.inside:
+            b.low, b.high = b.high, high
+            _count(df, [b])
+
+
+def _list(df: DataFrame, brackets: list[_Bracket]) -> list[float]:
+    """The value at each rank, from the counted values of the small brackets."""
+    hits = F.filter(F.array(*[
+        F.when(b.holds(), F.struct(F.lit(i).alias("b"), col(b.column).cast("double").alias("v")))
+        for i, b in enumerate(brackets)]), lambda x: x.isNotNull())
+    rows = (df.select(F.explode(hits).alias("h")).groupBy("h.b", "h.v").count().collect())
+    values: dict[int, list] = {}
+    for r in rows:
+        values.setdefault(r["b"], []).append((r["v"], r["count"]))
+    out = []
+    for i, b in enumerate(brackets):
+        left = b.rank - b.below
+        for v, n in sorted(values[i]):
+            if left < n:
+                out.append(v)
+                break
+            left -= n
+    return out
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[tuple[str, float], float]:
+    """``{(column, prob): value}`` with linear interpolation; columns without values are absent."""
+    found: dict[tuple[str, float], float] = {}
+    for start in range(0, len(columns), _COLUMNS_PER_JOB):
+        found.update(_exact_quantiles(df, list(columns[start:start + _COLUMNS_PER_JOB]), probs))
+    return found
+
+
+def _exact_quantiles(df: DataFrame, columns: list[str], probs: Sequence[float]) -> dict:
+    df = df.select(*[col(c) for c in columns])
+    margin = 2.0 / _ACCURACY
+    grid = [x for p in probs for x in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    exprs = []
+    for c in columns:
+        v = col(c).cast("double")
+        exprs += [F.count(v), F.min(v), F.max(v), F.percentile_approx(v, grid, _ACCURACY)]
+    row = _aggregate(df, exprs)
+    ranks: dict[tuple[str, int], _Bracket] = {}
+    sizes = {}
+    for i, c in enumerate(columns):
+        n, low, high, sketch = row[4 * i:4 * i + 4]
+        if not n:
+            continue
+        sizes[c] = n
+        for j, p in enumerate(probs):
+            position = p * (n - 1)
+            for r in (math.floor(position), math.ceil(position)):
+                near = (sketch[2 * j], sketch[2 * j + 1]) if n > 2 * _ACCURACY else (low, high)
+                # The extremes are known without a search.
+                near = (low, low) if r == 0 else (high, high) if r == n - 1 else near
+                ranks.setdefault((c, r), _Bracket(c, r, *near, below=0, inside=n))
+    value = {}
+    pending = []
+    for k, b in ranks.items():
+        if b.rank in (0, sizes[b.column] - 1):
+            value[k] = b.low
+        else:
+            pending.append(b)
+    if pending:
+        _count(df, pending)
+        for b in pending:
+            if not b.below <= b.rank < b.below + b.inside:
+                i = columns.index(b.column)
+                b.low, b.high, b.below, b.inside = row[4 * i + 1], row[4 * i + 2], 0, row[4 * i]
+    while pending:
+        wide = []
+        for b in pending:
+            if b.low == b.high:
+                value[(b.column, b.rank)] = b.low
+            else:
+                wide.append(b)
+        small = [b for b in wide if b.inside <= _LISTED]
+        for chunk in range(0, len(small), 64):
+            part = small[chunk:chunk + 64]
+            for b, v in zip(part, _list(df, part)):
+                value[(b.column, b.rank)] = v
+        pending = [b for b in wide if b.inside > _LISTED]
+        if pending:
+            _narrow(df, pending)
+    out = {}
+    for c, n in sizes.items():
+        for p in probs:
+            position = p * (n - 1)
+            low, high = value[(c, math.floor(position))], value[(c, math.ceil(position))]
+            out[(c, p)] = low if low == high else low + (high - low) * (position - math.floor(position))
+    return out
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int | None = None) -> DataFrame:
     """``(column, prob, quantile)``; exact unless ``accuracy`` asks for the one-pass sketch."""
+    probs = [float(p) for p in probs]
     if accuracy is None:
-        return quantiles_of_values(value_table(df, columns), probs)
-    grid = F.array(*[F.lit(float(p)) for p in probs])
-    long = unpivot(df, columns).groupBy("column").agg(
-        F.percentile_approx("value", [float(p) for p in probs], accuracy).alias("q"))
-    return long.select("column", F.explode(F.arrays_zip(grid.alias("prob"), F.col("q").alias("quantile"))).alias("z")
-                       ).select("column", "z.prob", "z.quantile")
+        rows = [(c, p, v) for (c, p), v in exact_quantiles(df, columns, probs).items()]
+    else:
+        row = _aggregate(df, [F.percentile_approx(col(c).cast("double"), probs, accuracy) for c in columns])
+        rows = [(c, p, v) for c, vs in zip(columns, row) if vs is not None for p, v in zip(probs, vs)]
+    return df.sparkSession.createDataFrame(rows, "column string, prob double, quantile double")
+
+
+def quantile_columns(df: DataFrame, columns: Sequence[str], names: dict[str, float],
+                     accuracy: int | None = None) -> DataFrame:
+    """One row per column with the named quantiles as columns."""
+    q = quantiles(df, columns, list(names.values()), accuracy)
+    return q.groupBy("column").agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n)
+                                     for n, p in names.items()])
 
 
 def most_frequent(values: DataFrame) -> DataFrame:
-    """``(column, mode, mode_count)`` of a value table; the smallest of tied values."""
+    """``(column, mode, mode_count, n_distinct)`` of a value table; the smallest of tied values."""
     best = F.struct((-F.col("n")).alias("n"), F.col("value"))
-    return values.groupBy("column").agg(F.min_by("value", best).alias("mode"), F.max("n").alias("mode_count"))
+    return values.groupBy("column").agg(F.min_by("value", best).alias("mode"), F.max("n").alias("mode_count"),
+                                        F.count(F.lit(1)).alias("n_distinct"))
 
 
 def median_columns(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Column medians as driver values (one number per column); columns without values are absent."""
-    if not columns:
-        return {}
-    return {r["column"]: r["quantile"] for r in quantiles(df, columns, [0.5]).collect()}
+    return {c: v for (c, _), v in exact_quantiles(df, columns, [0.5]).items()} if columns else {}
 
 
 def mode_columns(df: DataFrame, columns: Sequence[str], cast: str = "string") -> dict[str, object]:
     if not columns:
         return {}
     return {r["column"]: r["mode"] for r in most_frequent(value_table(df, columns, cast)).collect()}
-
-
-def condition_all(conditions: Sequence[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out

@@ -15,7 +15,7 @@ from featforge.functions.aggregates import aggregate
 from featforge.functions.numeric import as_column, col
 from featforge.operators.encode import OneHot
 from featforge.operators.joins import attach
-from featforge.operators.quantiles import most_frequent, quantiles_of_values, value_table
+from featforge.operators.quantiles import most_frequent, quantile_columns, value_table
 from featforge.operators.rows import split_columns
 
 Spec = Mapping[str, Sequence[str]]
@@ -120,14 +120,13 @@ def mean_by(df: DataFrame, key: str | Sequence[str], *values: str) -> DataFrame:
 def column_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per numeric column: count, nulls, min, max, mean, std, var, median, mode, distinct values.
 
-    One pass for the moments; one count of values serves median, mode and distinct count.
+    One pass for the moments; one count of values serves mode and distinct count; the median is selected.
     """
     columns = split_columns(df)[0] if columns is None else list(columns)
     moments = unpivot_stats(df, columns)
-    values = value_table(df, columns)
-    extra = (most_frequent(values).join(values.groupBy("column").agg(F.count(F.lit(1)).alias("nunique")), "column")
-             .join(quantiles_of_values(values, [0.5]).select("column", F.col("quantile").alias("median")), "column"))
-    return (moments.join(extra.drop("mode_count"), "column", "left")
+    counted = most_frequent(value_table(df, columns)).select("column", "mode", F.col("n_distinct").alias("nunique"))
+    medians = quantile_columns(df, columns, {"median": 0.5})
+    return (moments.join(counted, "column", "left").join(medians, "column", "left")
             .withColumn("nunique", F.coalesce(F.col("nunique"), F.lit(0))))
 
 

@@ -20,6 +20,7 @@ from featforge.functions.numeric import col, ratio
 from featforge.operators.joins import attach
 from featforge.operators.ordered import add_row_index, cumulative, percentile_rank
 from featforge.operators.rows import coerce_numeric, split_columns
+from featforge.session import cut_lineage
 
 AGGREGATES = ("sum", "mean", "count", "max", "min", "std")
 TRANSFORMS = ("DIFF", "CUM_SUM", "CUM_MEAN", "PERCENTILE")
@@ -246,12 +247,15 @@ def expand_nonlinear(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[col(c) for c in df.columns], *out)
 
 
-def l1_select(df: DataFrame, features: Sequence[str], label: str, strength: float = 0.01) -> list[str]:
+def l1_select(df: DataFrame, features: Sequence[str], label: str, strength: float = 0.01,
+              max_iter: int = 50) -> list[str]:
     """Features with a non-zero weight in an L1-penalised logistic regression on standardised inputs."""
     filled = df.select(col(label).cast("double").alias("label"),
                        *[F.coalesce(col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)])
     raw = VectorAssembler(inputCols=[f"x{i}" for i in range(len(features))], outputCol="raw").transform(filled)
+    raw = cut_lineage(raw.select("label", "raw"), spread=True)
     scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(raw).transform(raw)
-    model = LogisticRegression(elasticNetParam=1.0, regParam=strength, standardization=False).fit(scaled)
+    model = LogisticRegression(elasticNetParam=1.0, regParam=strength, standardization=False, maxIter=max_iter,
+                               tol=1e-4).fit(scaled.select("label", "features"))
     weights = model.coefficients.toArray()
     return [c for c, w in zip(features, weights) if abs(w) > 0]

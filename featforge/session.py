@@ -31,7 +31,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so later passes see the same rows in the same partitions."""
+def cut_lineage(df: DataFrame, spread: bool = False) -> DataFrame:
+    """Materialise ``df`` reliably, so later passes see the same rows in the same partitions.
+
+    ``spread`` is for data that is read many times: when it has fewer partitions than the cluster has cores, it is
+    redistributed once.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if spread and out.rdd.getNumPartitions() < cores:
+        out = out.repartition(cores).checkpoint(eager=True)
+    return out
