@@ -79,3 +79,17 @@ select 'orders' as dataset, count(*)::bigint as original_rows, least(3000, count
 def size(spark, sf_dir):
     orders = _orders(spark, sf_dir)
     return size_report({"orders": orders}, {"orders": M.sample_n(orders, 3000, "o_orderkey")})
+
+
+@key("smote", """
+select (c_acctbal < 0)::int as target, (select count(*) from customer where c_acctbal >= 0)::bigint as n_rows,
+       (count(*))::bigint as n_real from customer group by 1""")
+def smote(spark, sf_dir):
+    """Customers with a negative balance brought up to the size of the other class."""
+    from featforge.operators.oversample import smote as oversample
+    orders = table(spark, sf_dir, "orders", "o_custkey", "o_totalprice").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).alias("n_orders"), (F.avg("o_totalprice") / 10000).alias("mean_price"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") < 0).cast("int").alias("target"))
+    data = customers.join(orders, "c_custkey", "left").fillna(0.0)
+    out = oversample(data, ["n_orders", "mean_price"], "target", "c_custkey")
+    return out.groupBy("target").agg(F.count(F.lit(1)).alias("n_rows"), F.count("c_custkey").alias("n_real"))
