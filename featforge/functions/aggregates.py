@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featforge.functions.numeric import as_column, compares_true, ratio
+from featforge.functions.numeric import as_column, compares_true, quote, ratio
 
 
 def only(condition: Column | None, value: Column) -> Column:
@@ -44,6 +44,36 @@ def aggregate(fn: str, value: Column | str, condition: Column | None = None) ->
     return FUNCTIONS[fn](only(condition, c))
 
 
+#: The same functions as SQL text, for plans with hundreds of aggregates: text is parsed in one call, while every
+#: step of a Column costs round trips to the JVM.
+_TEXT = {
+    "min": "min({c}){w}",
+    "max": "max({c}){w}",
+    "mean": "avg(cast({c} as double)){w}",
+    "sum": "coalesce(sum({c}){w}, 0)",
+    "var": "var_samp(cast({c} as double)){w}",
+    "std": "stddev_samp(cast({c} as double)){w}",
+    "count": "count({c}){w}",
+    "size": "count(1){w}",
+    "nunique": "count(distinct {c}){w}",
+}
+
+
+def aggregate_sql(fn: str, column: str | None, where: str | None = None) -> str:
+    """SQL text of one named aggregate of a column, optionally over the rows that meet ``where``."""
+    if fn not in _TEXT:
+        raise ValueError(f"unknown aggregate {fn!r}; known: {sorted(_TEXT)}")
+    return _TEXT[fn].format(c=quote(column) if column is not None else "1", w=f" filter (where {where})" if where else "")
+
+
+def safe_corr_sql(a: str, b: str) -> str:
+    """``safe_corr`` as SQL text."""
+    x = f"case when {quote(b)} is not null then cast({quote(a)} as double) end"
+    y = f"case when {quote(a)} is not null then cast({quote(b)} as double) end"
+    return (f"case when min({x}) < max({x}) and min({y}) < max({y}) "
+            f"then try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y})) end")
+
+
 def ratio_of_sums(num: Column | str, den: Column | str) -> Column:
     return ratio(F.sum(as_column(num)), F.sum(as_column(den)))
 

@@ -14,6 +14,20 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def quote(name: str) -> str:
+    """A column name for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(value) -> str:
+    """A number or string as SQL text."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, float):
+        return f"double('{value!r}')"
+    return str(value)
+
+
 def as_column(value: Column | str) -> Column:
     return col(value) if isinstance(value, str) else value
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featforge.functions.numeric import col
-from featforge.operators.profile import corr_with, per_column
+from featforge.operators.profile import corr_with
+from featforge.operators.rollup import per_column
 from featforge.operators.rows import split_columns
 
 _SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
@@ -63,14 +64,14 @@ def corr_matrix(df: DataFrame, k: int | None = None, target: str | None = None,
     columns = split_columns(df, exclude=[target] if target else [])[0] if columns is None else list(columns)
     if k is not None:
         if target is None:
-            scores = per_column(df, columns, {"s": lambda c: F.var_samp(col(c).cast("double"))})
+            scores = per_column(df, columns, {"s": lambda c: f"var_samp(cast({c} as double))"})
         else:
             scores = corr_with(df, target, columns).select("column", F.abs("corr").alias("s"))
         best = {r["column"] for r in scores.orderBy(F.desc_nulls_last("s"), "column").limit(k).collect()}
         columns = [c for c in columns if c in best]
     pairs = corr_pairs(df, columns).select("a", "b", "corr")
     mirrored = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
-    diagonal = per_column(df, columns, {"v": lambda c: F.stddev_pop(col(c).cast("double"))}).select(
+    diagonal = per_column(df, columns, {"v": lambda c: f"stddev_pop(cast({c} as double))"}).select(
         F.col("column").alias("a"), F.col("column").alias("b"), F.when(F.col("v") > 0, 1.0).alias("corr"))
     return pairs.unionByName(mirrored).unionByName(diagonal)
 

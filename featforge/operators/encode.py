@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featforge.functions.numeric import as_column, col
+from featforge.functions.numeric import as_column, col, literal, quote
 from featforge.operators.ordered import add_row_index
 from featforge.operators.quantiles import unpivot
 from featforge.operators.rows import string_columns
@@ -45,20 +45,28 @@ class OneHot:
     drop_first: bool = False
     keep_source: bool = False
 
-    def new_columns(self) -> dict[str, Column]:
-        out: dict[str, Column] = {}
+    def new_columns(self) -> dict[str, str]:
+        """SQL text of each 0/1 column by name."""
+        out: dict[str, str] = {}
         for c, values in self.values.items():
             prefix = (self.prefixes or {}).get(c, c)
             name = lambda v, prefix=prefix: f"{prefix}_{v}" if prefix else str(v)
             for v in list(values)[1 if self.drop_first else 0:]:
-                out[name(v)] = col(c).eqNullSafe(F.lit(v)).cast("int")
+                out[name(v)] = f"cast({quote(c)} <=> {literal(v)} as int)"
             if self.null_category:
-                out[name("nan")] = col(c).isNull().cast("int")
+                out[name("nan")] = f"cast({quote(c)} is null as int)"
         return out
 
     def transform(self, df: DataFrame) -> DataFrame:
         kept = [c for c in df.columns if self.keep_source or c not in self.values]
-        return df.select(*[col(c) for c in kept], *[e.alias(n) for n, e in self.new_columns().items()])
+        return df.selectExpr(*[quote(c) for c in kept], *self.texts())
+
+    def texts(self) -> list[str]:
+        return [f"{e} as {quote(n)}" for n, e in self.new_columns().items()]
+
+    def add_to(self, df: DataFrame) -> DataFrame:
+        """The 0/1 columns beside all columns of the table."""
+        return df.selectExpr("*", *self.texts())
 
 
 def fit_one_hot(df: DataFrame, cols: Sequence[str] | None = None, **options) -> OneHot:
@@ -109,8 +117,8 @@ def apply_codes(df: DataFrame, column: str, codes: DataFrame, name: str | None =
     joined = df.join(keyed, value == F.col("_value"), "left")
     code = F.coalesce(F.col("_code"), F.lit(-1)).alias(name)
     if name in df.columns:
-        return joined.select(*[code if c == name else col(c) for c in df.columns])
-    return joined.select(*[col(c) for c in df.columns], code)
+        return joined.select(*[code if c == name else quote(c) for c in df.columns])
+    return joined.select(*[quote(c) for c in df.columns], code)
 
 
 def factorize(df: DataFrame, column: str, order_by: Sequence[Column | str],

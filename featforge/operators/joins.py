@@ -27,7 +27,7 @@ def merge_suffix(left: DataFrame, right: DataFrame, on: Sequence[str], how: str
                  suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
     """Join on equal key names; other names that clash get a suffix on each side."""
     clash = (set(left.columns) & set(right.columns)) - set(on)
-    rename = lambda df, s: df.select(*[col(c).alias(c + s) if c in clash else col(c) for c in df.columns])
+    rename = lambda df, s: df.toDF(*[c + s if c in clash else c for c in df.columns])
     return rename(left, suffixes[0]).join(rename(right, suffixes[1]), list(on), how)
 
 

@@ -74,7 +74,7 @@ class Preprocessor:
         hot = OneHot(known, null_category=False).new_columns()
         slots = OneHot(self.categories, null_category=False).new_columns()
         for i, name in enumerate(slots, len(self.numeric)):
-            columns.append((hot[name].cast("double") if name in hot else F.lit(0.0)).alias(f"_x{i}"))
+            columns.append((F.expr(hot[name]).cast("double") if name in hot else F.lit(0.0)).alias(f"_x{i}"))
         narrow = df.select(*[col(k) for k in keep], *columns)
         inputs = [f"_x{i}" for i in range(len(columns))]
         return VectorAssembler(inputCols=inputs, outputCol="features").transform(narrow).drop(*inputs)

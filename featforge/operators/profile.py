@@ -8,29 +8,27 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featforge.functions.aggregates import safe_corr
-from featforge.functions.numeric import col, is_infinite
+from featforge.functions.aggregates import safe_corr_sql
+from featforge.functions.numeric import col, is_infinite, literal, quote
 from featforge.operators.quantiles import most_frequent, quantile_columns, unpivot, value_table
-from featforge.operators.rollup import unpivot_stats
+from featforge.operators.rollup import per_column, unpivot_stats
 from featforge.operators.rows import floating_columns, split_columns, string_columns
 
 
-def per_column(df: DataFrame, columns: Sequence[str], metrics: Mapping[str, object]) -> DataFrame:
-    """One aggregate over the table, shown as one row per column; ``metrics`` builds an aggregate from a name."""
-    structs = [F.struct(F.lit(c).alias("column"), *[fn(c).alias(m) for m, fn in metrics.items()]) for c in columns]
-    return df.agg(F.array(*structs).alias("_s")).select(F.explode("_s").alias("_s")).select("_s.*")
-
-
 def percent(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double") * 100.0, whole.cast("double"))
 
 
-def null_count(c: str) -> Column:
-    return F.count_if(col(c).isNull())
+def null_count(c: str) -> str:
+    return f"count_if({c} is null)"
+
+
+def row_count(_: str) -> str:
+    return "count(1)"
 
 
-def row_count(_: str) -> Column:
-    return F.count(F.lit(1))
+def infinity_count(c: str) -> str:
+    return f"count_if(abs({c}) = double('Infinity'))"
 
 
 def missing_table(df: DataFrame) -> DataFrame:
@@ -44,16 +42,16 @@ def missing_table(df: DataFrame) -> DataFrame:
 def distinct_table(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
     """``(column, n_distinct)``; exact counts shuffle by value, the approximate ones need a single pass."""
     if approx:
-        return per_column(df, columns, {"n_distinct": lambda c: F.approx_count_distinct(col(c))})
+        return per_column(df, columns, {"n_distinct": lambda c: f"approx_count_distinct({c})"})
     counts = (unpivot(df, columns, "string").distinct().groupBy("column")
               .agg(F.count("value").alias("n_distinct")))
     return counts
 
 
 def column_info(df: DataFrame, approx: bool = False) -> DataFrame:
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    types = {quote(f.name): literal(f.dataType.simpleString()) for f in df.schema.fields}
     base = per_column(df, df.columns, {
-        "dtype": lambda c: F.first(F.lit(types[c])), "nulls": null_count, "_n": row_count})
+        "dtype": lambda c: f"first({types[c]})", "nulls": null_count, "_n": row_count})
     return (base.join(distinct_table(df, df.columns, approx), "column", "left")
             .select("column", "dtype", "nulls", percent(F.col("nulls"), F.col("_n")).alias("null_percent"),
                     F.coalesce("n_distinct", F.lit(0)).alias("n_distinct")))
@@ -74,9 +72,9 @@ def box_stats(df: DataFrame, columns: Sequence[str], accuracy: int | None = None
 def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """mean, median, std, min, max, missing count and percent, infinity count per numeric column."""
     columns = split_columns(df)[0] if columns is None else list(columns)
-    floats = set(floating_columns(df))
+    floats = {quote(c) for c in floating_columns(df)}
     infinities = per_column(df, columns, {
-        "infinity_count": lambda c: F.count_if(is_infinite(c)) if c in floats else F.lit(0).cast("long")})
+        "infinity_count": lambda c: infinity_count(c) if c in floats else "count(null)"})
     medians = quantile_columns(df, columns, {"median": 0.5})
     return (unpivot_stats(df, columns).join(infinities, "column").join(medians, "column", "left")
             .select("column", "mean", "median", "std", "min", "max", "missing",
@@ -108,10 +106,7 @@ def profile(df: DataFrame, stage: str, target: str | None = None) -> DataFrame:
         parts.append(p.where("most_common is not null").select(
             "column", F.lit("most_common").alias("metric"), F.col("most_common").alias("detail"),
             F.col("most_common_count").cast("double").alias("value")))
-    cells = [null_count(c) for c in features.columns]
-    total = cells[0]
-    for c in cells[1:]:
-        total = total + c
+    total = F.expr(" + ".join(null_count(quote(c)) for c in features.columns))
     n = F.count(F.lit(1))
     sizes = {"n_samples": n, "n_features": F.lit(len(features.columns)), "missing_total": total,
              "missing_total_pct": percent(total, n * len(features.columns))}
@@ -125,7 +120,7 @@ def profile(df: DataFrame, stage: str, target: str | None = None) -> DataFrame:
         if classes.limit(11).count() <= 10:
             parts.append(classes.select(F.lit(target).alias("column"), F.lit("class_count").alias("metric"), "detail",
                                         F.col("count").cast("double").alias("value")))
-        parts.append(df.agg(null_count(target).cast("double").alias("value")).select(
+        parts.append(df.agg(F.expr(null_count(quote(target))).cast("double").alias("value")).select(
             F.lit(target).alias("column"), F.lit("target_missing").alias("metric"), F.lit("").alias("detail"), "value"))
     out = parts[0]
     for p in parts[1:]:
@@ -178,17 +173,18 @@ def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None, factor:
     for r in box_stats(finite, columns).collect():
         iqr = r["q3"] - r["q1"]
         if iqr > 0:
-            bounds[r["column"]] = (r["q1"] - factor * iqr, r["q3"] + factor * iqr)
+            bounds[r["column"]] = (literal(r["q1"] - factor * iqr), literal(r["q3"] + factor * iqr))
     if not bounds:
         return df.sparkSession.createDataFrame([], "column string, low double, high double, outliers long")
+    quoted = {quote(c): b for c, b in bounds.items()}
     return per_column(df, list(bounds), {
-        "low": lambda c: F.first(F.lit(bounds[c][0])), "high": lambda c: F.first(F.lit(bounds[c][1])),
-        "outliers": lambda c: F.count_if((col(c) < bounds[c][0]) | (col(c) > bounds[c][1]))})
+        "low": lambda c: f"first({quoted[c][0]})", "high": lambda c: f"first({quoted[c][1]})",
+        "outliers": lambda c: f"count_if({c} < {quoted[c][0]} or {c} > {quoted[c][1]})"})
 
 
 def low_variance(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 0.01) -> DataFrame:
     columns = split_columns(df)[0] if columns is None else list(columns)
-    return (per_column(df, columns, {"variance": lambda c: F.var_samp(col(c).cast("double"))})
+    return (per_column(df, columns, {"variance": lambda c: f"var_samp(cast({c} as double))"})
             .where(F.col("variance") < threshold))
 
 
@@ -203,7 +199,7 @@ def quality_report(df: DataFrame) -> DataFrame:
         floats = floating_columns(df)
         parts.append(issue(low_variance(df, numeric), "low_variance", "variance"))
         if floats:
-            parts.append(issue(per_column(df, floats, {"n": lambda c: F.count_if(is_infinite(c))}).where("n > 0"),
+            parts.append(issue(per_column(df, floats, {"n": infinity_count}).where("n > 0"),
                                "infinity_values", "n"))
         parts.append(issue(outlier_counts(df, numeric).where("outliers > 0"), "outliers", "outliers"))
     out = parts[0]
@@ -214,11 +210,10 @@ def quality_report(df: DataFrame) -> DataFrame:
 
 def validate_counts(df: DataFrame, columns: Sequence[str], target: str | None = None) -> DataFrame:
     """Nulls and infinities per checked column."""
-    floats = set(floating_columns(df))
+    floats = {quote(c) for c in floating_columns(df)}
     names = [*columns, *([target] if target else [])]
     return per_column(df, names, {
-        "nulls": null_count,
-        "infinities": lambda c: F.count_if(is_infinite(c)) if c in floats else F.lit(0).cast("long")})
+        "nulls": null_count, "infinities": lambda c: infinity_count(c) if c in floats else "count(null)"})
 
 
 def validate(df: DataFrame, columns: Sequence[str], target: str | None = None) -> None:
@@ -238,7 +233,7 @@ def target_distribution(df: DataFrame, target: str) -> DataFrame:
 def corr_with(df: DataFrame, target: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Correlation of every numeric column with the target, from one aggregate."""
     columns = split_columns(df, exclude=[target])[0] if columns is None else list(columns)
-    return per_column(df, columns, {"corr": lambda c: safe_corr(c, target)})
+    return per_column(df, columns, {"corr": lambda c: safe_corr_sql(c.strip("`"), target)})
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10, low: float | None = None,

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featforge.functions.numeric import col
+from featforge.functions.numeric import col, literal, quote
 
 _ACCURACY = 10_000      # rank error of one sketch: 1 / accuracy of the rows it saw
 _LISTED = 50_000        # values of one bracket that may be listed on the driver
@@ -24,9 +24,9 @@ _COLUMNS_PER_JOB = 40   # a job reads only its own columns, so more columns mean
 
 def unpivot(df: DataFrame, columns: Sequence[str], cast: str = "double", keep: Sequence[str] = ()) -> DataFrame:
     """Long form ``(keep..., column, value)``."""
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), col(c).cast(cast).alias("value")) for c in columns]))
-    return df.select(*[col(k) for k in keep], pairs.alias("_p")).select(*[col(k) for k in keep], "_p.column", "_p.value")
+    pairs = ", ".join(f"struct({literal(c)} as column, cast({quote(c)} as {cast}) as value)" for c in columns)
+    kept = [quote(k) for k in keep]
+    return df.selectExpr(*kept, f"explode(array({pairs})) as _p").selectExpr(*kept, "_p.column", "_p.value")
 
 
 def value_table(df: DataFrame, columns: Sequence[str], cast: str = "double") -> DataFrame:

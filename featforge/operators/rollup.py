@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from featforge.functions.aggregates import aggregate
-from featforge.functions.numeric import as_column, col
+from featforge.functions.aggregates import aggregate, aggregate_sql
+from featforge.functions.numeric import as_column, col, compares_true, literal, quote
 from featforge.operators.encode import OneHot
 from featforge.operators.joins import attach
 from featforge.operators.quantiles import most_frequent, quantile_columns, value_table
@@ -25,14 +25,24 @@ def _keys(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def spec_columns(spec: Spec, prefix: str = "", condition: Column | None = None) -> list[Column]:
+def grouped(df: DataFrame, keys: str | Sequence[str], exprs: Mapping[str, str]) -> DataFrame:
+    """``groupBy.agg`` of named SQL texts. They travel as one struct, which the optimizer takes apart again."""
+    names = [quote(k) for k in _keys(keys)]
+    if not exprs:
+        return df.select(*names).distinct()
+    fields = ", ".join(f"{e} as {quote(n)}" for n, e in exprs.items())
+    return df.groupBy(*names).agg(F.expr(f"struct({fields})").alias("_agg")).select(*names, "_agg.*")
+
+
+def spec_texts(spec: Spec, prefix: str = "", where: str | None = None) -> dict[str, str]:
     """Aggregates named ``<prefix><COLUMN>_<FN>``."""
-    return [aggregate(fn, c, condition).alias(f"{prefix}{c}_{fn.upper()}") for c, fns in spec.items() for fn in fns]
+    return {f"{prefix}{c}_{fn.upper()}": aggregate_sql(fn, c, where) for c, fns in spec.items() for fn in fns}
 
 
 def group_agg(df: DataFrame, keys: str | Sequence[str], spec: Spec, prefix: str = "",
-              extra: Sequence[Column] = ()) -> DataFrame:
-    return df.groupBy(*[col(k) for k in _keys(keys)]).agg(*spec_columns(spec, prefix), *extra)
+              extra: Mapping[str, str] | None = None) -> DataFrame:
+    """``extra`` adds aggregates given as SQL text."""
+    return grouped(df, keys, {**spec_texts(spec, prefix), **(extra or {})})
 
 
 def group_agg_all(df: DataFrame, keys: str | Sequence[str], fns: Sequence[str] = ("min", "max", "mean", "sum", "var"),
@@ -47,33 +57,31 @@ def group_agg_where(df: DataFrame, keys: str | Sequence[str], spec: Spec, subset
 
     A parent without rows in a subset gets null for it, as the left join of a filtered table would give.
     """
-    exprs = list(spec_columns(total if total is not None else spec, prefix))
-    for name, condition in subsets.items():
-        present = F.count_if(F.coalesce(condition, F.lit(False))) > 0
-        for c, fns in spec.items():
-            for fn in fns:
-                value = aggregate(fn, c, condition)
-                value = F.when(present, value) if fn in ("sum", "size", "count", "nunique") else value
-                exprs.append(value.alias(f"{name}{c}_{fn.upper()}"))
-    return df.groupBy(*[col(k) for k in _keys(keys)]).agg(*exprs)
-
-
-def category_share_columns(model: OneHot, prefix: str = "", suffix: str = "_MEAN") -> list[Column]:
+    flags = {f"_in_{i}": compares_true(c) for i, c in enumerate(subsets.values())}
+    exprs = spec_texts(total if total is not None else spec, prefix)
+    for flag, name in zip(flags, subsets):
+        for out, text in spec_texts(spec, name, flag).items():
+            counts = out.endswith(("_SUM", "_SIZE", "_COUNT", "_NUNIQUE"))
+            exprs[out] = f"case when count_if({flag}) > 0 then {text} end" if counts else text
+    return grouped(df.withColumns(flags), keys, exprs)
+
+
+def category_share_texts(model: OneHot, prefix: str = "", suffix: str = "_MEAN") -> dict[str, str]:
     """Mean of each one-hot column, without building the one-hot table."""
-    return [F.avg(e).alias(f"{prefix}{name}{suffix}") for name, e in model.new_columns().items()]
+    return {f"{prefix}{name}{suffix}": f"avg({e})" for name, e in model.new_columns().items()}
 
 
 def category_share(df: DataFrame, keys: str | Sequence[str], model: OneHot, prefix: str = "") -> DataFrame:
-    return df.groupBy(*[col(k) for k in _keys(keys)]).agg(*category_share_columns(model, prefix))
+    return grouped(df, keys, category_share_texts(model, prefix))
 
 
 def group_mean_numeric(df: DataFrame, key: str, count_columns: Sequence[str] = (), prefix: str = "",
                        exclude: Sequence[str] = ()) -> DataFrame:
     """Mean of every numeric column per key; id columns become the group's row count."""
     numeric, _ = split_columns(df, exclude=[key, *exclude])
-    out = [F.count(col(c)).cast("double").alias(f"{prefix}{c}") if c in count_columns
-           else F.avg(col(c).cast("double")).alias(f"{prefix}{c}") for c in numeric]
-    return df.groupBy(col(key)).agg(*out)
+    return grouped(df, key, {
+        f"{prefix}{c}": f"cast(count({quote(c)}) as double)" if c in count_columns else aggregate_sql("mean", c)
+        for c in numeric})
 
 
 def two_stage_rollup(child: DataFrame, grandchild: DataFrame, child_key: str, parent_key: str, grand_spec: Spec,
@@ -101,11 +109,8 @@ def agg_where(df: DataFrame, keys: str | Sequence[str], condition: Column,
 
 def groupby_agg(df: DataFrame, keys: str | Sequence[str], fns: Mapping[str, str | Sequence[str]]) -> DataFrame:
     """``{column: fn or [fn]}`` with names ``<column>_<fn>``."""
-    exprs = []
-    for c, names in fns.items():
-        for fn in [names] if isinstance(names, str) else names:
-            exprs.append(aggregate(fn, c).alias(f"{c}_{fn}"))
-    return df.groupBy(*[col(k) for k in _keys(keys)]).agg(*exprs)
+    return grouped(df, keys, {f"{c}_{fn}": aggregate_sql(fn, c) for c, names in fns.items()
+                              for fn in ([names] if isinstance(names, str) else names)})
 
 
 def value_counts(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
@@ -132,14 +137,19 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 def unpivot_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Moments of each column as one row, from a single global aggregate."""
-    structs = []
-    for c in columns:
-        v = col(c).cast("double")
-        structs.append(F.struct(
-            F.lit(c).alias("column"), F.count(v).alias("count"), F.count_if(v.isNull()).alias("missing"),
-            F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("std"), F.var_samp(v).alias("var")))
-    return df.agg(F.array(*structs).alias("_s")).select(F.explode("_s").alias("_s")).select("_s.*")
+    return per_column(df, columns, {
+        "count": lambda c: f"count({c})", "missing": lambda c: f"count_if({c} is null)",
+        "min": lambda c: f"min(cast({c} as double))", "max": lambda c: f"max(cast({c} as double))",
+        "mean": lambda c: f"avg(cast({c} as double))", "std": lambda c: f"stddev_samp(cast({c} as double))",
+        "var": lambda c: f"var_samp(cast({c} as double))"})
+
+
+def per_column(df: DataFrame, columns: Sequence[str], metrics: Mapping[str, Callable[[str], str]]) -> DataFrame:
+    """One aggregate over the table, shown as one row per column; ``metrics`` make SQL text from a quoted name."""
+    rows = ", ".join(
+        "struct(" + ", ".join([f"{literal(c)} as column", *(f"{fn(quote(c))} as {m}" for m, fn in metrics.items())]) + ")"
+        for c in columns)
+    return df.agg(F.expr(f"array({rows})").alias("_s")).select(F.explode("_s").alias("_s")).select("_s.*")
 
 
 # User-defined aggregates -------------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featforge.functions.aggregates import NUMERIC
-from featforge.functions.numeric import as_column, col, is_infinite, ratio
+from featforge.functions.numeric import as_column, col, is_infinite, quote, ratio
 
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATS = (T.FloatType, T.DoubleType)
@@ -34,7 +34,7 @@ def string_columns(df: DataFrame) -> list[str]:
 
 def replace_columns(df: DataFrame, exprs: Mapping[str, Column]) -> DataFrame:
     """Replace or append many columns in one projection."""
-    kept = [exprs[c].alias(c) if c in exprs else col(c) for c in df.columns]
+    kept = [exprs[c].alias(c) if c in exprs else quote(c) for c in df.columns]
     return df.select(*kept, *[e.alias(n) for n, e in exprs.items() if n not in df.columns])
 
 

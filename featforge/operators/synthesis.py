@@ -9,16 +9,17 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-from featforge.functions.aggregates import FUNCTIONS, NUMERIC, aggregate, percent_true, trend
-from featforge.functions.numeric import col, ratio
+from featforge.functions.aggregates import FUNCTIONS, NUMERIC, aggregate_sql
+from featforge.functions.numeric import col, literal, quote, ratio
 from featforge.operators.joins import attach
 from featforge.operators.ordered import add_row_index, cumulative, percentile_rank
+from featforge.operators.rollup import grouped
 from featforge.operators.rows import coerce_numeric, split_columns
 from featforge.session import cut_lineage
 
@@ -161,16 +162,15 @@ def definitions_table(es: EntitySet, defs: Sequence[Feature]) -> DataFrame:
         rows, "name string, fn string, entity string, input string, base string, condition string, depth int")
 
 
-def _expression(f: Feature, es: EntitySet, custom: Mapping) -> Column:
-    source = col(f.base or f.column) if (f.base or f.column) else F.lit(1)
-    condition = None if f.where is None else col(f.where[0]) == F.lit(f.where[1])
-    if f.fn in custom:
-        return custom[f.fn](source)
+def _text(f: Feature, es: EntitySet) -> str:
     if f.fn == "trend":
-        return trend(source, es.entities[f.entity].time)
+        v, t = f"cast({quote(f.column)} as double)", f"cast({quote(es.entities[f.entity].time)} as double) / 86400"
+        x, y = f"case when {v} is not null then {t} end", f"case when {t} is not null then {v} end"
+        return f"case when min({x}) < max({x}) then try_divide(covar_pop({y}, {x}), var_pop({x})) end"
     if f.fn == "percent_true":
-        return percent_true(source)
-    return aggregate(f.fn, source, condition)
+        return f"avg(cast(coalesce({quote(f.column)}, false) as double))"
+    where = None if f.where is None else f"{quote(f.where[0])} = {literal(f.where[1])}"
+    return aggregate_sql(f.fn, f.base or f.column, where)
 
 
 def _rolled_up(es: EntitySet, edge: Relationship, agg, depth, max_depth, where, custom) -> DataFrame:
@@ -180,21 +180,19 @@ def _rolled_up(es: EntitySet, edge: Relationship, agg, depth, max_depth, where,
     if depth < max_depth:
         for sub in es.children(edge.child):
             part = _rolled_up(es, sub, agg, depth + 1, max_depth, where, custom)
-            df = _left_on(df, sub.parent_key, part, sub.child_key)
-            df = _zero_counts(df, sub.child, part)
+            df = _left_on(df, sub.parent_key, part, sub.child_key, sub.child)
     features = _edge_features(es, edge, agg, depth, max_depth, where, custom)
-    return df.groupBy(col(edge.child_key)).agg(*[_expression(f, es, custom).alias(f.name) for f in features])
+    plain = grouped(df, edge.child_key, {f.name: _text(f, es) for f in features if f.fn not in custom})
+    own = [custom[f.fn](col(f.base or f.column)).alias(f.name) for f in features if f.fn in custom]
+    return attach(plain, df.groupBy(col(edge.child_key)).agg(*own), edge.child_key) if own else plain
 
 
-def _left_on(df: DataFrame, parent_key: str, part: DataFrame, child_key: str) -> DataFrame:
-    renamed = part.withColumnRenamed(child_key, "_fk")
-    return df.join(renamed, col(parent_key) == F.col("_fk"), "left").drop("_fk")
-
-
-def _zero_counts(df: DataFrame, child: str, part: DataFrame) -> DataFrame:
-    """A parent without children has counted 0 rows, not null."""
-    counts = {c for c in part.columns if c.startswith(f"COUNT({child}")}
-    return df.select(*[F.coalesce(col(c), F.lit(0)).alias(c) if c in counts else col(c) for c in df.columns])
+def _left_on(df: DataFrame, parent_key: str, part: DataFrame, child_key: str, child: str) -> DataFrame:
+    """Left join of rolled-up children; a parent without children has counted 0 rows, not null."""
+    joined = df.join(part.withColumnRenamed(child_key, "_fk"), col(parent_key) == F.col("_fk"), "left")
+    fresh = [c for c in part.columns if c != child_key]
+    return joined.selectExpr(*[quote(c) for c in df.columns], *[
+        f"coalesce({quote(c)}, 0) as {quote(c)}" if c.startswith(f"COUNT({child}") else quote(c) for c in fresh])
 
 
 def dfs(es: EntitySet, agg: Sequence[str] = AGGREGATES, trans: Sequence[str] = (), max_depth: int = 2,
@@ -208,7 +206,7 @@ def dfs(es: EntitySet, agg: Sequence[str] = AGGREGATES, trans: Sequence[str] = (
     out = root.df
     for edge in es.children(es.root):
         part = _rolled_up(es, edge, agg, 1, max_depth, where, custom or {})
-        out = _zero_counts(_left_on(out, edge.parent_key, part, edge.child_key), edge.child, part)
+        out = _left_on(out, edge.parent_key, part, edge.child_key, edge.child)
     if trans:
         skip = es.skipped_columns(es.root) | set(exclude)
         out = add_transforms(out, [c for c in split_columns(out)[0] if c not in skip], order_by or [root.key], trans)

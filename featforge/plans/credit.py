@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featforge.functions.aggregates import count_ratio, last_by, mean_ratio, ratio_of_sums, share_true
-from featforge.functions.numeric import col, positive_part, ratio, row_max, row_mean, row_null_count, to_int_trunc
+from featforge.functions.numeric import (col, positive_part, quote, ratio, row_max, row_mean, row_null_count,
+                                         to_int_trunc)
 from featforge.operators.encode import apply_codes, factorize, factorize_map, fit_one_hot, one_hot
 from featforge.operators.joins import assemble, attach, merge_suffix, union_by_name
-from featforge.operators.rollup import (agg_columns, category_share_columns, group_agg, group_agg_where,
-                                        group_mean_numeric, mean_of_means, spec_columns)
+from featforge.operators.rollup import (agg_columns, category_share_texts, group_agg, group_agg_where, grouped,
+                                        group_mean_numeric, mean_of_means)
 from featforge.operators.rows import (add_diffs, add_ratios, filter_not_equal, null_sentinel, replace_columns,
                                       sanitize_names, string_columns)
 
@@ -145,13 +146,12 @@ def clean_applications(train: DataFrame, test: DataFrame | None = None) -> DataF
 def bureau_features(bureau: DataFrame, balance: DataFrame) -> DataFrame:
     """Monthly balances to loans, loans to clients; active and closed loans in the same pass as all loans."""
     months = fit_one_hot(balance, ["STATUS"])
-    per_loan = balance.groupBy(col(BUREAU_KEY)).agg(*spec_columns(BALANCE_SPEC), *category_share_columns(months))
+    per_loan = group_agg(balance, BUREAU_KEY, BALANCE_SPEC, extra=category_share_texts(months))
     loans = attach(bureau, per_loan, BUREAU_KEY).drop(BUREAU_KEY)
     kinds = fit_one_hot(bureau)
     shares = {f"{name}_MEAN": ["mean"] for name in months.new_columns()}
-    with_kinds = loans.withColumns(kinds.new_columns())
     return group_agg_where(
-        with_kinds, KEY, BUREAU_SPEC,
+        kinds.add_to(loans), KEY, BUREAU_SPEC,
         {"ACTIVE_": col("CREDIT_ACTIVE") == "Active", "CLOSED_": col("CREDIT_ACTIVE") == "Closed"}, "BURO_",
         total={**BUREAU_SPEC, **{name: ["mean"] for name in kinds.new_columns()}, **shares})
 
@@ -161,14 +161,14 @@ def previous_features(previous: DataFrame) -> DataFrame:
     undated = [c for c in UNDATED if c in previous.columns]
     df = add_ratios(null_sentinel(previous, undated, UNKNOWN_DAYS), {"APP_CREDIT_PERC": ("AMT_APPLICATION", "AMT_CREDIT")})
     return group_agg_where(
-        df.withColumns(kinds.new_columns()), KEY, PREVIOUS_SPEC,
+        kinds.add_to(df), KEY, PREVIOUS_SPEC,
         {"APPROVED_": col("NAME_CONTRACT_STATUS") == "Approved", "REFUSED_": col("NAME_CONTRACT_STATUS") == "Refused"},
         "PREV_", total={**PREVIOUS_SPEC, **{name: ["mean"] for name in kinds.new_columns()}})
 
 
 def pos_features(pos: DataFrame) -> DataFrame:
     return group_agg(pos, KEY, POS_SPEC, "POS_",
-                     [*category_share_columns(fit_one_hot(pos), "POS_"), F.count(F.lit(1)).alias("POS_COUNT")])
+                     {**category_share_texts(fit_one_hot(pos), "POS_"), "POS_COUNT": "count(1)"})
 
 
 def installment_features(installments: DataFrame) -> DataFrame:
@@ -178,13 +178,13 @@ def installment_features(installments: DataFrame) -> DataFrame:
         "PAYMENT_DIFF": col("AMT_INSTALMENT") - col("AMT_PAYMENT"),
         "DPD": positive_part(late), "DBD": positive_part(-late)})
     return group_agg(df, KEY, INSTALLMENT_SPEC, "INSTAL_",
-                     [*category_share_columns(fit_one_hot(installments), "INSTAL_"), F.count(F.lit(1)).alias("INSTAL_COUNT")])
+                     {**category_share_texts(fit_one_hot(installments), "INSTAL_"), "INSTAL_COUNT": "count(1)"})
 
 
 def card_features(card: DataFrame) -> DataFrame:
     df = one_hot(card.drop(PREVIOUS_KEY))[0]
     return group_agg(df, KEY, {c: CARD_FUNCTIONS for c in df.columns if c != KEY}, "CC_",
-                     [F.count(F.lit(1)).alias("CC_COUNT")])
+                     {"CC_COUNT": "count(1)"})
 
 
 def clean_and_aggregate(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -207,9 +207,9 @@ def _averages(df: DataFrame, key: str, counted: Sequence[str], hot: Mapping[str,
 
 def average_bureau(bureau: DataFrame, balance: DataFrame) -> DataFrame:
     hot = one_hot(balance, ["STATUS"], null_category=False, prefix={"STATUS": "buro_bal_status"})[0]
-    months = F.count("MONTHS_BALANCE").cast("double").alias("avg_buro_buro_count")
     numbers = [c for c in hot.columns if c != BUREAU_KEY]
-    per_loan = hot.groupBy(col(BUREAU_KEY)).agg(*[F.avg(col(c)).alias(f"avg_buro_{c}") for c in numbers], months)
+    per_loan = grouped(hot, BUREAU_KEY, {**{f"avg_buro_{c}": f"avg({quote(c)})" for c in numbers},
+                                         "avg_buro_buro_count": "cast(count(MONTHS_BALANCE) as double)"})
     loans = merge_suffix(bureau, per_loan, [BUREAU_KEY], suffixes=("", "_bur_bal"))
     return _averages(loans, KEY, [BUREAU_KEY],
                      {"CREDIT_ACTIVE": "ca_", "CREDIT_CURRENCY": "cu_", "CREDIT_TYPE": "ty_"})

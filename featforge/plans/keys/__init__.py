@@ -10,10 +10,9 @@ import importlib
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featforge.functions.numeric import col
+from featforge.functions.numeric import quote
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,11 +46,12 @@ NUDGE = 1.000000000003
 def rounded(df: DataFrame, digits: int | Mapping[str, int] = 6, nudge: bool = False) -> DataFrame:
     """Round every double column, or those named in ``digits``; + 0.0 turns a negative zero into zero."""
     def one(f):
+        name = quote(f.name)
         if not isinstance(f.dataType, T.DoubleType) or not (isinstance(digits, int) or f.name in digits):
-            return col(f.name)
-        value = col(f.name) * NUDGE if nudge else col(f.name)
-        return (F.round(value, digits if isinstance(digits, int) else digits[f.name]) + F.lit(0.0)).alias(f.name)
-    return df.select(*[one(f) for f in df.schema.fields])
+            return name
+        value = f"{name} * double('{NUDGE}')" if nudge else name
+        return f"round({value}, {digits if isinstance(digits, int) else digits[f.name]}) + double('0') as {name}"
+    return df.selectExpr(*[one(f) for f in df.schema.fields])
 
 
 def load_all() -> None:

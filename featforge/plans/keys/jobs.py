@@ -203,8 +203,8 @@ def _clean_sql():
 
 def _all_doubles(df, digits=3):
     """Every column but the key as a rounded double, so that one rule covers a wide matrix on both sides."""
-    return df.select(credit.KEY, *[(F.round(F.col(f"`{c}`").cast("double") * NUDGE, digits) + 0.0).alias(c)
-                                   for c in df.columns if c != credit.KEY])
+    return rounded(df.selectExpr(credit.KEY, *[f"cast(`{c}` as double) as `{c}`" for c in df.columns if c != credit.KEY]),
+                   digits, nudge=True)
 
 
 @key("clean_and_aggregate", _clean_sql())

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from featforge.functions.numeric import positive_part, row_max, row_mean, row_null_count, to_int_trunc
 from featforge.operators import rows as R
 from featforge.operators.ordered import add_row_index
-from featforge.operators.profile import per_column
+from featforge.operators.rollup import per_column
 from featforge.plans.keys import key, rounded, table
 
 
@@ -167,7 +167,7 @@ from lineitem""" for c in ("l_orderkey", "l_suppkey", "l_linenumber")))
 def downcast(spark, sf_dir):
     small, report = R.downcast(table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey", "l_linenumber"))
     totals = per_column(small, small.columns, {
-        "physical_type": lambda c: F.first(F.lit(report["types"][c])), "total": lambda c: F.sum(c).cast("long")})
+        "physical_type": lambda c: f"first('{report['types'][c.strip('`')]}')", "total": lambda c: f"cast(sum({c}) as bigint)"})
     return totals.withColumnRenamed("column", "column_name")
 
 

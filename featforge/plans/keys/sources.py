@@ -93,8 +93,8 @@ def fs_versions(spark, sf_dir):
 @key("schema_report")
 def schema_report_key(spark, sf_dir):
     """The schema of lineitem beside the number of values in each column."""
-    from featforge.operators.profile import per_column
+    from featforge.operators.rollup import per_column
     lines = table(spark, sf_dir, "lineitem")
-    filled = per_column(lines, lines.columns, {"n_values": lambda c: F.count(F.col(c))})
+    filled = per_column(lines, lines.columns, {"n_values": lambda c: f"count({c})"})
     report = schema_report(lines, foreign_keys=["l_orderkey", "l_partkey", "l_suppkey"])
     return report.join(filled, report["column_name"] == filled["column"]).drop("column")

@@ -87,10 +87,10 @@ def entity_check(spark, sf_dir):
 @key("dfs_defs")
 def dfs_defs(spark, sf_dir):
     """Each definition beside the number of customers that have a value for it."""
-    from featforge.operators.profile import per_column
+    from featforge.operators.rollup import per_column
     es = entity_set(spark, sf_dir)
     matrix = D.dfs(es).drop("c_custkey", "c_acctbal")
-    filled = per_column(matrix, matrix.columns, {"n_values": lambda c: F.count(F.col(f"`{c}`"))})
+    filled = per_column(matrix, matrix.columns, {"n_values": lambda c: f"count({c})"})
     defs = D.definitions_table(es, D.dfs(es, features_only=True))
     return defs.join(filled, defs["name"] == filled["column"]).drop("column")
 
@@ -164,9 +164,9 @@ def expand_nonlinear(spark, sf_dir):
 @key("l1_select")
 def l1_select(spark, sf_dir):
     """Values per feature that an L1-penalised model keeps when it tells generous lines from others."""
-    from featforge.operators.profile import per_column
+    from featforge.operators.rollup import per_column
     df = table(spark, sf_dir, "lineitem", "l_quantity", "l_discount", "l_tax").withColumn(
         "label", (F.col("l_discount") > F.col("l_tax")).cast("int"))
     wide = D.expand_nonlinear(df, ["l_quantity", "l_discount", "l_tax"])
     names = D.l1_select(wide, [c for c in wide.columns if c != "label"], "label")
-    return per_column(wide, names, {"n_values": lambda c: F.count(F.col(f"`{c}`"))})
+    return per_column(wide, names, {"n_values": lambda c: f"count({c})"})
