@@ -108,6 +108,12 @@ def _list(df: DataFrame, brackets: list[_Bracket]) -> list[float]:
     return out
 
 
+def _position(p: float, n: int) -> float:
+    """Zero-based position of a quantile among n values; whole positions are kept whole."""
+    at = p * (n - 1)
+    return float(round(at)) if abs(at - round(at)) < 1e-9 else at
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[tuple[str, float], float]:
     """``{(column, prob): value}`` with linear interpolation; columns without values are absent."""
     found: dict[tuple[str, float], float] = {}
@@ -133,7 +139,7 @@ def _exact_quantiles(df: DataFrame, columns: list[str], probs: Sequence[float])
             continue
         sizes[c] = n
         for j, p in enumerate(probs):
-            position = p * (n - 1)
+            position = _position(p, n)
             for r in (math.floor(position), math.ceil(position)):
                 near = (sketch[2 * j], sketch[2 * j + 1]) if n > 2 * _ACCURACY else (low, high)
                 # The extremes are known without a search.
@@ -170,12 +176,17 @@ def _exact_quantiles(df: DataFrame, columns: list[str], probs: Sequence[float])
     out = {}
     for c, n in sizes.items():
         for p in probs:
-            position = p * (n - 1)
+            position = _position(p, n)
             low, high = value[(c, math.floor(position))], value[(c, math.ceil(position))]
             out[(c, p)] = low if low == high else low + (high - low) * (position - math.floor(position))
     return out
 
 
+def value_at(df: DataFrame, column: str, rank: int, n: int) -> float:
+    """The value at a zero-based rank of the ascending order of a column with n values."""
+    return exact_quantiles(df, [column], [rank / (n - 1) if n > 1 else 0.0])[(column, rank / (n - 1) if n > 1 else 0.0)]
+
+
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int | None = None) -> DataFrame:
     """``(column, prob, quantile)``; exact unless ``accuracy`` asks for the one-pass sketch."""
     probs = [float(p) for p in probs]

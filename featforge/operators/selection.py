@@ -1,14 +1,15 @@
-"""Feature selection from importance tables. These tables have one row per feature (and run), so they are as small
-as a schema; the work at scale is in the model fits."""
+"""Feature selection from importance tables with one row per feature (and run). Ranks and thresholds are selected by
+counting, so a table of any length never passes through one task."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featforge.functions.numeric import col
+from featforge.functions.numeric import col, quote
+from featforge.operators.quantiles import exact_quantiles, value_at
 
 _KINDS = ("split", "gain")
 
@@ -26,13 +27,17 @@ def importance_scores(actual: DataFrame, null: DataFrame) -> DataFrame:
     return real.join(chance, "feature", "left").select("feature", *[score(k).alias(f"{k}_score") for k in _KINDS])
 
 
+def _descending(df: DataFrame, column: str, position: int) -> float | None:
+    """The value at a zero-based position of the descending order, by selection instead of a sort."""
+    n = df.where(col(column).isNotNull()).count()
+    return value_at(df, column, n - 1 - position, n) if position < n else None
+
+
 def value_at_rank(df: DataFrame, column: str, fraction: float, name: str | None = None) -> DataFrame:
-    """The value at zero-based position int(fraction * n) of a descending sort of a small table."""
-    everything = Window.partitionBy(F.lit(0))
-    ranked = df.select(col(column), F.row_number().over(everything.orderBy(col(column).desc())).alias("_r"),
-                       F.count(F.lit(1)).over(everything).alias("_n"))
-    at = F.floor(F.col("_n") * F.lit(fraction)) + 1
-    return ranked.agg(F.max(F.when(F.col("_r") == at, col(column))).alias(name or column))
+    """One row with the value at zero-based position int(fraction * n) of a descending sort."""
+    n = df.where(col(column).isNotNull()).count()
+    found = _descending(df, column, int(fraction * n)) if n else None
+    return df.sparkSession.createDataFrame([(found,)], f"{quote(name or column)} double")
 
 
 def score_thresholds(scores: DataFrame) -> DataFrame:
@@ -41,19 +46,34 @@ def score_thresholds(scores: DataFrame) -> DataFrame:
     When none, under 5 % or over 90 % of the features would pass, the 80th, 90th or 67th percentile is used.
     """
     ranks = {k: value_at_rank(scores, f"{k}_score", 0.4).first()[0] for k in _KINDS}
-    lit = {k: F.lit(-float("inf") if ranks[k] is None else ranks[k]) for k in _KINDS}
-    passed = F.count_if((F.col("split_score") > lit["split"]) | (F.col("gain_score") > lit["gain"]))
-    quantile = lambda k, p: F.percentile(F.col(f"{k}_score"), F.lit(p))
-    found = scores.agg(passed.alias("passed"), F.count(F.lit(1)).alias("n"),
-                       *[quantile(k, p).alias(f"{k}_{int(p * 100)}") for k in _KINDS for p in (0.67, 0.8, 0.9)])
-    out = []
-    for k in _KINDS:
-        out.append(F.when(F.col("n") == 0, lit[k])
-                   .when(F.col("passed") == 0, F.col(f"{k}_80"))
-                   .when(F.col("passed") < 0.05 * F.col("n"), F.col(f"{k}_90"))
-                   .when(F.col("passed") > 0.9 * F.col("n"), F.col(f"{k}_67"))
-                   .otherwise(lit[k]).alias(f"{k}_threshold"))
-    return found.select(*out)
+    found = {k: -float("inf") if ranks[k] is None else ranks[k] for k in _KINDS}
+    passed, n = scores.agg(F.count_if(_passes(found["split"], found["gain"])), F.count(F.lit(1))).first()
+    prob = None
+    if n and passed == 0:
+        prob = 0.8
+    elif passed < 0.05 * n:
+        prob = 0.9
+    elif n and passed > 0.9 * n:
+        prob = 0.67
+    if prob is not None:
+        quantiles = exact_quantiles(scores, [f"{k}_score" for k in _KINDS], [prob])
+        found = {k: quantiles[(f"{k}_score", prob)] for k in _KINDS}
+    return scores.sparkSession.createDataFrame([(found["split"], found["gain"])],
+                                               "split_threshold double, gain_threshold double")
+
+
+def _passes(split_threshold: float, gain_threshold: float) -> Column:
+    return (F.col("split_score") > split_threshold) | (F.col("gain_score") > gain_threshold)
+
+
+def _best(scores: DataFrame, column: str, k: int) -> DataFrame:
+    """The k features with the highest score, ties by name: a filter at the k-th value, and a limit among its ties."""
+    cut = _descending(scores, column, k - 1) if k > 0 else None
+    if cut is None:
+        return scores.select("feature").limit(0) if k <= 0 else scores.select("feature")
+    above = scores.where(F.col(column) > cut)
+    ties = scores.where(F.col(column) == cut).orderBy("feature").limit(k - above.count())
+    return above.select("feature").union(ties.select("feature"))
 
 
 def select_features(scores: DataFrame, split_threshold: float | None = None,
@@ -63,13 +83,12 @@ def select_features(scores: DataFrame, split_threshold: float | None = None,
         auto = score_thresholds(scores).first()
         split_threshold = auto[0] if split_threshold is None else split_threshold
         gain_threshold = auto[1] if gain_threshold is None else gain_threshold
-    passing = scores.where((F.col("split_score") > split_threshold) | (F.col("gain_score") > gain_threshold))
-    sizes = scores.agg(F.count(F.lit(1)), F.count_if(
-        (F.col("split_score") > split_threshold) | (F.col("gain_score") > gain_threshold))).first()
+    passing = scores.where(_passes(split_threshold, gain_threshold))
+    sizes = scores.agg(F.count(F.lit(1)), F.count_if(_passes(split_threshold, gain_threshold))).first()
     if sizes[1] <= 0.75 * sizes[0]:
         return passing.select("feature")
     quarter = int(sizes[0] * 0.25)
-    best = [scores.orderBy(F.desc(f"{k}_score"), "feature").limit(quarter).select("feature") for k in _KINDS]
+    best = [_best(scores, f"{k}_score", quarter) for k in _KINDS]
     return best[0].union(best[1]).distinct()
 
 
