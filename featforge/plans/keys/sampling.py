@@ -23,13 +23,13 @@ def _orders(spark, sf_dir):
     return table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_totalprice")
 
 
-@key("sample_n", "select 3000::bigint as n_rows, 3000::bigint as n_keys from (select count(*) from orders)")
+@key("sample_n", "select least(3000, count(*))::bigint as n_rows, least(3000, count(*))::bigint as n_keys from orders")
 def sample_n(spark, sf_dir):
     drawn = M.sample_n(_orders(spark, sf_dir), 3000, "o_orderkey")
     return drawn.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o_orderkey").alias("n_keys"))
 
 
-@key("sample_stratified", _quota(2000, _STATUS))
+@key("sample_stratified", _quota("(select least(2000, count(*)) from orders)", _STATUS))
 def sample_stratified(spark, sf_dir):
     drawn = M.sample_stratified(_orders(spark, sf_dir), 2000, "o_orderstatus", "o_orderkey")
     return drawn.groupBy(F.col("o_orderstatus").alias("label")).agg(F.count(F.lit(1)).alias("n_rows"))
