@@ -29,7 +29,7 @@ from featforge.operators.rows import clean_infinite, split_columns, string_colum
 from featforge.operators.sampling import add_split, assign_folds, class_counts, permute_label
 from featforge.session import cut_lineage, scratch_path
 
-#: Model families by name; boosted trees stand for the reference-class gradient boosting libraries.
+#: Model families by name; Spark boosted trees take the place of other gradient boosting libraries.
 FAMILIES: dict[str, Callable[..., object]] = {
     "gbt": GBTClassifier,
     "random_forest": RandomForestClassifier,

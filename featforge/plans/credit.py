@@ -18,7 +18,7 @@ from featforge.operators.encode import apply_codes, factorize, factorize_map, fi
 from featforge.operators.joins import assemble, attach, merge_suffix, union_by_name
 from featforge.operators.rollup import (agg_columns, category_share_texts, group_agg, group_agg_where, grouped,
                                         group_mean_numeric, mean_of_means)
-from featforge.operators.rows import (add_diffs, add_ratios, filter_not_equal, null_sentinel, replace_columns,
+from featforge.operators.rows import (add_ratios, filter_not_equal, null_sentinel, replace_columns,
                                       sanitize_names, string_columns)
 
 KEY, BUREAU_KEY, PREVIOUS_KEY = "SK_ID_CURR", "SK_ID_BUREAU", "SK_ID_PREV"

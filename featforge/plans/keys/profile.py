@@ -1,7 +1,5 @@
 """Profiling and data quality."""
 
-import math
-
 from pyspark.sql import functions as F
 
 from featforge.operators import correlation as C
