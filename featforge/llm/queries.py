@@ -29,3 +29,25 @@ def op8(spark, sf_dir):
     return quality(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "line_chars", "dup_line_chars", "dup_chars_5", "dup_chars_10")
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op1_best_fit_packing")
+def op1(spark, sf_dir):
+    from featforge.llm.packing import pack
+    return pack(documents(spark, sf_dir), tokenizer())
+
+
+@query("op4_token_files")
+def op4(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from featforge.llm.token_files import read_token_files, write_token_files
+    from featforge.session import scratch_path
+    folder = scratch_path(spark, "tokens")
+    write_token_files(documents(spark, sf_dir), folder, tokenizer())
+    return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -74,12 +74,18 @@ class Texts:
 
     def hashes(self, start: np.ndarray, end: np.ndarray, whole: bool = False) -> np.ndarray:
         """Hash of each byte range; ``whole`` takes the bytes as they are, separators included."""
-        codes = self.data.astype(np.uint64) + np.uint64(1) if whole else self._codes.astype(np.uint64)
+        return self._sums(self.data.astype(np.uint64) + np.uint64(1) if whole else self._codes.astype(np.uint64), start, end)
+
+    def _sums(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         total = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(codes * _power("up", len(codes)), out=total[1:])
         length = (end - start).astype(np.uint64)
         return mix((total[end] - total[start]) * _power("down", len(codes) + 1)[start] + length * np.uint64(_STEP))
 
+    def lower_hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The same with A-Z in lower case, whatever the words are."""
+        return self._sums(SPACED_LOWER[self.data].astype(np.uint64), start, end)
+
     def word_hashes(self) -> np.ndarray:
         return self.hashes(self.start, self.end)
 
