@@ -51,3 +51,26 @@ def op4(spark, sf_dir):
     folder = scratch_path(spark, "tokens")
     write_token_files(documents(spark, sf_dir), folder, tokenizer())
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_PLAIN = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op3_decontamination", f"""
+with d as (select doc_id, {_PLAIN} as words from documents), b as (select item_id, {_PLAIN} as words from benchmark),
+w as (select distinct item_id, words[i:i + least(10, len(words)) - 1] as win from b, unnest(range(1, greatest(len(words) - 10, 0) + 2)) t(i)
+      where len(words) > 0),
+n as (select distinct len(win) as n from w),
+p as (select doc_id, i, n, words[i:i + n - 1] as win from d, n, unnest(range(1, len(words) - n + 2)) t(i)),
+h as (select doc_id, i, n, item_id from p join w using (win)),
+c as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(i, i + n)) as q from h) group by 1),
+s as (select doc_id, count(distinct item_id::varchar) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids
+      from h group by 1)
+select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from d left join c using (doc_id) left join s using (doc_id)""")
+def op3(spark, sf_dir):
+    from featforge.llm.decontaminate import decontaminate
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate(documents(spark, sf_dir), items).drop("text_hash")
