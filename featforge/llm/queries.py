@@ -74,3 +74,20 @@ def op3(spark, sf_dir):
     from featforge.llm.decontaminate import decontaminate
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate(documents(spark, sf_dir), items).drop("text_hash")
+
+
+@query("op5_minhash_near_dup", f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') as words
+      from documents),
+s as (select distinct doc_id, words[i:i + 4] as shingle from w, unnest(range(1, greatest(len(words) - 4, 1) + 1)) t(i) where len(words) > 0),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y using (shingle) where x.doc_id != y.doc_id group by 1, 2),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+r as (select a, b from e union select r.a, e.b from r join e on e.a = r.b),
+c as (select a as doc_id, min(b) as other from r group by 1)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, least(doc_id, coalesce(other, doc_id)) as component_id,
+       doc_id <= coalesce(other, doc_id) as kept
+from documents left join n using (doc_id) left join c using (doc_id)""")
+def op5(spark, sf_dir):
+    from featforge.llm.near_dup import near_duplicates
+    return near_duplicates(documents(spark, sf_dir)).drop("row_key")
