@@ -91,3 +91,9 @@ from documents left join n using (doc_id) left join c using (doc_id)""")
 def op5(spark, sf_dir):
     from featforge.llm.near_dup import near_duplicates
     return near_duplicates(documents(spark, sf_dir)).drop("row_key")
+
+
+@query("op2_secret_scan")
+def op2(spark, sf_dir):
+    from featforge.llm.secrets import secrets
+    return secrets(documents(spark, sf_dir)).drop("text_hash", "parts")
