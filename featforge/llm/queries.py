@@ -100,18 +100,18 @@ def op2(spark, sf_dir):
 
 
 @query("op9_line_dedup", r"""
-with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as at
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as pos
            from documents where text is not null),
-t as (select doc_id, at, list_transform(regexp_extract_all(line, '[^\x09-\x0D\x20]+'), lambda x: if(regexp_matches(x, '[0-9]'), '<*>', x)) as t from l),
+t as (select doc_id, pos, list_transform(regexp_extract_all(line, '[^\x09-\x0D\x20]+'), lambda x: if(regexp_matches(x, '[0-9]'), '<*>', x)) as t from l),
 n as (select *, len(t) as n from t),
-k as (select doc_id, at, -1 as s, n, t as a, null as b from n where n >= 3
-      union all select doc_id, at, s, n, t[:2 + (n - 2) * s // 3], t[2 + (n - 2) * (s + 1) // 3 + 1:]
+k as (select doc_id, pos, -1 as s, n, t as a, null as b from n where n >= 3
+      union all select doc_id, pos, s, n, t[:2 + (n - 2) * s // 3], t[2 + (n - 2) * (s + 1) // 3 + 1:]
       from n, unnest([0, 1, 2]) u(s) where n >= 8),
 r as (select s, n, a, b, min(doc_id) as first from k group by all having count(*) >= 3 and min(doc_id) != max(doc_id)),
-x as (select distinct doc_id, at from k join r on k.s = r.s and k.n = r.n and k.a = r.a and k.b is not distinct from r.b
+x as (select distinct doc_id, pos from k join r on k.s = r.s and k.n = r.n and k.a = r.a and k.b is not distinct from r.b
       where doc_id != first),
 g as (select doc_id, count(*) as n from x group by 1),
-o as (select l.doc_id, string_agg(line, chr(10) order by at) as text from l anti join x on l.doc_id = x.doc_id and l.at = x.at group by 1)
+o as (select l.doc_id, string_agg(line, chr(10) order by pos) as text from l anti join x on l.doc_id = x.doc_id and l.pos = x.pos group by 1)
 select d.doc_id, case when d.text is null then null else coalesce(o.text, '') end as text, coalesce(g.n, 0)::bigint as lines_dropped
 from documents d left join o using (doc_id) left join g using (doc_id)""")
 def op9(spark, sf_dir):
