@@ -117,3 +117,13 @@ from documents d left join o using (doc_id) left join g using (doc_id)""")
 def op9(spark, sf_dir):
     from featforge.llm.line_dedup import dedup_lines
     return dedup_lines(documents(spark, sf_dir))
+
+
+@query("op6_language_id")
+def op6(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from featforge.llm.language import fit_language, held_out, predict_language
+    model = fit_language(documents(spark, sf_dir, "doc_id", "text", "lang"), ~held_out())
+    out = predict_language(documents(spark, sf_dir), model)
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
