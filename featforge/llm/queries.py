@@ -127,3 +127,17 @@ def op6(spark, sf_dir):
     model = fit_language(documents(spark, sf_dir, "doc_id", "text", "lang"), ~held_out())
     out = predict_language(documents(spark, sf_dir), model)
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from featforge.llm.language import held_out
+    from featforge.llm.toxicity import fit_toxicity, score_toxicity
+    out_of_fit = held_out(of=3, rest=1)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    docs = documents(spark, sf_dir)
+    model = fit_toxicity(docs, labels, ~out_of_fit)
+    return score_toxicity(docs, model).select("doc_id", F.coalesce(out_of_fit, F.lit(False)).alias("held_out"), "score", "predicted",
+                                              "excess", "n_words")
