@@ -141,3 +141,9 @@ def op7(spark, sf_dir):
     model = fit_toxicity(docs, labels, ~out_of_fit)
     return score_toxicity(docs, model).select("doc_id", F.coalesce(out_of_fit, F.lit(False)).alias("held_out"), "score", "predicted",
                                               "excess", "n_words")
+
+
+@query("op10_license_scan")
+def op10(spark, sf_dir):
+    from featforge.llm.licenses import licenses
+    return licenses(documents(spark, sf_dir))
