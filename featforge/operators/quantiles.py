@@ -1,24 +1,29 @@
 """Exact quantiles, value counts and modes of whole columns.
 
 Spark's own ``percentile`` keeps every distinct value of a group in one task. Exact quantiles are found here by
-selection instead: a quantile sketch brackets each wanted rank, a counting pass tells how many values lie below and
-inside the bracket, and the bracket shrinks by a factor of thousands per round until its values can be listed. Each
-pass is a global aggregate without a shuffle of rows.
+selection instead: a quantile sketch brackets each wanted rank, a counting pass tells how many values lie below, on and
+inside the ends of the bracket, and the bracket shrinks by a factor of thousands per round until its values can be listed.
+A rank among the values equal to an end is found at once, and else both ends move inside, so every round shrinks the
+bracket however often a value repeats. Each pass is a global aggregate without a shuffle of rows. Ranks are whole numbers
+and values keep their type, so neither rounds.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from featforge.functions.numeric import col, literal, quote
 
 _ACCURACY = 10_000      # rank error of one sketch: 1 / accuracy of the rows it saw
-_LISTED = 50_000        # values of one bracket that may be listed on the driver
+_LISTED = 20_000        # values of one bracket that are listed; wider brackets shrink first, with the same result
 _COLUMNS_PER_JOB = 40   # a job reads only its own columns, so more columns mean more jobs, not more input
 
 
@@ -30,9 +35,15 @@ def unpivot(df: DataFrame, columns: Sequence[str], cast: str = "double", keep: S
 
 
 def value_table(df: DataFrame, columns: Sequence[str], cast: str = "double") -> DataFrame:
-    """``(column, value, n)``: how often each non-null value occurs in each column."""
-    return (unpivot(df, columns, cast).where(F.col("value").isNotNull())
-            .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    """``(column, value, exact, n)``: how often each non-null value occurs in each column.
+
+    ``exact`` is the text of a value that the cast may round (long and decimal numbers as double), else null.
+    """
+    wide = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.LongType, T.DecimalType))} if cast == "double" else set()
+    pairs = ", ".join(f"struct({literal(c)} as column, cast({quote(c)} as {cast}) as value, "
+                      f"{f'cast({quote(c)} as string)' if c in wide else 'cast(null as string)'} as exact)" for c in columns)
+    long = df.selectExpr(f"explode(array({pairs})) as _p").selectExpr("_p.column", "_p.value", "_p.exact")
+    return long.where(F.col("value").isNotNull()).groupBy("column", "value", "exact").agg(F.count(F.lit(1)).alias("n"))
 
 
 @dataclass
@@ -41,150 +52,149 @@ class _Bracket:
 
     column: str
     rank: int
-    low: float
-    high: float
-    below: int
-    inside: int
-
-    def holds(self):
-        return col(self.column).cast("double").between(F.lit(self.low), F.lit(self.high))
+    low: object
+    high: object
+    below: int = 0
+    inside: int = 0
 
 
 def _aggregate(df: DataFrame, exprs: list) -> tuple:
     return df.agg(*[e.alias(f"a{i}") for i, e in enumerate(exprs)]).first()
 
 
-def _count(df: DataFrame, brackets: list[_Bracket]) -> None:
-    """Exact numbers of values below and inside each bracket."""
+def _count(df: DataFrame, brackets: list[_Bracket], around: list[_Bracket], found: dict) -> list[_Bracket]:
+    """Resolve brackets whose rank falls on an end, move the ends of the others inside; returns those left.
+
+    A bracket that does not hold its rank, because a sketch missed, is replaced by the side of the one around it that does.
+    """
     exprs = []
     for b in brackets:
-        v = col(b.column).cast("double")
-        exprs += [F.count_if(v < b.low), F.count_if(v <= b.high)]
-    row = _aggregate(df, exprs)
+        v, low, high = F.col(b.column), F.lit(b.low), F.lit(b.high)
+        exprs += [F.count_if(v < low), F.count_if(v == low), F.count_if(v < high), F.count_if(v == high),
+                  F.min(F.when(v > low, v)), F.max(F.when(v < high, v)), F.max(F.when(v < low, v)), F.min(F.when(v > high, v))]
+    row, left = _aggregate(df, exprs), []
     for i, b in enumerate(brackets):
-        b.below, b.inside = row[2 * i], row[2 * i + 1] - row[2 * i]
+        under, on_low, under_high, on_high, after, before, smaller, larger = row[8 * i:8 * i + 8]
+        a, past = around[i], under_high + on_high
+        if under <= b.rank < under + on_low:
+            found[(b.column, b.rank)] = b.low
+        elif under_high <= b.rank < under_high + on_high:
+            found[(b.column, b.rank)] = b.high
+        elif b.rank < under:
+            left.append(_Bracket(b.column, b.rank, a.low, smaller, a.below, under - a.below))
+        elif b.rank >= past:
+            left.append(_Bracket(b.column, b.rank, larger, a.high, past, a.below + a.inside - past))
+        else:
+            left.append(_Bracket(b.column, b.rank, after, before, under + on_low, under_high - under - on_low))
+    return left
 
 
-def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
-    """Shrink each bracket around its rank with a sketch of the values inside it."""
-    margin = 2.0 / _ACCURACY
-    exprs = []
+def _narrow(df: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
+    """Brackets around the ranks from a sketch of the values inside the given ones."""
+    margin, exprs = 2.0 / _ACCURACY, []
     for b in brackets:
         q = (b.rank - b.below) / max(b.inside - 1, 1)
-        exprs.append(F.percentile_approx(F.when(b.holds(), col(b.column).cast("double")),
-                                         [max(q - margin, 0.0), min(q + margin, 1.0)], _ACCURACY))
-    row = _aggregate(df, exprs)
-    old = [(b.low, b.high) for b in brackets]
-    for i, b in enumerate(brackets):
-        b.low, b.high = row[i]
-    _count(df, brackets)
-    for b, (low, high) in zip(brackets, old):
-        # A sketch that missed the rank still tells on which side of it the rank lies.
-        if b.rank < b.below:
-            b.low, b.high = low, b.low
-            _count(df, [b])
-        elif b.rank >= b.below + b.inside:
-            b.low, b.high = b.high, high
-            _count(df, [b])
-
-
-def _list(df: DataFrame, brackets: list[_Bracket]) -> list[float]:
-    """The value at each rank, from the counted values of the small brackets."""
-    hits = F.filter(F.array(*[
-        F.when(b.holds(), F.struct(F.lit(i).alias("b"), col(b.column).cast("double").alias("v")))
-        for i, b in enumerate(brackets)]), lambda x: x.isNotNull())
-    rows = (df.select(F.explode(hits).alias("h")).groupBy("h.b", "h.v").count().collect())
-    values: dict[int, list] = {}
-    for r in rows:
-        values.setdefault(r["b"], []).append((r["v"], r["count"]))
-    out = []
-    for i, b in enumerate(brackets):
-        left = b.rank - b.below
-        for v, n in sorted(values[i]):
-            if left < n:
-                out.append(v)
-                break
-            left -= n
-    return out
-
-
-def _position(p: float, n: int) -> float:
-    """Zero-based position of a quantile among n values; whole positions are kept whole."""
-    at = p * (n - 1)
-    return float(round(at)) if abs(at - round(at)) < 1e-9 else at
-
-
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[tuple[str, float], float]:
-    """``{(column, prob): value}`` with linear interpolation; columns without values are absent."""
-    found: dict[tuple[str, float], float] = {}
+        held = F.when(F.col(b.column).between(F.lit(b.low), F.lit(b.high)), F.col(b.column))
+        exprs.append(F.percentile_approx(held, [max(q - margin, 0.0), min(q + margin, 1.0)], _ACCURACY))
+    # A sketch rounds long and decimal values, so its ends may lie just outside.
+    return [_Bracket(b.column, b.rank, low if low > b.low else b.low, high if high < b.high else b.high)
+            for b, (low, high) in zip(brackets, _aggregate(df, exprs))]
+
+
+def _list(df: DataFrame, brackets: list[_Bracket], found: dict) -> None:
+    """The value at each rank, from the counted values of the small brackets; long and decimal numbers travel as text."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    for start in range(0, len(brackets), 64):
+        part = brackets[start:start + 64]
+        hits = []
+        for i, b in enumerate(part):
+            plain = isinstance(kinds[b.column], T.DoubleType)
+            value = F.struct(F.lit(i).alias("b"), (F.col(b.column) if plain else F.lit(None)).cast("double").alias("v"),
+                             (F.lit(None) if plain else F.col(b.column)).cast("string").alias("t"))
+            hits.append(F.when(F.col(b.column).between(F.lit(b.low), F.lit(b.high)), value))
+        rows = (df.select(F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("h"))
+                .groupBy("h.b", "h.v", "h.t").agg(F.count(F.lit(1)).alias("n")).collect())
+        values: dict[int, list] = {}
+        for i, v, t, n in rows:
+            parse = Decimal if isinstance(kinds[part[i].column], T.DecimalType) else int
+            values.setdefault(i, []).append((v if t is None else parse(t), n))
+        for i, b in enumerate(part):
+            left = b.rank - b.below
+            for v, n in sorted(values[i], key=lambda x: (x[0] != x[0], x[0])):
+                if left < n:
+                    found[(b.column, b.rank)] = v
+                    break
+                left -= n
+
+
+def values_at(df: DataFrame, ranks: Mapping[str, Collection[int]]) -> dict[tuple[str, int], object]:
+    """``{(column, rank): value}`` at zero-based ranks of the ascending order of each column's non-null values.
+
+    Values keep the type of their column. Ranks outside of a column are absent.
+    """
+    found: dict[tuple[str, int], object] = {}
+    columns = list(ranks)
     for start in range(0, len(columns), _COLUMNS_PER_JOB):
-        found.update(_exact_quantiles(df, list(columns[start:start + _COLUMNS_PER_JOB]), probs))
+        some = columns[start:start + _COLUMNS_PER_JOB]
+        part = df.select(*[col(c).alias(f"c{i}") for i, c in enumerate(some)])
+        names = {f"c{i}": c for i, c in enumerate(some)}
+        got = _values_at(part, {f"c{i}": sorted(ranks[c]) for i, c in enumerate(some)})
+        found.update({(names[c], r): v for (c, r), v in got.items()})
     return found
 
 
-def _exact_quantiles(df: DataFrame, columns: list[str], probs: Sequence[float]) -> dict:
-    df = df.select(*[col(c) for c in columns])
-    margin = 2.0 / _ACCURACY
-    grid = [x for p in probs for x in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    exprs = []
-    for c in columns:
-        v = col(c).cast("double")
-        exprs += [F.count(v), F.min(v), F.max(v), F.percentile_approx(v, grid, _ACCURACY)]
-    row = _aggregate(df, exprs)
-    ranks: dict[tuple[str, int], _Bracket] = {}
-    sizes = {}
-    for i, c in enumerate(columns):
-        n, low, high, sketch = row[4 * i:4 * i + 4]
-        if not n:
-            continue
-        sizes[c] = n
-        for j, p in enumerate(probs):
-            position = _position(p, n)
-            for r in (math.floor(position), math.ceil(position)):
-                near = (sketch[2 * j], sketch[2 * j + 1]) if n > 2 * _ACCURACY else (low, high)
-                # The extremes are known without a search.
-                near = (low, low) if r == 0 else (high, high) if r == n - 1 else near
-                ranks.setdefault((c, r), _Bracket(c, r, *near, below=0, inside=n))
-    value = {}
+def _values_at(df: DataFrame, ranks: dict[str, list[int]]) -> dict:
+    row = _aggregate(df, [e for c in ranks for e in (F.count(c), F.min(c), F.max(c))])
+    bounds = {c: (row[3 * i + 1], row[3 * i + 2], row[3 * i]) for i, c in enumerate(ranks)}
+    found: dict = {}
     pending = []
-    for k, b in ranks.items():
-        if b.rank in (0, sizes[b.column] - 1):
-            value[k] = b.low
-        else:
-            pending.append(b)
-    if pending:
-        _count(df, pending)
-        for b in pending:
-            if not b.below <= b.rank < b.below + b.inside:
-                i = columns.index(b.column)
-                b.low, b.high, b.below, b.inside = row[4 * i + 1], row[4 * i + 2], 0, row[4 * i]
+    for c, wanted in ranks.items():
+        low, high, n = bounds[c]
+        for r in wanted:
+            if r in (0, n - 1) and n:  # the extremes are known without a search
+                found[(c, r)] = low if r == 0 else high
+            elif 0 < r < n - 1:
+                pending.append(_Bracket(c, r, low, high, 0, n))
     while pending:
-        wide = []
-        for b in pending:
-            if b.low == b.high:
-                value[(b.column, b.rank)] = b.low
-            else:
-                wide.append(b)
-        small = [b for b in wide if b.inside <= _LISTED]
-        for chunk in range(0, len(small), 64):
-            part = small[chunk:chunk + 64]
-            for b, v in zip(part, _list(df, part)):
-                value[(b.column, b.rank)] = v
-        pending = [b for b in wide if b.inside > _LISTED]
-        if pending:
-            _narrow(df, pending)
-    out = {}
-    for c, n in sizes.items():
-        for p in probs:
-            position = _position(p, n)
-            low, high = value[(c, math.floor(position))], value[(c, math.ceil(position))]
-            out[(c, p)] = low if low == high else low + (high - low) * (position - math.floor(position))
+        small = [b for b in pending if b.inside <= _LISTED]
+        _list(df, small, found)
+        wide = [b for b in pending if b.inside > _LISTED]
+        if not wide:
+            break
+        pending = _count(df, _narrow(df, wide), wide, found)
+        old = {(b.column, b.rank): b.inside for b in wide}
+        if any(b.inside >= old[(b.column, b.rank)] for b in pending):
+            raise AssertionError("a bracket did not shrink")
+    return found
+
+
+def _position(p: float, n: int) -> Fraction:
+    """Zero-based position of a quantile among n values, without rounding; p counts as the decimal number it is written as."""
+    return Fraction(repr(float(p))) * (n - 1)
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[tuple[str, float], float]:
+    """``{(column, prob): value}`` with linear interpolation; columns without values are absent."""
+    if not columns:
+        return {}
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    exact = (T.IntegralType, T.DecimalType, T.DoubleType)
+    df = df.select(*[col(c) if isinstance(kinds[c], exact) else col(c).cast("double").alias(c) for c in columns])
+    counts = _aggregate(df, [F.count(col(c)) for c in columns])
+    at = {(c, p): _position(p, n) for c, n in zip(columns, counts) if n for p in probs}
+    ranks: dict[str, set[int]] = {}
+    for (c, _), x in at.items():
+        ranks.setdefault(c, set()).update((math.floor(x), math.ceil(x)))
+    value, out = values_at(df, ranks), {}
+    for (c, p), x in at.items():
+        low, high = value[(c, math.floor(x))], value[(c, math.ceil(x))]
+        out[(c, p)] = float(low) if low == high else float(low) + (float(high) - float(low)) * float(x - math.floor(x))
     return out
 
 
-def value_at(df: DataFrame, column: str, rank: int, n: int) -> float:
-    """The value at a zero-based rank of the ascending order of a column with n values."""
-    return exact_quantiles(df, [column], [rank / (n - 1) if n > 1 else 0.0])[(column, rank / (n - 1) if n > 1 else 0.0)]
+def value_at(df: DataFrame, column: str, rank: int) -> object:
+    """The value at a zero-based rank of the ascending order of a column, null beyond it."""
+    return values_at(df, {column: [rank]}).get((column, rank))
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int | None = None) -> DataFrame:
@@ -208,7 +218,7 @@ def quantile_columns(df: DataFrame, columns: Sequence[str], names: dict[str, flo
 
 def most_frequent(values: DataFrame) -> DataFrame:
     """``(column, mode, mode_count, n_distinct)`` of a value table; the smallest of tied values."""
-    best = F.struct((-F.col("n")).alias("n"), F.col("value"))
+    best = F.struct((-F.col("n")).alias("n"), F.col("value"), F.col("exact"))
     return values.groupBy("column").agg(F.min_by("value", best).alias("mode"), F.max("n").alias("mode_count"),
                                         F.count(F.lit(1)).alias("n_distinct"))
 

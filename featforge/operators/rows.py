@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
@@ -91,26 +92,32 @@ def clean_name(name: str) -> str:
     return name.translate(_SIMPLE_NAMES)
 
 
+def _unique(wanted: Mapping[str, str]) -> dict[str, str]:
+    """``wanted`` with numbered suffixes where several names want the same one.
+
+    A name that is already as wanted keeps it, the others are numbered in order, past any number that is a wanted name.
+    """
+    kept = {n for n, w in wanted.items() if n == w}
+    reserved, given = set(wanted.values()), set(kept)
+    out = {}
+    for name, want in wanted.items():
+        new = want
+        if name not in kept and want in given:
+            numbers = (f"{want}_{k}" for k in itertools.count(1))
+            new = next(n for n in numbers if n not in given and n not in reserved)
+        given.add(new)
+        out[name] = new
+    return out
+
+
 def strict_names(names: Sequence[str]) -> dict[str, str]:
-    """Word characters only, a letter first, unique: original name -> new name."""
-    mapping: dict[str, str] = {}
-    taken: set[str] = set()
-    for name in names:
-        base = re.sub(r"\W+", "_", name.strip())
-        if base[:1].isdigit() or base[:1] == "_":
-            base = f"f{base}"
-        base = base or f"feature_{len(mapping)}"
-        new, n = base, 0
-        while new in taken and new != name:
-            n += 1
-            new = f"{base}_{n}"
-        taken.add(new)
-        mapping[name] = new
-    return mapping
+    """Word characters only, a letter first, unique: original name -> new name. A name of no characters is ``feature``."""
+    words = {n: re.sub(r"\W+", "_", n.strip()) for n in names}
+    return _unique({n: (w if w[0].isalpha() else f"f{w}") if w else "feature" for n, w in words.items()})
 
 
 def sanitize_names(df: DataFrame, mode: str = "simple") -> tuple[DataFrame, dict[str, str]]:
-    mapping = strict_names(df.columns) if mode == "strict" else {c: clean_name(c) for c in df.columns}
+    mapping = strict_names(df.columns) if mode == "strict" else _unique({c: clean_name(c) for c in df.columns})
     return df.toDF(*[mapping[c] for c in df.columns]), mapping
 
 

@@ -30,14 +30,14 @@ def importance_scores(actual: DataFrame, null: DataFrame) -> DataFrame:
 def _descending(df: DataFrame, column: str, position: int) -> float | None:
     """The value at a zero-based position of the descending order, by selection instead of a sort."""
     n = df.where(col(column).isNotNull()).count()
-    return value_at(df, column, n - 1 - position, n) if position < n else None
+    return value_at(df, column, n - 1 - position) if position < n else None
 
 
 def value_at_rank(df: DataFrame, column: str, fraction: float, name: str | None = None) -> DataFrame:
     """One row with the value at zero-based position int(fraction * n) of a descending sort."""
     n = df.where(col(column).isNotNull()).count()
     found = _descending(df, column, int(fraction * n)) if n else None
-    return df.sparkSession.createDataFrame([(found,)], f"{quote(name or column)} double")
+    return df.sparkSession.createDataFrame([(None if found is None else float(found),)], f"{quote(name or column)} double")
 
 
 def score_thresholds(scores: DataFrame) -> DataFrame:

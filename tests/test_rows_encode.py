@@ -28,9 +28,46 @@ def test_downcast_bounds_are_exclusive(spark):
     assert out.collect() == df.collect() and report["percent_saved"] > 0
 
 
-def test_names():
-    assert R.strict_names(["a b", "a_b", "1x", "", "é{}"]) == {"a b": "a_b", "a_b": "a_b", "1x": "f1x", "": "feature_3", "é{}": "é_"}
+def test_names(spark):
+    assert R.strict_names(["a b", "a_b", "a-b", "a_b_1", "1x", "", "é{}"]) == {
+        "a b": "a_b_2", "a_b": "a_b", "a-b": "a_b_3", "a_b_1": "a_b_1", "1x": "f1x", "": "feature", "é{}": "é_"}
     assert R.clean_name('a{b}:c,"d"') == "a_b__c_d"
+    df = spark.createDataFrame([(1, 2, 3)], "`A:B` int, A_B int, `A,B` int")
+    assert R.sanitize_names(df)[0].columns == ["A_B_1", "A_B", "A_B_2"] == R.sanitize_names(df, "strict")[0].columns
+
+
+def test_quantiles_of_tied_and_wide_values(spark, monkeypatch):
+    from decimal import Decimal
+
+    from featforge.operators import quantiles as Q
+    big = 9007199254740992
+    for listed in (1, 50, Q._LISTED):
+        monkeypatch.setattr(Q, "_LISTED", listed)
+        df = spark.range(0, 60_000, 1, 4).selectExpr(
+            "cast(id % 2 as double) as half", "cast(id % 4 as int) as four", f"{big} + id as wide", "cast(id as decimal(30,10)) / 3 as money",
+            "if(id < 59990, 7D, cast(id as double)) as tied")
+        got = Q.values_at(df, {c: [0, 1, 14_999, 15_000, 29_999, 30_000, 59_989, 59_990, 59_999, 60_000] for c in df.columns})
+        rows = df.toPandas()
+        for c in df.columns:
+            want = sorted(rows[c])
+            for r in (0, 1, 14_999, 15_000, 29_999, 30_000, 59_989, 59_990, 59_999):
+                assert got[(c, r)] == want[r], (listed, c, r)
+            assert (c, 60_000) not in got
+        assert isinstance(got[("wide", 1)], int) and isinstance(got[("money", 1)], Decimal)
+    halves = spark.range(0, 1_000_000, 1, 8).selectExpr("cast(id % 2 as int) as x", "cast(id % 4 as double) as y")
+    monkeypatch.setattr(Q, "_LISTED", 20_000)
+    got = Q.exact_quantiles(halves, ["x", "y"], [0.25, 0.5, 0.75])
+    assert got == {("x", 0.25): 0.0, ("x", 0.5): 0.5, ("x", 0.75): 1.0, ("y", 0.25): 0.75, ("y", 0.5): 1.5, ("y", 0.75): 2.25}
+    n = 10 ** 8
+    assert all(Q._position(r / 100, n) == (n - 1) * r / 100 or Q._position(r / 100, n).denominator > 1 for r in range(101))
+    assert Q.exact_quantiles(halves, ["x"], []) == {} and Q.value_at(halves, "x", 10 ** 7) is None
+
+
+def test_distinct_long_values_are_not_rounded(spark):
+    from featforge.operators.rollup import column_stats
+    df = spark.createDataFrame([(9007199254740992,), (9007199254740993,), (None,)], "a bigint")
+    row = column_stats(df).first()
+    assert row["nunique"] == 2 and row["mode"] == 9007199254740992.0
 
 
 def test_align_and_drop(spark):
