@@ -102,7 +102,8 @@ def smote(df: DataFrame, features: Sequence[str], label: str, key: str, k: int =
     """``(key, features, label)`` with synthetic minority rows (null key) until both classes have equal size.
 
     Every minority row gets the same number of synthetic rows, up to one. Each lies between the row and one of its
-    k neighbours; which one and how far is a hash of key, copy and seed.
+    k neighbours; which one and how far is a hash of key, copy and seed. Minority rows with a missing or infinite
+    feature, and a minority of one row, have no neighbours and raise: impute first.
     """
     sizes = {c: n for c, n in class_counts(df, label).items() if c is not None}
     if len(sizes) != 2:
@@ -113,6 +114,13 @@ def smote(df: DataFrame, features: Sequence[str], label: str, key: str, k: int =
     if missing == 0:
         return real
     rare = cut_lineage(real.where(col(label) == F.lit(minority)))
+    finite = F.lit(True)
+    for f in features:
+        finite = finite & col(f).isNotNull() & ~F.isnan(col(f)) & (F.abs(col(f)) != float("inf"))
+    if bad := rare.filter(~F.coalesce(finite, F.lit(False))).count():
+        raise ValueError(f"{bad} rows of class {minority!r} have features without a finite value; impute them first")
+    if sizes[minority] < 2:
+        raise ValueError(f"class {minority!r} has a single row, so no neighbours to draw from")
     near = nearest_neighbours(rare, key, features, k, block)
     near = near.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))).alias("near"))  # k at most
     each, extra = divmod(missing, sizes[minority])

@@ -256,29 +256,34 @@ def histogram(df: DataFrame, column: str, bins: int = 10, low: float | None = No
         F.coalesce("count", F.lit(0)).alias("n"))
 
 
-def kde(df: DataFrame, column: str, by: str, grid: int = 500) -> DataFrame:
+def kde(df: DataFrame, column: str, by: str, grid: int = 500, bins: int | None = 20_000) -> DataFrame:
     """Gaussian density per class on an even grid over the whole range, Scott bandwidth.
 
-    Equal values are counted first; each distinct value then adds to every grid point inside its task, and the
-    partial sums (classes x grid points) are all that is shuffled.
+    Values are first put on ``bins`` fine steps of the range, each sharing its weight between the two nearest, so that the
+    work does not grow with the number of distinct values; ``bins=None`` uses every distinct value. Each value or step adds
+    to every grid point inside its task, and the partial sums (classes x grid points) are all that is shuffled. A class
+    of one row or without spread has no bandwidth: its density is null at every point. No values give no rows.
     """
     v = col(column).cast("double")
-    values = df.where(v.isNotNull() & col(by).isNotNull()).groupBy(col(by).alias("_by"), v.alias("_v")).count()
-    stats = df.where(v.isNotNull() & col(by).isNotNull()).groupBy(col(by).alias("_by")).agg(
-        F.count(F.lit(1)).alias("n"), F.stddev_samp(v).alias("std"), F.min(v).alias("lo"), F.max(v).alias("hi")).collect()
-    if len(stats) > 1000:
-        raise ValueError(f"{by!r} has more than 1000 classes")
-    low, high = min(r["lo"] for r in stats), max(r["hi"] for r in stats)
-    widths = {r["_by"]: (r["n"], r["std"] * r["n"] ** -0.2) for r in stats if r["std"]}
-    n = h = F.lit(None).cast("double")
-    for c, (rows, width) in widths.items():
-        mine = F.col("_by") == F.lit(c)
-        n, h = F.when(mine, float(rows)).otherwise(n), F.when(mine, width).otherwise(h)
+    rows = df.where(v.isNotNull() & col(by).isNotNull()).select(col(by).alias("_by"), v.alias("_v"))
+    low, high = rows.agg(F.min("_v"), F.max("_v")).first()
+    if low is None:
+        return df.select(col(by), F.lit(0).alias("point"), F.lit(0.0).alias("x"), F.lit(0.0).alias("density")).limit(0)
+    stats = rows.groupBy("_by").agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_v").alias("_std"))
+    width = F.when(F.col("_std") > 0, F.col("_std") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
+    if bins and high > low:
+        at = (F.col("_v") - low) / ((high - low) / bins)
+        part = at - F.floor(at)
+        shares = F.array(F.struct(F.floor(at).alias("i"), (1 - part).alias("w")), F.struct((F.floor(at) + 1).alias("i"), part.alias("w")))
+        values = rows.select("_by", F.explode(shares).alias("_s")).groupBy("_by", F.col("_s.i").alias("_i")).agg(F.sum("_s.w").alias("_w"))
+        values = values.select("_by", (F.lit(low) + F.col("_i") * ((high - low) / bins)).alias("_v"), "_w")
+    else:
+        values = rows.groupBy("_by", "_v").agg(F.count(F.lit(1)).cast("double").alias("_w"))
     points = F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point")
     x = F.lit(low) + F.col("point") * ((high - low) / (grid - 1))
-    bump = F.col("count") * F.exp(-0.5 * F.pow((x - F.col("_v")) / F.col("_h"), 2.0))
-    return (values.withColumns({"_h": h, "_n": n}).where("_h is not null")
-            .select("_by", "_v", "count", "_h", "_n", points)
+    bump = F.col("_w") * F.exp(-0.5 * F.pow((x - F.col("_v")) / F.col("_h"), 2.0))
+    wide = values.join(stats.select("_by", "_n", width.alias("_h")), "_by")
+    return (wide.select("_by", "_v", "_w", "_h", "_n", points)
             .groupBy("_by", "point").agg((F.sum(bump) / F.max(F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi)))
                                          .alias("density"))
             .select(F.col("_by").alias(by), "point", x.alias("x"), "density"))

@@ -6,6 +6,7 @@ Everything for one child and key goes into a single ``groupBy.agg``: one scan, m
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,24 +170,47 @@ def group_mode(df: DataFrame, key: str, column: str, name: str = "mode") -> Data
     return df.select(col(key)).distinct().join(best, key, "left")
 
 
+def group_nunique(df: DataFrame, key: str, column: str, name: str = "nunique") -> DataFrame:
+    """Number of distinct non-null values. Distinct by (key, value) first."""
+    return df.select(col(key), col(column).alias("_v")).distinct().groupBy(col(key)).agg(F.count("_v").alias(name))
+
+
+@dataclass(frozen=True)
+class Primitive:
+    """A registered aggregate: calling it with a Column gives the aggregate Column, cast to its output type."""
+
+    in_types: tuple[type[DataType], ...]
+    out_type: DataType
+    fn: Callable[[Column], Column]
+
+    def __call__(self, column: Column) -> Column:
+        return self.fn(column).cast(self.out_type)
+
+
 class PrimitiveRegistry:
-    """Named aggregates with input and output types; a primitive builds an aggregate Column from a Column."""
+    """Named aggregates with input and output types; a primitive builds an aggregate Column from a Column.
+
+    ``primitives()`` is what ``dfs`` takes as ``custom``.
+    """
 
     def __init__(self):
-        self._items: dict[str, tuple[tuple[type[DataType], ...], DataType, Callable[[Column], Column]]] = {}
+        self._items: dict[str, Primitive] = {}
 
     def register(self, name: str, in_types: Sequence[type[DataType]], out_type: DataType,
                  fn: Callable[[Column], Column]) -> None:
         if name in self._items:
             raise ValueError(f"primitive {name!r} exists already")
-        self._items[name] = (tuple(in_types), out_type, fn)
+        self._items[name] = Primitive(tuple(in_types), out_type, fn)
+
+    def primitives(self) -> dict[str, Primitive]:
+        return dict(self._items)
 
     def apply(self, df: DataFrame, keys: str | Sequence[str], name: str, columns: Sequence[str] | None = None
               ) -> DataFrame:
         """``NAME(column)`` per key for every column whose type the primitive takes."""
-        in_types, out_type, fn = self._items[name]
+        made = self._items[name]
         skip = set(_keys(keys))
-        chosen = [f.name for f in df.schema.fields if isinstance(f.dataType, in_types) and f.name not in skip
+        chosen = [f.name for f in df.schema.fields if isinstance(f.dataType, made.in_types) and f.name not in skip
                   and (columns is None or f.name in columns)]
-        exprs = [fn(col(c)).cast(out_type).alias(f"{name.upper()}({c})") for c in chosen]
+        exprs = [made(col(c)).alias(f"{name.upper()}({c})") for c in chosen]
         return df.groupBy(*[col(k) for k in _keys(keys)]).agg(*exprs)

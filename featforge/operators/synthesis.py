@@ -19,12 +19,14 @@ from featforge.functions.aggregates import FUNCTIONS, NUMERIC, aggregate_sql
 from featforge.functions.numeric import col, literal, quote, ratio
 from featforge.operators.joins import attach
 from featforge.operators.ordered import add_row_index, cumulative, percentile_rank
-from featforge.operators.rollup import grouped
+from featforge.operators.rollup import group_mode, group_nunique, grouped
 from featforge.operators.rows import coerce_numeric, split_columns
 from featforge.session import cut_lineage
 
 AGGREGATES = ("sum", "mean", "count", "max", "min", "std")
 TRANSFORMS = ("DIFF", "CUM_SUM", "CUM_MEAN", "PERCENTILE")
+#: Aggregates of text and true/false columns, counted by (key, value) first.
+DISCRETE = {"mode": group_mode, "nunique": group_nunique}
 
 
 @dataclass(frozen=True)
@@ -108,6 +110,10 @@ class EntitySet:
 
 
 
+def _discrete(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BooleanType))]
+
+
 def _edge_features(es: EntitySet, edge: Relationship, agg: Sequence[str], depth: int, max_depth: int,
                    where: Mapping[str, Mapping[str, Sequence]] | None, custom: Mapping) -> list[Feature]:
     """Definitions for one edge: own columns first, then the features stacked on the child."""
@@ -124,7 +130,13 @@ def _edge_features(es: EntitySet, edge: Relationship, agg: Sequence[str], depth:
     for fn in agg:
         if fn == "count":
             continue
-        if fn in FUNCTIONS or fn in custom:
+        if fn in DISCRETE and fn not in custom:
+            out += [Feature(f"{fn.upper()}({edge.child}.{c})", fn, edge.child, c) for c in _discrete(child.df) if c not in skip]
+        types = getattr(custom.get(fn), "in_types", None)
+        if types:  # a registered primitive names the types that it takes, and is not stacked
+            out += [Feature(f"{fn.upper()}({edge.child}.{f.name})", fn, edge.child, f.name) for f in child.df.schema.fields
+                    if isinstance(f.dataType, types) and f.name not in skip]
+        elif fn in FUNCTIONS or fn in custom:
             out += [Feature(f"{fn.upper()}({edge.child}.{c})", fn, edge.child, c) for c in numeric]
             out += [Feature(f"{fn.upper()}({edge.child}.{s.name})", fn, edge.child, None, s.name, depth=s.depth + 1)
                     for s in stacked]
@@ -147,7 +159,13 @@ def _edge_features(es: EntitySet, edge: Relationship, agg: Sequence[str], depth:
 
 def define(es: EntitySet, agg: Sequence[str] = AGGREGATES, max_depth: int = 2,
            where: Mapping[str, Mapping[str, Sequence]] | None = None, custom: Mapping | None = None) -> list[Feature]:
-    """All feature definitions of the root, without computing any."""
+    """All feature definitions of the root, without computing any.
+
+    ``custom`` maps names to functions of a Column, or holds a registry's ``primitives()``. Unknown names raise.
+    """
+    known = {"count", "trend", "percent_true", *FUNCTIONS, *DISCRETE, *(custom or {})}
+    if unknown := [fn for fn in agg if fn not in known]:
+        raise ValueError(f"unknown primitives {unknown}; known are {sorted(known)}")
     out = []
     for edge in es.children(es.root):
         out += _edge_features(es, edge, agg, 1, max_depth, where, custom or {})
@@ -182,9 +200,15 @@ def _rolled_up(es: EntitySet, edge: Relationship, agg, depth, max_depth, where,
             part = _rolled_up(es, sub, agg, depth + 1, max_depth, where, custom)
             df = _left_on(df, sub.parent_key, part, sub.child_key, sub.child)
     features = _edge_features(es, edge, agg, depth, max_depth, where, custom)
-    plain = grouped(df, edge.child_key, {f.name: _text(f, es) for f in features if f.fn not in custom})
+    text = set(_discrete(child.df))
+    counted = [f for f in features if f.fn in DISCRETE and f.fn not in custom and f.column in text]
+    plain = grouped(df, edge.child_key, {f.name: _text(f, es) for f in features if f.fn not in custom and f not in counted})
     own = [custom[f.fn](col(f.base or f.column)).alias(f.name) for f in features if f.fn in custom]
-    return attach(plain, df.groupBy(col(edge.child_key)).agg(*own), edge.child_key) if own else plain
+    if own:
+        plain = attach(plain, df.groupBy(col(edge.child_key)).agg(*own), edge.child_key)
+    for f in counted:
+        plain = attach(plain, DISCRETE[f.fn](df, edge.child_key, f.column, f.name), edge.child_key)
+    return plain
 
 
 def _left_on(df: DataFrame, parent_key: str, part: DataFrame, child_key: str, child: str) -> DataFrame:

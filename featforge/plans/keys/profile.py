@@ -210,11 +210,13 @@ select r.c_mktsegment, g.point, round(lo + g.point * ((hi - lo) / 499), 6) as x,
        round(sum(exp(-0.5::double * power((lo + g.point * ((hi - lo) / 499) - v) / h, 2))) / any_value(n * h * sqrt(2 * pi())), 12) as density
 from r join s using (c_mktsegment), x, g group by 1, 2, lo, hi""")
 def kde_by_class(spark, sf_dir):
-    out = Q.kde(table(spark, sf_dir, "customer", "c_mktsegment", "c_acctbal"), "c_acctbal", "c_mktsegment")
+    out = Q.kde(table(spark, sf_dir, "customer", "c_mktsegment", "c_acctbal"), "c_acctbal", "c_mktsegment", bins=None)
     return rounded(rounded(out, {"x": 6}), {"density": 12})
 
 
-@key("feature_breakdown")
+@key("feature_breakdown", """
+select 'numeric' as kind, origin, n::int as n, (select count(*) from customer)::int as n_rows
+from (values ('generated', 6), ('original', 2)) t(origin, n)""")
 def feature_breakdown(spark, sf_dir):
     """Kinds of columns of the depth-1 matrix, beside the number of customers it describes."""
     from featforge.operators.synthesis import dfs

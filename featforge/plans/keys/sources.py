@@ -90,7 +90,14 @@ def fs_versions(spark, sf_dir):
         "name", "num_rows", "num_features", F.get_json_object("extra", "$.save").cast("long").alias("save_number"))
 
 
-@key("schema_report")
+@key("schema_report", """
+select position::int as position, column_name, physical_type, logical_type, tags, (select count(*) from lineitem)::bigint as n_values
+from (values (0, 'l_orderkey', 'bigint', 'Integer', 'foreign_key'), (1, 'l_partkey', 'bigint', 'Integer', 'foreign_key'),
+    (2, 'l_suppkey', 'bigint', 'Integer', 'foreign_key'), (3, 'l_linenumber', 'int', 'Integer', 'numeric'),
+    (4, 'l_quantity', 'double', 'Double', 'numeric'), (5, 'l_extendedprice', 'double', 'Double', 'numeric'),
+    (6, 'l_discount', 'double', 'Double', 'numeric'), (7, 'l_tax', 'double', 'Double', 'numeric'),
+    (8, 'l_returnflag', 'string', 'Categorical', 'category'), (9, 'l_linestatus', 'string', 'Categorical', 'category'),
+    (10, 'l_shipdate', 'timestamp_ntz', 'Datetime', '')) t(position, column_name, physical_type, logical_type, tags)""")
 def schema_report_key(spark, sf_dir):
     """The schema of lineitem beside the number of values in each column."""
     from featforge.operators.rollup import per_column

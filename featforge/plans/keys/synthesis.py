@@ -84,7 +84,15 @@ def entity_check(spark, sf_dir):
     return entity_set(spark, sf_dir).check()
 
 
-@key("dfs_defs")
+@key("dfs_defs", """
+with f as (select unnest(['sum', 'mean', 'max', 'min', 'std']) as fn),
+line as (select upper(fn) || '(lineitem.' || c || ')' as base from f, (select unnest(['l_quantity', 'l_extendedprice', 'l_discount']) as c)
+         union all select 'COUNT(lineitem)'),
+defs as (select 'COUNT(orders)' as name, 'size' as fn, null as input, null as base, 1 as depth
+         union all select upper(fn) || '(orders.o_totalprice)', fn, 'o_totalprice', null, 1 from f
+         union all select upper(fn) || '(orders.' || base || ')', fn, null, base, 2 from f, line)
+select name, fn, 'orders' as entity, input, base, null::varchar as condition, depth::int as depth,
+       (select count(*) from customer)::bigint as n_values from defs""")
 def dfs_defs(spark, sf_dir):
     """Each definition beside the number of customers that have a value for it."""
     from featforge.operators.rollup import per_column
@@ -170,3 +178,29 @@ def l1_select(spark, sf_dir):
     wide = D.expand_nonlinear(df, ["l_quantity", "l_discount", "l_tax"])
     names = D.l1_select(wide, [c for c in wide.columns if c != "label"], "label")
     return per_column(wide, names, {"n_values": lambda c: f"count({c})"})
+
+
+@key("dfs_mode", """
+with m as (select o_custkey, o_orderpriority as v, count(*) as n from orders group by 1, 2),
+s as (select o_custkey, o_orderstatus as v, count(*) as n from orders group by 1, 2),
+a as (select o_custkey, arg_min(v, struct_pack(n := -n, v := v)) as p, count(v) as np from m group by 1),
+b as (select o_custkey, arg_min(v, struct_pack(n := -n, v := v)) as s, count(v) as ns from s group by 1)
+select c_custkey, (select count(*) from orders where o_custkey = c_custkey)::bigint as "COUNT(orders)",
+       s as "MODE(orders.o_orderstatus)", p as "MODE(orders.o_orderpriority)", ns::bigint as "NUNIQUE(orders.o_orderstatus)",
+       np::bigint as "NUNIQUE(orders.o_orderpriority)", l.len::bigint as "LONGEST(orders.o_orderstatus)",
+       l.lenp::bigint as "LONGEST(orders.o_orderpriority)"
+from customer left join a on a.o_custkey = c_custkey left join b on b.o_custkey = c_custkey
+left join (select o_custkey, max(length(o_orderstatus)) as len, max(length(o_orderpriority)) as lenp from orders group by 1) l
+     on l.o_custkey = c_custkey""")
+def dfs_mode(spark, sf_dir):
+    """Aggregates of text columns, with one from a registry."""
+    from pyspark.sql import types as T
+
+    from featforge.operators.rollup import PrimitiveRegistry
+    registry = PrimitiveRegistry()
+    registry.register("longest", [T.StringType], T.LongType(), lambda c: F.max(F.length(c)))
+    es = D.EntitySet("customer")
+    es.add("customer", table(spark, sf_dir, "customer", "c_custkey"), "c_custkey")
+    es.add("orders", table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
+    es.relate("customer", "c_custkey", "orders", "o_custkey")
+    return D.dfs(es, ["count", "mode", "nunique", "longest"], max_depth=1, custom=registry.primitives())

@@ -7,13 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featforge.functions.numeric import row_mean
+from featforge.functions.numeric import col, row_mean
 from featforge.operators.impute import impute_median_mode
 from featforge.operators.metrics import class_metrics, roc_auc
 from featforge.operators.models import cross_val_predict, fit, null_importance, tree_importance
 from featforge.operators.rows import downcast, drop_columns, split_columns
 from featforge.operators.sampling import train_test_split
-from featforge.operators.selection import importance_scores, select_features
+from featforge.operators.selection import apply_selection, importance_scores, select_features
 from featforge.operators.synthesis import TRANSFORMS, EntitySet, add_transforms, combine_features, dfs
 from featforge.session import cut_lineage
 from featforge.sources.store import FeatureStore
@@ -52,8 +52,10 @@ def select_and_evaluate(df: DataFrame, features: Sequence[str], label: str, key:
     train, test = train_test_split(df, test_fraction, key, seed, label)
     scores = importance_scores(tree_importance(train, features, label, key, params, seed),
                                null_importance(train, features, label, key, n_runs, params, seed))
-    chosen = {r["feature"] for r in select_features(cut_lineage(scores)).collect()}
-    selected = [f for f in features if f in chosen] or list(features)
+    scores = cut_lineage(scores)
+    chosen = {r["feature"] for r in select_features(scores).collect()}
+    # With no feature selected, the best by score stand in, as for any table that lacks the selected ones.
+    selected = apply_selection(train.select(*[col(f) for f in features]), sorted(chosen), scores).columns
     oof, _, _ = cross_val_predict(train, selected, label, key, k, params, seed=seed)
     scored = cut_lineage(fit(train, selected, label, key, params, seed=seed).score(test, [key, label]))
     return class_metrics(scored, label, "probability").select(

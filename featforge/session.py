@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_package(spark: SparkSession) -> str:
+    """Send this package to all executors, for clusters that don't have it installed; returns the file sent.
+
+    Functions that run in Python workers are found there by module name. The driver serves the file to executors.
+    """
+    import featforge
+    root = os.path.dirname(os.path.abspath(featforge.__file__))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as out:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.join("featforge", os.path.relpath(path, root)))
+    target = os.path.join(tempfile.mkdtemp(prefix="featforge-ship-"), "featforge.zip")
+    with open(target, "wb") as f:
+        f.write(data.getvalue())
+    spark.sparkContext.addPyFile(target)
+    return target
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

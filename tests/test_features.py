@@ -195,3 +195,29 @@ def test_search_stop_rule():
 def test_feature_subset_is_seeded():
     names = [f"f{i}" for i in range(10)]
     assert L.feature_subset(names, 0.5, 1) == L.feature_subset(names, 0.5, 1) and len(L.feature_subset(names)) == 5
+
+
+def test_unknown_primitives_raise(spark):
+    import pytest
+
+    from featforge.operators.synthesis import EntitySet, define
+    es = EntitySet("a")
+    es.add("a", spark.range(2).toDF("k"), "k")
+    es.add("b", spark.createDataFrame([(0, "x", 1), (0, "x", 2), (1, None, 3)], "k long, s string, id int"), "id")
+    es.relate("a", "k", "b", "k")
+    with pytest.raises(ValueError, match="nosuch"):
+        define(es, ["mode", "nosuch", "max"])
+    assert [f.name for f in define(es, ["mode", "nunique"])] == ["MODE(b.s)", "NUNIQUE(b.s)"]
+
+
+def test_density_keeps_classes_without_spread(spark):
+    from featforge.operators.profile import kde
+    rows = [("a", float(i % 7)) for i in range(60)] + [("b", 2.0), ("b", 2.0), ("c", 1.5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    exact = {(r.g, r.point): r.density for r in kde(df, "v", "g", grid=40, bins=None).collect()}
+    binned = {(r.g, r.point): r.density for r in kde(df, "v", "g", grid=40).collect()}
+    assert len(exact) == len(binned) == 120
+    for k, density in exact.items():
+        assert (density is None) == (k[0] != "a")
+        assert density is None or abs(density - binned[k]) < 1e-6
+    assert kde(df.limit(0), "v", "g").count() == 0 and kde(df.filter("g = 'c'"), "v", "g", 5).count() == 5

@@ -45,3 +45,16 @@ def test_classes_become_equal(spark):
     again = smote(df.repartition(7), ["a", "b"], "y", "id")
     rows = lambda d: sorted((round(r["a"], 9), round(r["b"], 9)) for r in d.where("id is null").collect())
     assert rows(again) == rows(out)
+
+
+def test_rows_without_neighbours_raise(spark):
+    import pytest
+
+    from featforge.operators.oversample import smote
+    rows = [(i, float(i), int(i < 3)) for i in range(30)]
+    for bad in (None, float("nan"), float("inf")):
+        df = spark.createDataFrame([(0, bad, 1), *rows[1:]], "id long, x double, y int")
+        with pytest.raises(ValueError, match="impute"):
+            smote(df, ["x"], "y", "id")
+    with pytest.raises(ValueError, match="single row"):
+        smote(spark.createDataFrame(rows[2:], "id long, x double, y int"), ["x"], "y", "id")
