@@ -13,7 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featforge.functions.numeric import as_column, col
+from featforge.functions.numeric import as_column, col, literal
+from featforge.operators.quantiles import unpivot
 from featforge.session import cut_lineage
 
 _PART = "_part"
@@ -172,6 +173,26 @@ def percentile_rank(df: DataFrame, column: str, by: Sequence[str] = (), name: st
     return df.join(ranks, condition, "left").select(*[col(c) for c in df.columns], col(name))
 
 
+def percentile_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``PERCENTILE(c)`` of several columns at once, as ``percentile_rank`` gives for each; values are compared as doubles.
+
+    All columns share one long table (column, value): one count of its values, one ordered scan by column, one join and one
+    pivot by row, whatever the number of columns. The wide table is written once, so that its rows keep their numbers.
+    """
+    if not columns:
+        return df
+    rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    long = unpivot(rows, columns, keep=["_row"]).where(F.col("value").isNotNull())
+    counted = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_ties"))
+    run = OrderedTable(counted, ["value"], ["column"]).running(sums={"_upto": "_ties"})
+    totals = counted.groupBy("column").agg(F.sum("_ties").alias("_total"))
+    ranks = run.join(totals, "column").selectExpr("column", "value", "(_upto - (_ties - 1) / 2.0D) / _total as _rank")
+    ranked = long.join(ranks, ["column", "value"]).groupBy("_row")
+    names = [f"PERCENTILE({c})" for c in columns]
+    wide = ranked.agg(*[F.expr(f"max(case when column = {literal(c)} then _rank end)").alias(n) for c, n in zip(columns, names)])
+    return rows.join(wide, "_row", "left").select(*[col(c) for c in df.columns], *[col(n) for n in names])
+
+
 def longest_repetition(df: DataFrame, key: str, order: Sequence[Column | str], column: str,
                        name: str = "longest_repetition") -> DataFrame:
     """Per key, the value of the longest run of equal consecutive non-null values; the first run wins a tie."""

@@ -18,7 +18,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from featforge.functions.aggregates import FUNCTIONS, NUMERIC, aggregate_sql
 from featforge.functions.numeric import col, literal, quote, ratio
 from featforge.operators.joins import attach
-from featforge.operators.ordered import add_row_index, cumulative, percentile_rank
+from featforge.operators.ordered import add_row_index, cumulative, percentile_ranks
 from featforge.operators.rollup import group_mode, group_nunique, grouped
 from featforge.operators.rows import coerce_numeric, split_columns
 from featforge.session import cut_lineage
@@ -239,13 +239,12 @@ def dfs(es: EntitySet, agg: Sequence[str] = AGGREGATES, trans: Sequence[str] = (
 
 def add_transforms(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
                    trans: Sequence[str] = TRANSFORMS) -> DataFrame:
-    """Whole-table transform features of the given columns: one scan for the running ones, one rank per PERCENTILE."""
+    """Whole-table transform features of the given columns: one scan for the running ones and one for all ranks."""
     running = [t for t in trans if t != "PERCENTILE"]
     if running:
         df = cumulative(df, columns, order_by, (), running)
     if "PERCENTILE" in trans:
-        for c in columns:
-            df = percentile_rank(df, c)
+        df = percentile_ranks(df, columns)
     return df
 
 

@@ -75,3 +75,16 @@ def test_longest_repetition_across_partitions(spark, skewed):
     """One key whose single long run spans every partition."""
     df = skewed.select(F.lit(1).alias("k"), "t", F.when(F.col("t") < 100, "x").otherwise("y").alias("v"))
     assert collect(longest_repetition(df, "k", ["t"], "v")) == [(1, "y")]
+
+
+def test_ranks_of_many_columns_equal_one_by_one(spark):
+    rows = [(i, float(i % 5) if i % 7 else None, i % 3, None if i % 2 else -i) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, a double, b int, c int").repartition(6)
+    from featforge.operators import ordered as W
+    many = W.percentile_ranks(df, ["a", "b", "c"])
+    one = df
+    for c in ("a", "b", "c"):
+        one = W.percentile_rank(one, c)
+    assert many.columns == one.columns
+    assert [tuple(r) for r in many.orderBy("id").collect()] == [tuple(r) for r in one.orderBy("id").collect()]
+    assert W.percentile_ranks(df, []) is df and W.percentile_ranks(df.limit(0), ["a"]).count() == 0
