@@ -19,8 +19,15 @@ _SMALL = 20_000     # hashes of an undecided prefix that may be listed on the dr
 _MAX_CLASSES = 1_000
 
 
+class PortableSeed(int):
+    """A seed whose row order other engines can compute: by the first 15 hexadecimal digits of md5(key:...:seed)."""
+
+
 def hash_order(key: str | Sequence[str], seed: int) -> Column:
     names = [key] if isinstance(key, str) else list(key)
+    if isinstance(seed, PortableSeed):
+        text = F.concat_ws(":", *[col(k).cast("string") for k in names], F.lit(str(int(seed))))
+        return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
     return F.xxhash64(*[col(k) for k in names], F.lit(int(seed)))
 
 

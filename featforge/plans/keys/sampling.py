@@ -73,6 +73,48 @@ def permute_label(spark, sf_dir):
     return shuffled.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+# The same operators in an order that SQL can compute, so that the drawn rows themselves are compared.
+_SEED = M.PortableSeed(42)
+_HASH = "md5(o_orderkey || ':42')[:15]"
+_IN_CLASS = f"row_number() over (partition by o_orderstatus order by {_HASH})"
+
+
+@key("sample_n_rows", f"select o_orderkey from orders qualify row_number() over (order by {_HASH}) <= 3000")
+def sample_n_rows(spark, sf_dir):
+    return M.sample_n(_orders(spark, sf_dir), 3000, "o_orderkey", _SEED).select("o_orderkey")
+
+
+@key("sample_stratified_rows", f"""
+with q as ({_quota("(select least(2000, count(*)) from orders)", _STATUS)})
+select o_orderkey, o_orderstatus from orders join q on label = o_orderstatus qualify {_IN_CLASS} <= n_rows""")
+def sample_stratified_rows(spark, sf_dir):
+    return M.sample_stratified(_orders(spark, sf_dir), 2000, "o_orderstatus", "o_orderkey", _SEED).select("o_orderkey", "o_orderstatus")
+
+
+@key("split_rows", f"""
+with q as ({_quota("(select ceil(count(*) * 0.2) from orders)", _STATUS)})
+select o_orderkey, if({_IN_CLASS} <= n_rows, 'test', 'train') as split from orders join q on label = o_orderstatus""")
+def split_rows(spark, sf_dir):
+    marked = M.add_split(_orders(spark, sf_dir), 0.2, "o_orderkey", _SEED, stratify="o_orderstatus")
+    return marked.select("o_orderkey", "split")
+
+
+@key("fold_rows", f"""
+select o_orderkey, (({_IN_CLASS} - 1) * 5 // count(*) over (partition by o_orderstatus))::int as fold from orders""")
+def fold_rows(spark, sf_dir):
+    folds = M.assign_folds(_orders(spark, sf_dir), 5, "o_orderkey", _SEED, stratify="o_orderstatus")
+    return folds.select("o_orderkey", "fold")
+
+
+@key("permuted_rows", f"""
+with c as (select o_orderstatus as label, count(*) as n from orders group by 1),
+b as (select label, sum(n) over (order by label) as upto, sum(n) over (order by label) - n as past from c),
+r as (select o_orderkey, row_number() over (order by {_HASH}) as rank from orders)
+select o_orderkey, label as o_orderstatus from r join b on rank > past and rank <= upto""")
+def permuted_rows(spark, sf_dir):
+    return M.permute_label(_orders(spark, sf_dir), "o_orderkey", "o_orderstatus", _SEED).select("o_orderkey", "o_orderstatus")
+
+
 @key("size_report", """
 select 'orders' as dataset, count(*)::bigint as original_rows, least(3000, count(*))::bigint as current_rows,
        least(3000, count(*)) * 100.0::double / count(*) as percent_kept, 3::int as n_columns from orders""")
