@@ -130,7 +130,7 @@ def _estimator(family: str, params: Mapping, label: str, seed: int, validation:
         raise ValueError(f"unknown model family {family!r}; known: {sorted(FAMILIES)}")
     options = dict(params, featuresCol="features", labelCol=label)
     if family != "logistic":
-        options.setdefault("seed", seed)
+        options.setdefault("seed", int(seed))
     if family == "gbt" and validation:
         options["validationIndicatorCol"] = validation
     return FAMILIES[family](**options)
@@ -199,7 +199,8 @@ def cross_val_predict(df: DataFrame, features: Sequence[str], label: str, key, k
     """Out-of-fold predictions ``(key, label, fold, probability, prediction)``, importances ``(feature, importance,
     fold)`` and, with ``test``, its probabilities averaged over the fold models.
 
-    Folds whose training rows have one class are skipped. Fold models fit side by side on a small thread pool.
+    Folds whose training rows, or whose own rows, have one class are skipped. Fills and categories are learned from all
+    folds together. Fold models fit side by side on a small thread pool.
     """
     keys = [key] if isinstance(key, str) else list(key)
     known = df.where(col(label).isNotNull())
@@ -207,9 +208,9 @@ def cross_val_predict(df: DataFrame, features: Sequence[str], label: str, key, k
     data, prep = assemble(folds, features, label, [*keys, "fold"])
     held = cut_lineage(prep.transform(test, keys)) if test is not None else None
     sizes = {(r["fold"], r["y"]): r["count"] for r in data.groupBy("fold", col(label).alias("y")).count().collect()}
-    usable = [f for f in range(k) if len({y for (g, y) in sizes if g != f}) == 2]
+    usable = [f for f in range(k) if len({y for (g, y) in sizes if g != f}) == 2 == len({y for (g, y) in sizes if g == f})]
     if not usable:
-        raise ValueError(f"no fold of {label!r} has both classes among its training rows")
+        raise ValueError(f"no fold of {label!r} has both classes among its training rows and among its own")
 
     def run(fold):
         model = _estimator(family, params or {}, label, seed).fit(data.where(F.col("fold") != fold))

@@ -1,10 +1,15 @@
-"""Fits on a table with one row per customer. Trainers differ, so these have no SQL; tests check their invariants."""
+"""Fits on a table with one row per customer.
+
+Trainers differ, so fits on real features have no SQL. The keys named ``*_decided`` fit on data with one right answer: the
+column ``debt`` decides the label, so folds, predictions, scores, importances and selected features follow by SQL.
+"""
 
 from pyspark.sql import functions as F
 
 from featforge.operators import models as L
-from featforge.operators.sampling import train_test_split
+from featforge.operators.sampling import PortableSeed, train_test_split
 from featforge.plans.keys import key, table
+from featforge.session import scratch_path
 
 _SMALL = {"maxIter": 5, "maxDepth": 3}
 FEATURES = ["n_orders", "mean_price", "max_price", "finished_share", "urgent_share", "lines", "returned_share", "c_mktsegment"]
@@ -90,3 +95,101 @@ def select_and_evaluate(spark, sf_dir):
     return job(matrix(spark, sf_dir), FEATURES, "target", "c_custkey", n_runs=2, k=3, params=_SMALL)
 
 
+_FLAGS = ["debt", "n_orders", "rest"]
+_ONE_SPLIT = {"maxDepth": 1}
+_PORTABLE = PortableSeed(42)
+
+
+def decided(spark, sf_dir):
+    """Customers whose label is told by one feature."""
+    orders = table(spark, sf_dir, "orders", "o_custkey").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).cast("double").alias("n_orders"))
+    customers = table(spark, sf_dir, "customer").select(
+        "c_custkey", (F.col("c_acctbal") < 0).cast("double").alias("debt"), (F.col("c_acctbal") < 0).cast("int").alias("target"),
+        (F.col("c_custkey") % 7).cast("double").alias("rest"))
+    return customers.join(orders, "c_custkey", "left")
+
+
+_LABELS = "select c_custkey, (c_acctbal < 0)::int as prediction, (c_acctbal < 0)::int::double as probability from customer"
+
+
+@key("score_decided", _LABELS)
+def score_decided(spark, sf_dir):
+    data = decided(spark, sf_dir)
+    return L.fit(data, _FLAGS, "target", "c_custkey", _ONE_SPLIT, "tree_gini").score(data, ["c_custkey"])
+
+
+@key("oof_decided", """
+select c_custkey, (c_acctbal < 0)::int as target, (c_acctbal < 0)::int as prediction,
+       ((row_number() over (partition by c_acctbal < 0 order by md5(c_custkey || ':42')[:15]) - 1) * 3
+        // count(*) over (partition by c_acctbal < 0))::int as fold
+from customer""")
+def oof_decided(spark, sf_dir):
+    out = L.cross_val_predict(decided(spark, sf_dir), _FLAGS, "target", "c_custkey", 3, _ONE_SPLIT, "tree_entropy", seed=_PORTABLE)
+    return out[0].select("c_custkey", "target", "prediction", "fold")
+
+
+@key("compare_decided", """
+select unnest(['gbt', 'tree_gini', 'tree_entropy']) as model, 1.0::double as auc, 1.0::double as accuracy from customer limit 3""")
+def compare_decided(spark, sf_dir):
+    train, test = train_test_split(decided(spark, sf_dir), 0.3, "c_custkey", _PORTABLE, stratify="target")
+    out = L.compare_models(train, test, _FLAGS, "target", "c_custkey", {
+        "gbt": ("gbt", {"maxIter": 2, "maxDepth": 2}), "tree_gini": ("tree_gini", {}), "tree_entropy": ("tree_entropy", {})})
+    return out.select("model", "auc", "accuracy")
+
+
+@key("forward_decided", "select 'debt' as feature, 1.0::double as auc from customer limit 1")
+def forward_decided(spark, sf_dir):
+    kept = L.forward_select(decided(spark, sf_dir), _FLAGS, "target", "c_custkey", family="tree_gini", params=_ONE_SPLIT)
+    return spark.createDataFrame(kept, "feature string, auc double")
+
+
+@key("importance_decided", """
+select unnest(['debt', 'n_orders', 'rest']) as feature, unnest([1.0, 0.0, 0.0])::double as importance_split,
+       round(unnest([4 * p * (1 - p), 0.0, 0.0]), 9) as importance_gain
+from (select avg((c_acctbal < 0)::int) as p from customer)""")
+def importance_decided(spark, sf_dir):
+    """One tree of one split: its gain is the variance of the labels -1 and 1."""
+    out = L.tree_importance(decided(spark, sf_dir), _FLAGS, "target", "c_custkey", {"maxIter": 1, "maxDepth": 1})
+    return out.select("feature", "importance_split", F.round("importance_gain", 9).alias("importance_gain"))
+
+
+@key("search_decided", """
+select trial::int as trial, 1.0::double as auc, 0.0::double as loss, 0.0::double as best_loss from (select unnest(range(2)) as trial)""")
+def search_decided(spark, sf_dir):
+    space = {"maxDepth": ("int", 1, 3), "maxBins": ("choice", [16, 32])}
+    out = L.search(decided(spark, sf_dir), _FLAGS, "target", "c_custkey", space, n_trials=2, k=3, family="tree_gini")
+    return out.select("trial", "auc", "loss", "best_loss")
+
+
+@key("l1_decided", "select 'debt' as feature from customer limit 1")
+def l1_decided(spark, sf_dir):
+    from featforge.operators.synthesis import l1_select
+    kept = l1_select(decided(spark, sf_dir), _FLAGS, "target", strength=0.1)
+    return spark.createDataFrame([(c,) for c in kept], "feature string")
+
+
+@key("blend_decided", "select c_custkey, (c_acctbal < 0)::int::double as probability from customer")
+def blend_decided(spark, sf_dir):
+    """Every half of the features decides the label, so all models of the blend agree."""
+    data = decided(spark, sf_dir)
+    data = data.select("c_custkey", "target", *[F.col("debt").alias(f"debt{i}") for i in range(4)])
+    out = L.fit_blend(data, data, [f"debt{i}" for i in range(4)], "target", "c_custkey", 3, _ONE_SPLIT, "tree_gini")
+    return out.select("c_custkey", "probability")
+
+
+@key("model_store", _LABELS)
+def model_store(spark, sf_dir):
+    """A model saved, found again by its name and loaded scores as before."""
+    data = decided(spark, sf_dir)
+    store = L.ModelStore(spark, scratch_path(spark, "models"))
+    store.save(L.fit(data, _FLAGS, "target", "c_custkey", _ONE_SPLIT, "tree_gini"), "debt", {"kind": "tree"})
+    return store.load("debt").score(data, ["c_custkey"])
+
+
+@key("majority_baseline", """
+select 0.5::double as auc, max(n) / sum(n)::double as accuracy, count(*)::double as n_classes
+from (select count(*) as n from customer group by c_acctbal < 0)""")
+def majority_baseline(spark, sf_dir):
+    found = L.majority_baseline(decided(spark, sf_dir), "target")
+    return spark.createDataFrame([(found["auc"], found["accuracy"], found["n_classes"])], "auc double, accuracy double, n_classes double")
