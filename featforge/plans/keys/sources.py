@@ -63,7 +63,7 @@ select o_custkey, round(avg(o_totalprice), 6) as "O_o_totalprice_MEAN", round(ma
 from orders group by o_custkey""")
 def fs_save_load(spark, sf_dir):
     store = FeatureStore(spark, scratch_path(spark, "store"))
-    store.save(_customer_features(spark, sf_dir).limit(0), "orders_by_customer", "empty first version")
+    store.save(_customer_features(spark, sf_dir).withColumn("O_o_totalprice_MAX", F.lit(0.0)), "orders_by_customer", "wrong first version")
     store.save(_customer_features(spark, sf_dir), "orders_by_customer", "order totals", ["orders"], {"source": "orders"})
     return rounded(store.load("orders_by_customer"))
 
@@ -79,6 +79,20 @@ def fs_list(spark, sf_dir):
     return store.list().select("name", "num_versions", "num_features")
 
 
+@key("fs_delete", """
+select 'orders_by_customer' as name, 1::bigint as num_versions, count(distinct o_custkey)::bigint as num_rows from orders""")
+def fs_delete(spark, sf_dir):
+    """Two sets are deleted, one of them is saved again: only its new version is listed."""
+    store = FeatureStore(spark, scratch_path(spark, "store"))
+    for name in ("orders_by_customer", "orders_by_customer", "other"):
+        store.save(_customer_features(spark, sf_dir), name)
+    store.delete("orders_by_customer")
+    store.delete("other")
+    store.save(_customer_features(spark, sf_dir), "orders_by_customer")
+    rows = store.versions("orders_by_customer").agg(F.sum("num_rows").alias("num_rows"))
+    return store.list().select("name", "num_versions").join(rows.withColumn("name", F.lit("orders_by_customer")), "name")
+
+
 @key("fs_versions", """
 select 'orders_by_customer' as name, count(distinct o_custkey)::bigint as num_rows, 4::int as num_features, n as save_number
 from orders, (select unnest([1, 2])::bigint as n) group by n""")
