@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -30,15 +31,27 @@ def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return
     i, j = np.triu_indices(sums[0].shape[0], 1)
     n, sx, sxx, sxy = sums
-    yield pd.DataFrame({"i": i, "j": j, "n": n[i, j], "sx": sx[i, j], "sy": sx[j, i], "sxx": sxx[i, j],
-                        "syy": sxx[j, i], "sxy": sxy[i, j]})
+    parts = [n[i, j], sx[i, j], sx[j, i], sxx[i, j], sxx[j, i], sxy[i, j]]
+    yield pd.DataFrame({"i": [i.astype(np.int32)], "j": [j.astype(np.int32)], **{s: [v] for s, v in zip(_SUMS, parts)}})
+
+
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sums of many partitions as one row."""
+    total = None
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            values = [np.asarray(v) for v in row]
+            total = values if total is None else values[:2] + [a + b for a, b in zip(total[2:], values[2:])]
+    if total is not None:
+        yield pd.DataFrame({c: [v] for c, v in zip(["i", "j", *_SUMS], total)})
 
 
 def corr_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(a, b, corr)`` for every pair of columns, a before b; pairwise complete, null when a side is constant.
 
     Columns are standardised first, so the sums keep their digits. Cost per row is p*p multiply-adds in numpy; each
-    task sends p*p/2 sums to the shuffle, however many rows it read.
+    task sends one row of p*p/2 sums, which are merged in about as many tasks as the square root of their number before
+    they are spread by pair.
     """
     columns = split_columns(df)[0] if columns is None else list(columns)
     scale = df.agg(*[e for c in columns for e in (F.avg(col(c).cast("double")), F.stddev_pop(col(c).cast("double")))]).first()
@@ -46,8 +59,12 @@ def corr_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     for i, c in enumerate(columns):
         mean, std = scale[2 * i], scale[2 * i + 1]
         scaled.append(((col(c).cast("double") - (mean or 0.0)) / (std if std else 1.0)).alias(f"x{i}"))
-    sums = (df.select(*scaled).mapInPandas(_moments, "i int, j int, " + ", ".join(f"{s} double" for s in _SUMS))
-            .groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS]))
+    kind = "i array<int>, j array<int>, " + ", ".join(f"{s} array<double>" for s in _SUMS)
+    narrow = df.select(*scaled)
+    groups = math.ceil(math.sqrt(max(1, narrow.rdd.getNumPartitions())))
+    merged = narrow.mapInPandas(_moments, kind).repartition(groups).mapInPandas(_merged, kind)
+    pairs = merged.select(F.explode(F.arrays_zip("i", "j", *_SUMS)).alias("_p")).select("_p.*")
+    sums = pairs.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
     vx = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
     vy = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
     varied = (vx > 1e-12 * F.col("n") * F.col("n")) & (vy > 1e-12 * F.col("n") * F.col("n"))
