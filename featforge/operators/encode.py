@@ -14,22 +14,31 @@ from featforge.operators.ordered import add_row_index
 from featforge.operators.quantiles import unpivot
 from featforge.operators.rows import string_columns
 
-#: Codes and categories are driver metadata or broadcast, so their number is checked.
+#: Categories of a column become columns or broadcast codes, so their number is checked for each column.
 MAX_CATEGORIES = 10_000
 
 
-def categories(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES) -> dict[str, list[str]]:
-    """Sorted distinct non-null values per column. Raises rather than pulling an unbounded list to the driver."""
+def categories(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES, wide: str = "raise") -> dict[str, list[str]]:
+    """Sorted distinct non-null values per column.
+
+    A column with more than ``limit`` values raises, or is left out with ``wide="skip"``; nothing unbounded reaches the driver.
+    """
     if not columns:
         return {}
-    pairs = (unpivot(df, columns, "string").where(F.col("value").isNotNull()).distinct()
-             .limit(limit + 1).collect())
-    if len(pairs) > limit:
-        raise ValueError(f"more than {limit} categories in {list(columns)}; encode with factorize or ordinal_encode")
-    out: dict[str, list[str]] = {c: [] for c in columns}
+    distinct = unpivot(df, columns, "string").where(F.col("value").isNotNull()).distinct()
+    pairs = distinct.limit(limit * len(columns) + 1).collect()
+    fit = list(columns)
+    if len(pairs) > limit * len(columns):
+        sizes = {r["column"]: r["count"] for r in distinct.groupBy("column").count().collect()}
+        fit = [c for c in columns if sizes.get(c, 0) <= limit]
+        pairs = distinct.where(F.col("column").isin(fit)).collect() if fit and wide == "skip" else []
+    out: dict[str, list[str]] = {c: [] for c in fit}
     for r in pairs:
-        out[r["column"]].append(r["value"])
-    return {c: sorted(v) for c, v in out.items()}
+        out.setdefault(r["column"], []).append(r["value"])
+    over = sorted({c for c in columns if c not in fit} | {c for c, v in out.items() if len(v) > limit})
+    if over and wide == "raise":
+        raise ValueError(f"more than {limit} categories in {over}; encode them with factorize or ordinal_encode")
+    return {c: sorted(out[c]) for c in columns if c not in over}
 
 
 @dataclass(frozen=True)

@@ -16,13 +16,13 @@ from multiprocessing.pool import ThreadPool
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featforge.functions.numeric import col
-from featforge.operators.encode import OneHot, fit_one_hot
+from featforge.operators.encode import OneHot, categories
 from featforge.operators.impute import Imputer
 from featforge.operators.metrics import class_metrics, fold_summary, roc_auc
 from featforge.operators.rows import clean_infinite, split_columns, string_columns
@@ -39,13 +39,21 @@ FAMILIES: dict[str, Callable[..., object]] = {
 }
 
 
+#: Sparse slots for all string columns with too many values for slots of their own.
+HASHED = 1 << 12
+
+
 @dataclass
 class Preprocessor:
-    """Numeric columns with values, one-hot string columns, fills; ``transform`` gives a ``features`` vector."""
+    """Numeric columns with values, one-hot string columns, fills; ``transform`` gives a ``features`` vector.
+
+    String columns with too many values for a slot each share ``HASHED`` sparse slots by the hash of column and value.
+    """
 
     numeric: list[str] = field(default_factory=list)
     categories: dict[str, list[str]] = field(default_factory=dict)
     fills: dict[str, float] = field(default_factory=dict)
+    hashed: list[str] = field(default_factory=list)
 
     def fit(self, df: DataFrame, features: Sequence[str], strategy: str = "mean") -> Preprocessor:
         chosen = clean_infinite(df.select(*[col(c) for c in features]))
@@ -53,7 +61,9 @@ class Preprocessor:
         present = [c for i, c in enumerate(features) if counts[i] > 0]
         chosen = chosen.select(*[col(c) for c in present])
         self.numeric = split_columns(chosen)[0]
-        self.categories = dict(fit_one_hot(chosen, string_columns(chosen)).values)
+        text = string_columns(chosen)
+        self.categories = categories(chosen, text, wide="skip")
+        self.hashed = [c for c in text if c not in self.categories]
         fitted = Imputer(strategy).fit(chosen.select(*[col(c) for c in self.numeric])) if self.numeric else Imputer()
         self.fills = {c: float(v) for c, v in fitted.values.items()}
         return self
@@ -61,7 +71,8 @@ class Preprocessor:
     @property
     def names(self) -> list[str]:
         """Names of the vector slots; one-hot slots are ``<column>_<value>``."""
-        return self.numeric + list(OneHot(self.categories, null_category=False).new_columns())
+        slots = list(OneHot(self.categories, null_category=False).new_columns())
+        return self.numeric + slots + [f"hashed_{i}" for i in range(HASHED if self.hashed else 0)]
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """Columns the table lacks count as missing: numbers take their fill, categories match no value."""
@@ -75,9 +86,14 @@ class Preprocessor:
         slots = OneHot(self.categories, null_category=False).new_columns()
         for i, name in enumerate(slots, len(self.numeric)):
             columns.append((F.expr(hot[name]).cast("double") if name in hot else F.lit(0.0)).alias(f"_x{i}"))
-        narrow = df.select(*[col(k) for k in keep], *columns)
         inputs = [f"_x{i}" for i in range(len(columns))]
-        return VectorAssembler(inputCols=inputs, outputCol="features").transform(narrow).drop(*inputs)
+        wide = {f"_h{i}": c for i, c in enumerate(self.hashed)}
+        columns += [(col(c).cast("string") if c in df.columns else F.lit(None).cast("string")).alias(h) for h, c in wide.items()]
+        narrow = df.select(*[col(k) for k in keep], *columns)
+        if wide:
+            narrow = FeatureHasher(inputCols=list(wide), outputCol="_hashed", numFeatures=HASHED).transform(narrow)
+            inputs.append("_hashed")
+        return VectorAssembler(inputCols=inputs, outputCol="features").transform(narrow).drop(*inputs, *wide)
 
 
 @dataclass
@@ -107,7 +123,7 @@ class FittedModel:
     def save(self, spark: SparkSession, path: str) -> None:
         PipelineModel([self.model]).write().overwrite().save(f"{path}/model")
         p = self.preprocessor
-        state = json.dumps({"numeric": p.numeric, "categories": p.categories, "fills": p.fills, "label": self.label,
+        state = json.dumps({"numeric": p.numeric, "categories": p.categories, "fills": p.fills, "hashed": p.hashed, "label": self.label,
                             "params": self.params})
         spark.createDataFrame([(state,)], "state string").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
 
@@ -115,7 +131,7 @@ class FittedModel:
     def load(spark: SparkSession, path: str) -> FittedModel:
         state = json.loads(spark.read.parquet(f"{path}/state").first()["state"])
         stage = PipelineModel.load(f"{path}/model").stages[0]
-        return FittedModel(Preprocessor(state["numeric"], state["categories"], state["fills"]), stage, state["label"],
+        return FittedModel(Preprocessor(state["numeric"], state["categories"], state["fills"], state["hashed"]), stage, state["label"],
                            state["params"])
 
 

@@ -152,3 +152,20 @@ def test_merge_rejects_other_types(spark):
     df = spark.range(3)
     with pytest.raises(ValueError):
         merge(df, df, "cross", on="id")
+
+
+def test_category_limit_counts_each_column(spark, tmp_path):
+    from featforge.operators.models import HASHED, FittedModel, Preprocessor, fit
+    df = spark.range(1200).selectExpr("id", "cast(id % 600 as string) as a", "cast(id % 500 as string) as b", "cast(id as string) as wide",
+                                      "cast(id % 2 as int) as y", "cast(id % 2 as double) as x")
+    assert {c: len(v) for c, v in E.categories(df, ["a", "b"], limit=600).items()} == {"a": 600, "b": 500}
+    with pytest.raises(ValueError, match="wide"):
+        E.categories(df, ["a", "wide"], limit=600)
+    assert list(E.categories(df, ["a", "wide", "b"], limit=600, wide="skip")) == ["a", "b"]
+    prep = Preprocessor(["x"], {"a": ["0", "1"]}, {"x": 0.0}, ["wide"])
+    row = prep.transform(df).first()["features"]
+    assert row.size == len(prep.names) == 3 + HASHED and row.numNonzeros() <= 4
+    assert prep.transform(df.drop("wide")).first()["features"].size == 3 + HASHED
+    model = fit(df, ["x", "b"], "y", "id", {"maxDepth": 1}, "tree_gini")
+    model.save(spark, str(tmp_path / "m"))
+    assert FittedModel.load(spark, str(tmp_path / "m")).score(df, ["id"]).count() == 1200
