@@ -23,16 +23,16 @@ GENERAL_TOKENS = 6
 MIN_LINES = 3
 WILDCARD = "<*>"
 
-_TOKEN = r"[^\x09-\x0D\x20]+"
 _VARIABLE = r"(?<![^\x09-\x0D\x20])[^\x09-\x0D\x200-9]*+[0-9][^\x09-\x0D\x20]*+"
 #: Dropped lines are kept as bits of words of this many lines.
 _BITS = 63
+_NO_ID = -(1 << 63)
 
 
 def tokens(line: Column) -> Column:
     """Tokens between ASCII white space; those with a digit are the wildcard."""
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _VARIABLE, WILDCARD)).otherwise(line)
-    return F.regexp_extract_all(masked, F.lit(_TOKEN), F.lit(0))
+    return F.array_remove(F.split(F.translate(masked, "\t\n\u000b\f\r", "     "), " "), "")
 
 
 def _keys(depth: int, segments: int, min_tokens: int) -> Column:
@@ -53,20 +53,21 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, depth: int = DEPTH,
     A template recurs if at least ``min_lines`` lines are instances of it and not all in one document. They stay in its
     first document, the one with the smallest doc_id, and are dropped elsewhere, so copies of a document lose their lines
     to one that stays whole. Lines end at \\n; blank lines and lines under ``min_tokens`` tokens always stay. A row is
-    known by its doc_id and text: equal rows count once and get the same answer; a null doc_id comes before others. Null
-    and empty texts stay as they are. A column ``lines_dropped`` is replaced; other columns pass through.
+    known by its doc_id: rows of one id are one document, and those with a null id are one that comes before all others.
+    Null and empty texts stay as they are. A column ``lines_dropped`` is replaced; other columns pass through.
     """
     key = ["doc_id", "text_hash"]
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    # Outer explodes: the others put a filter on the array below it, which would compute all of it once more.
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("lines"))
+    lines = rows.select(*key, F.posexplode_outer("lines").alias("at", "line"))
     lines = lines.select(*key, "at", tokens(F.col("line")).alias("tokens")).withColumn("n", F.size("tokens"))
-    keyed = lines.select(*key, "at", _keys(depth, segments, min_tokens).alias("keys")).filter("keys is not null")
-    keyed = keyed.select(*key, "at", F.explode("keys").alias("key"))
-    doc = F.struct("doc_id", "text_hash")
-    templates = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.min(doc).alias("first"), F.max(doc).alias("last"))
-    recurring = cut_lineage(templates.filter((F.col("lines") >= min_lines) & (F.col("first") != F.col("last"))).select("key", "first"))
-    hit = keyed.join(recurring, "key").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
-                                                & (F.col("text_hash") == F.col("first.text_hash"))))
+    keyed = cut_lineage(lines.select(*key, "at", _keys(depth, segments, min_tokens).alias("keys")))
+    keyed = keyed.select(*key, "at", F.explode_outer("keys").alias("key")).filter("key is not null")
+    number = F.coalesce("doc_id", F.lit(_NO_ID))
+    templates = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.min(number).alias("first"), F.max(number).alias("last"))
+    recurring = cut_lineage(templates.filter((F.col("lines") >= min_lines) & (F.col("first") < F.col("last"))).select("key", "first"))
+    hit = keyed.join(recurring, "key").filter(number != F.col("first"))
     words = hit.groupBy(*key, F.expr(f"at div {_BITS}").alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(at % {_BITS} as int))")).alias("bits"))
     dropped = words.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("found"),

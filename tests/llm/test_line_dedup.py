@@ -22,20 +22,20 @@ def keys(line):
 
 
 def brute(docs):
-    order = lambda d: (d[0] is not None, d[0] or 0)
+    number = lambda d: -(1 << 63) if d[0] is None else d[0]
     seen = defaultdict(list)
-    for d in set(docs):
+    for d in docs:
         for line in (d[1] or "").split("\n"):
             for k in keys(line):
-                seen[k].append(d)
-    first = {k: min(v, key=order) for k, v in seen.items() if len(v) >= 3 and len(set(v)) > 1}
+                seen[k].append(number(d))
+    first = {k: min(v) for k, v in seen.items() if len(v) >= 3 and len(set(v)) > 1}
     out = []
     for d in docs:
         if d[1] is None:
             out.append((d[0], None, 0))
             continue
         lines = d[1].split("\n")
-        kept = [x for x in lines if not any(k in first and first[k] != d for k in keys(x))]
+        kept = [x for x in lines if not any(k in first and first[k] != number(d) for k in keys(x))]
         out.append((d[0], "\n".join(kept), len(lines) - len(kept)))
     return sorted(out, key=str)
 
@@ -47,7 +47,7 @@ def test_odd_rows_equal_brute_force(spark):
             (10, "call 1 now\r\ncall two now"), (11, "Served by node alpha in 12 ms for user bob today ok"),
             (12, "Served by node alpha in 7 ms for user carol_x today ok"), (13, "Served by node alpha in 9 ms for user dan today ok"),
             (14, "\n".join(f"line {'abc'[i % 3]} of many {i}" for i in range(400))), (15, "line a of many 7\n" * 200), (16, "w " * 30_000),
-            (17, "é ü  3ñ\té\nthe end"), (18, "é ü 4 é\n"), (19, "é  ü 5x é"), (20, "x" * 50_000)]
+            (17, "é ü  3ñ\té\nthe end"), (18, "é ü 4 é\n"), (19, "é  ü 5x é"), (20, "x" * 50_000), (21, f"same id\n{shared}"), (21, f"{shared} \x0b\n other")]
     df = spark.createDataFrame([(a, b, 1, "s", 5) for a, b in docs],
                                "doc_id bigint, text string, key int, first string, lines_dropped int").repartition(4)
     out = L.dedup_lines(df)
