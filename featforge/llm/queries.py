@@ -23,7 +23,29 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
-@query("op8_quality_rules")
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+_LIMITS = {5: 0.20, 6: 0.20, 7: 0.18, 8: 0.16, 9: 0.14, 10: 0.12}
+
+
+@query("op8_quality_rules", f"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), {_SPACED}) as words from documents),
+g as (select doc_id, n, i, words[i:i + n - 1] as gram from d, unnest({list(_LIMITS)}) t(n), unnest(range(1, len(words) - n + 2)) u(i)),
+r as (select doc_id, n, i from g qualify count(*) over (partition by doc_id, n, gram) > 1),
+c as (select distinct doc_id, n, unnest(range(i, i + n)) as q from r),
+s as (select doc_id, count(*) filter (n = 5) as n_repeat_words,
+             {", ".join(f"sum(length(words[q])) filter (n = {n}) as c{n}" for n in _LIMITS)} from c join d using (doc_id) group by 1),
+l as (select doc_id, line, count(*) over (partition by doc_id, line) as k from (select doc_id, unnest(string_split(text, chr(10))) as line from d)
+      where regexp_matches(line, {_SPACED})),
+m as (select doc_id, count(*) - count(distinct line) as n_dup_lines, sum(length(line)) as line_chars,
+             sum(if(k > 1, length(line), 0)) as dup_line_chars from l group by 1),
+w as (select doc_id, len(words)::bigint as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+             coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(line_chars, 0)::bigint as line_chars,
+             coalesce(dup_line_chars, 0)::bigint as dup_line_chars, coalesce(c5, 0)::bigint as dup_chars_5, coalesce(c10, 0)::bigint as dup_chars_10,
+             {" and ".join(f"coalesce(c{n}, 0) <= {limit}::double * word_chars" for n, limit in _LIMITS.items())} as few
+      from d left join s using (doc_id) left join m using (doc_id)),
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from w)
+select * exclude (few), not base_failed and few and dup_line_chars <= 0.30::double * line_chars as kept from b""")
 def op8(spark, sf_dir):
     from featforge.llm.quality import quality
     return quality(documents(spark, sf_dir)).select(

@@ -58,3 +58,10 @@ def test_clean_documents_stay(spark):
     counts = {(r.base_failed, r.kept): r["count"] for r in out}
     assert counts[(False, True)] > 0.95 * sum(n for (failed, _), n in counts.items() if not failed)
     assert quality(docs).filter(F.col("base_failed") & F.col("kept")).count() == 0
+
+
+def test_query_equals_sql(spark):
+    from featforge.llm.queries import ORACLE, QUERIES
+    from tests.oracle import compare, connect
+    sf_dir = "/root/testdata/sf0.001"
+    assert compare(QUERIES["op8_quality_rules"](spark, sf_dir), connect(sf_dir), ORACLE["op8_quality_rules"]) == []
