@@ -219,12 +219,12 @@ def fit_language(docs: DataFrame, train: Column | None = None, settings: Setting
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if train is not None:
         rows = rows.filter(F.coalesce(train, F.lit(False)))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one number for each language that the model has
     draw = F.xxhash64("doc_id", "text", F.lit(11))
-    # A few more than wanted are taken by their hash before the ranks are made, so no language is gathered whole.
-    share = (F.lit(1.5 * settings.rows + 30) / F.col("_n")).cast("double")
-    drawn = rows.select("lang", "text", draw.alias("_draw")).join(counts, "lang").filter(
-        F.pmod("_draw", F.lit(1 << 30)) / float(1 << 30) < share)
+    # A few more than wanted are taken by their hash as they are read, so no language is gathered whole.
+    shares = [F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, (1.5 * settings.rows + 30) / n)]
+    share = F.element_at(F.create_map(*shares), F.col("lang")) if shares else F.lit(0.0)
+    drawn = rows.select("lang", "text", draw.alias("_draw")).filter(F.pmod("_draw", F.lit(1 << 30)) / float(1 << 30) < share)
     drawn = drawn.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_draw"))).filter(
         F.col("_rank") <= settings.rows)
 
