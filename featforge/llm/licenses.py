@@ -8,6 +8,7 @@ diagonals.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -185,8 +186,15 @@ def scan(index: Index, t: X.Texts, coverage: float) -> list[tuple[int, str, floa
                 found.append((doc, of, matches, matches / len(template), at + a, at + b))
     found.sort(key=lambda r: (r[0], -r[2], -r[3], r[4], r[1]))
     kept: list[tuple] = []
+    doc, starts, ends = -1, [], []
     for r in found:
-        if not any(k[0] == r[0] and k[4] < r[5] and r[4] < k[5] for k in reversed(kept[-64:])):
+        if r[0] != doc:
+            doc, starts, ends = r[0], [], []
+        # Kept spans of a text are apart from each other, so only the neighbours can overlap.
+        i = bisect_right(starts, r[4])
+        if (i == 0 or ends[i - 1] <= r[4]) and (i == len(starts) or starts[i] >= r[5]):
+            starts.insert(i, r[4])
+            ends.insert(i, r[5])
             kept.append(r)
     base = points[t.edges[:-1]]
     out = [(d, index.names[of], share, n, int(points[t.start[t.bounds[d] + a]] - base[d]), int(points[t.end[t.bounds[d] + b - 1]] - base[d]))

@@ -2,8 +2,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from featforge.llm import licenses as L
+from featforge.llm import text as X
 from featforge.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -90,3 +92,12 @@ def test_query_finds_the_notices(spark):
         assert has <= {r.doc_id for r in got if r.license == name}
     for r in got:
         assert 0.6 <= r.coverage <= 1 and 0 <= r.start < r.end <= len(docs[r.doc_id])
+
+
+def test_overlapping_reports_of_many_headers():
+    header, full = L.TEMPLATES["Apache-2.0"], L.TEMPLATES["MIT"]
+    (t,) = X.chunks(pa.array(["\n\n".join([header] * 100), f"{full}\n" * 90]), X.PLAIN_LOWER)
+    rows = L.scan(L.Index(L.TEMPLATES), t, L.COVERAGE)
+    assert [r[:2] for r in rows] == [(0, "Apache-2.0")] * 100 + [(1, "MIT")] * 90
+    for a, b in zip(rows, rows[1:]):
+        assert a[0] != b[0] or a[5] <= b[4]
