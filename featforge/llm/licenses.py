@@ -19,7 +19,8 @@ from featforge.llm import text as X
 
 SHINGLE = 3
 WINDOW = 4
-#: Templates of fewer words keep every shingle, so that a changed word does not hide them.
+#: Templates of fewer words keep every shingle, so that a changed word does not hide them. All but one of their words must
+#: match, and what tells the license from others must stand unbroken.
 SHORT = 16
 #: Smallest share of a template's words that a report must match.
 COVERAGE = 0.6
@@ -67,6 +68,19 @@ TEMPLATES = {
         commercial or non-commercial, and by any means.""",
 }
 
+#: Runs of words that tell a short template's license from others; of a short template that is not listed, all words do.
+IDENTIFYING = {
+    "Apache-2.0-notice": ("Apache",),
+    "CC-BY-4.0-notice": ("Creative Commons Attribution 4.0",),
+    "CC-BY-NC-4.0-notice": ("CC BY-NC 4.0",),
+    "GPL-3.0-notice": ("GNU General Public License", "3"),
+    "MIT-notice": ("MIT",),
+}
+
+
+def _contains(words: np.ndarray, run: np.ndarray) -> bool:
+    return len(run) <= len(words) and bool((np.lib.stride_tricks.sliding_window_view(words, len(run)) == run).all(axis=1).any())
+
 
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     """Places of the smallest of every ``window`` neighbouring hashes, the last of equal ones; of fewer hashes, all."""
@@ -76,12 +90,22 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(runs)) + window - 1 - runs.argmin(axis=1))
 
 
+def _numbers(t: X.Texts, begin: int, end: int) -> list[bytes]:
+    """The words [begin, end) that are digits only."""
+    found = [t.data[a:b].tobytes() for a, b in zip(t.start[begin:end].tolist(), t.end[begin:end].tolist())]
+    return [w for w in found if w.isdigit()]
+
+
 class Index:
     """Fingerprints of templates; bounded by the templates, which are given by the program and not by the data."""
 
-    def __init__(self, templates: Mapping[str, str], shingle: int = SHINGLE, window: int = WINDOW):
+    def __init__(self, templates: Mapping[str, str], shingle: int = SHINGLE, window: int = WINDOW,
+                 identifying: Mapping[str, tuple[str, ...]] = IDENTIFYING):
         self.names, self.shingle = list(templates), shingle
         self.words: list[np.ndarray] = []
+        #: Of each short template the hashes of its identifying runs, and the numbers in it.
+        self.runs: dict[int, list[np.ndarray]] = {}
+        self.numbers: dict[int, set[bytes]] = {}
         keys, of, place = [], [], []
         for k, body in enumerate(templates.values()):
             (t,) = X.chunks(pa.array([body]), X.PLAIN_LOWER, 1 << 30)
@@ -91,6 +115,10 @@ class Index:
             grams, _ = X.ngrams(words, t.doc, shingle)
             at = winnow(grams, window if len(words) >= SHORT else 1)
             self.words.append(words)
+            if len(words) < SHORT:
+                runs = [next(X.chunks(pa.array([x]), X.PLAIN_LOWER)).word_hashes() for x in identifying.get(self.names[k], ())]
+                self.runs[k] = runs if runs and all(_contains(words, r) for r in runs) else [words]
+                self.numbers[k] = set(_numbers(t, 0, len(words)))
             keys.append(grams[at])
             of.append(np.full(len(at), k))
             place.append(at)
@@ -98,6 +126,20 @@ class Index:
         order = np.argsort(keys, kind="stable")
         self.keys, self.of, self.place = keys[order], of[order], place[order]
 
+    def names_license(self, of: int, t: X.Texts, words: np.ndarray, matches: int, begin: int, end: int) -> bool:
+        """Whether words [begin, end), aligned with a template, name its license; nothing is asked of long templates.
+
+        Of a short one all words but one must match, its identifying runs must stand there, and no number that it has not:
+        neither in the span nor right after one that stops before the template's last word.
+        """
+        if of not in self.runs:
+            return True
+        template = self.words[of]
+        if matches < len(template) - 1 or not all(_contains(words[begin:end], r) for r in self.runs[of]):
+            return False
+        after = words[end - 1] != template[-1] and end < len(words) and t.doc[end] == t.doc[begin]
+        return self.numbers[of].issuperset(_numbers(t, begin, end + after))
+
     def hits(self, t: X.Texts, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, template, place in it) of every shingle of the texts that the index has."""
         grams, at = X.ngrams(words, t.doc, self.shingle)
@@ -108,10 +150,10 @@ class Index:
         return np.repeat(at[some], n), self.of[slot], self.place[slot]
 
 
-def align(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+def align(template: np.ndarray, words: np.ndarray, low: int, high: int, added: int = 1) -> tuple[int, int, int]:
     """Best local alignment with place in text less place in template in [low, high]: matches, and the word span.
 
-    A match counts 2, a changed, left out or added word -1. Of equal scores the first end is taken.
+    A match counts 2, a changed or left out word -1, an added one -``added``. Of equal scores the first end is taken.
     """
     width = high - low + 1
     score, back = np.zeros((len(template) + 1, width + 2), np.int64), np.zeros((len(template) + 1, width + 2), np.int8)
@@ -125,8 +167,8 @@ def align(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple
             value, way = above[b] + (2 if words[j] == same else -1), 1
             if above[b + 1] - 1 > value:
                 value, way = above[b + 1] - 1, 2  # a word of the template left out
-            if row[b - 1] - 1 > value:
-                value, way = row[b - 1] - 1, 3  # a word of the text added
+            if row[b - 1] - added > value:
+                value, way = row[b - 1] - added, 3  # a word of the text added
             if value > 0:
                 row[b], step[b] = value, way
                 if value > best:
@@ -149,7 +191,8 @@ def align(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple
 
 
 def _band(n: int) -> int:
-    return max(2, n // 8)
+    """A short notice has room for some added words ('under the terms of the'), which cost nothing there."""
+    return 4 if n < SHORT else max(2, n // 8)
 
 
 def _candidates(index: Index, t: X.Texts, words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -181,8 +224,10 @@ def scan(index: Index, t: X.Texts, coverage: float) -> list[tuple[int, str, floa
         for part in range(low, high + 1, step):
             to = min(high, part + step - 1)
             at = max(begin, part - band)
-            matches, a, b = align(template, words[first + at:first + min(stop, to + len(template) + band)], part - band - at, to + band - at)
-            if matches >= coverage * len(template):
+            matches, a, b = align(template, words[first + at:first + min(stop, to + len(template) + band)], part - band - at, to + band - at,
+                                  added=int(len(template) >= SHORT))
+            if matches and matches >= coverage * len(template) and index.names_license(
+                    of, t, words, matches, first + at + a, first + at + b):
                 found.append((doc, of, matches, matches / len(template), at + a, at + b))
     found.sort(key=lambda r: (r[0], -r[2], -r[3], r[4], r[1]))
     kept: list[tuple] = []
@@ -207,7 +252,8 @@ def licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage
     """A row for each license found in a text: key, license, coverage, n_matched, start, end.
 
     Words are runs of digits, letters and all beyond ASCII, in lower case for A-Z. ``coverage`` is the share of the
-    template's words that the alignment matches; ``start`` and ``end`` are code points of the whole text. Null and empty
+    template's words that the alignment matches; templates of under ``SHORT`` words must match in all but one and with the
+    words that identify the license (``Index.names_license``); ``start`` and ``end`` are code points of the whole text. Null and empty
     texts have none; repeated rows give their rows each; the key may be null; other columns are not read. Templates need
     ``SHINGLE`` words or more.
     """

@@ -101,3 +101,27 @@ def test_overlapping_reports_of_many_headers():
     assert [r[:2] for r in rows] == [(0, "Apache-2.0")] * 100 + [(1, "MIT")] * 90
     for a, b in zip(rows, rows[1:]):
         assert a[0] != b[0] or a[5] <= b[4]
+
+
+def test_short_notices_need_the_words_that_identify_them():
+    texts = {
+        "The film was released under the title of its book": [], "a BSD program, released under the BSD License": [],
+        "Released under the Apache License": [], "Released under the MIT-0 License": [], "Licensed under CC BY 4.0": [],
+        "Licensed under CC BY-NC-SA 4.0.": [], "Licensed under CC BY-NC 3.0.": [],
+        "This work is licensed under the GNU General Public License, version 2.": [],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": [],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": [],
+        "This work is licensed under a Creative Commons Attribution 3.0 International License.": [],
+        "Licensed under the Apache License, Version 1.1": [], "Licensed under the Apache License, Version 1.0": [],
+        "Distributed under the MIT license": ["MIT-notice"], "Released under the terms of the MIT License 2024": ["MIT-notice"],
+        "Licensed under the terms of the MIT License": ["MIT-notice"],
+        "Available under the Apache License, Version 2.0 2024": ["Apache-2.0-notice"],
+        "This program is licensed under the GNU General Public License, version 3.": ["GPL-3.0-notice"],
+        "Released under CC BY-NC 4.0": ["CC-BY-NC-4.0-notice"], "my own notice of five words": ["own"], "my own notice of six words": [],
+    }
+    templates = L.TEMPLATES | {"own": "own notice of five words"}
+    t, = X.chunks(pa.array(list(texts)), X.PLAIN_LOWER)
+    got = [[] for _ in texts]
+    for r in L.scan(L.Index(templates), t, L.COVERAGE):
+        got[r[0]].append(r[1])
+    assert dict(zip(texts, got)) == texts
