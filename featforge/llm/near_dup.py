@@ -1,10 +1,10 @@
 """Near-duplicate documents: an inverted join on MinHash signature coordinates, confirmed on whole shingle sets.
 
-1. Every document gets the set of its shingles, a digest of it and a signature of ``COORDINATES`` minima. Documents with
+1. Every document gets the set of its shingles, a digest of it and a signature of minima. Documents with
    the same set are one node.
-2. Nodes are posted under each (coordinate, value) pair. A pair of nodes that may be linked shares at least ``MATCHES``
-   values, so it shares one among the ``COORDINATES - MATCHES + 1`` rarest of each: only those are merged, the long
-   lists are skipped, and nodes that share fewer than ``MATCHES`` values with anybody are out at once.
+2. Nodes are posted under each (coordinate, value) pair. A pair of nodes that may be linked shares at least ``matches``
+   values (``thresholds``), so it shares one among the ``coordinates - matches + 1`` rarest of each: only those are merged,
+   the long lists are skipped, and nodes that share fewer than ``matches`` values with anybody are out at once.
 3. Lists are merged in blocks: collisions of whole signatures are counted, and pairs above the threshold become
    candidates. A block returns a spanning star of each group, never its pairs.
 4. Groups of candidates are compared by their whole sets, again in blocks and returned as stars; the connected
@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,16 +29,37 @@ from featforge.session import cut_lineage
 
 SHINGLE = 5
 SIMILARITY = 0.85
-#: A pair of similarity 0.85 has fewer than 16 of 32 equal minima in 5 of 10 million cases.
-COORDINATES = 32
-MATCHES = 16
+#: Coordinates are taken in steps of so many, until a pair of the similarity asked for has fewer than ``LEAST_MATCHES`` equal
+#: minima, or fewer than the larger number that ``thresholds`` finds, with a probability of at most ``MISS``.
+STEP = 32
+LEAST_MATCHES = 8
+MISS = 6e-7
 #: Nodes, and shingles, of a block.
 BLOCK = 1024
 BLOCK_SHINGLES = 500_000
 
-_RANDOM = np.random.default_rng(20240501)
-_FACTORS = _RANDOM.integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
-_MASKS = _RANDOM.integers(0, 1 << 63, COORDINATES, np.uint64)
+
+def thresholds(similarity: float) -> tuple[int, int]:
+    """(coordinates, matches): a pair of ``similarity`` or more has fewer matches with probability ``MISS`` at most."""
+    if not 0 < similarity <= 1:
+        raise ValueError(f"similarity {similarity} is not in (0, 1]")
+    coordinates = 0
+    while True:
+        coordinates += STEP
+        missed, matches = (1 - similarity) ** coordinates, 0
+        while missed <= MISS and matches < coordinates:  # missed: the probability of at most ``matches`` equal minima
+            matches += 1
+            missed += math.comb(coordinates, matches) * similarity ** matches * (1 - similarity) ** (coordinates - matches)
+        if matches >= LEAST_MATCHES:
+            return coordinates, matches
+
+
+def _functions(coordinates: int) -> Iterator[tuple[np.uint64, np.uint64]]:
+    """Mask and factor of each coordinate; those of fewer coordinates come first among those of more."""
+    for low in range(0, coordinates, STEP):
+        random = np.random.default_rng(20240501 + low)
+        factors = random.integers(1, 1 << 63, STEP, np.uint64) * np.uint64(2) + np.uint64(1)
+        yield from zip(random.integers(0, 1 << 63, STEP, np.uint64), factors)
 
 
 def shingle_sets(t: X.Texts, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -63,13 +85,13 @@ def shingle_sets(t: X.Texts, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return keys[new], np.searchsorted(docs[new], np.arange(t.n + 1))
 
 
-def signatures(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Minima of ``COORDINATES`` hash functions over each set, one row a set; rows of empty sets mean nothing."""
-    out = np.zeros((len(bounds) - 1, COORDINATES), np.uint32)
+def signatures(keys: np.ndarray, bounds: np.ndarray, coordinates: int) -> np.ndarray:
+    """Minima of ``coordinates`` hash functions over each set, one row a set; rows of empty sets mean nothing."""
+    out = np.zeros((len(bounds) - 1, coordinates), np.uint32)
     some = np.flatnonzero(np.diff(bounds))
     if len(some):
-        for k in range(COORDINATES):
-            out[some, k] = np.minimum.reduceat(((keys ^ _MASKS[k]) * _FACTORS[k]) >> np.uint64(32), bounds[some])
+        for k, (mask, factor) in enumerate(_functions(coordinates)):
+            out[some, k] = np.minimum.reduceat(((keys ^ mask) * factor) >> np.uint64(32), bounds[some])
     return out
 
 
@@ -79,14 +101,14 @@ def _digests(keys: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
-def _described(docs: DataFrame, n: int) -> DataFrame:
+def _described(docs: DataFrame, n: int, coordinates: int) -> DataFrame:
     """doc_id, row_key, n_shingles, node (digest of the set, null for an empty one), signature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in X.chunks(batch.column(1), X.SPACED_LOWER):
                 keys, bounds = shingle_sets(t, n)
-                flat = pa.array(signatures(keys, bounds).view(np.int32).ravel())
-                edges = pa.array(np.arange(t.n + 1, dtype=np.int32) * COORDINATES)
+                flat = pa.array(signatures(keys, bounds, coordinates).view(np.int32).ravel())
+                edges = pa.array(np.arange(t.n + 1, dtype=np.int32) * coordinates)
                 rows = pa.array(np.arange(t.n) + t.first)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(np.diff(bounds)),
@@ -185,8 +207,7 @@ def _sizes_near(table: pa.Table, percent: int) -> np.ndarray:
     return 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
 
 
-def candidate_links(nodes: DataFrame, similarity: float = SIMILARITY, coordinates: int = COORDINATES,
-                    matches: int = MATCHES) -> DataFrame:
+def candidate_links(nodes: DataFrame, similarity: float, coordinates: int, matches: int) -> DataFrame:
     """Spanning links (a, b) of the pairs of nodes with at least ``matches`` equal coordinates."""
     posted = nodes.select("node", F.posexplode("signature").alias("at", "value")).select(
         "node", (F.col("at").cast("bigint") * (1 << 32) + F.col("value")).alias("key"))
@@ -204,7 +225,7 @@ def candidate_links(nodes: DataFrame, similarity: float = SIMILARITY, coordinate
         if len(values) == 2:  # most lists
             hit = bool((values[0] == values[1]).sum() >= matches)
             return np.array([[False, hit], [hit, False]]) & _sizes_near(table, percent)
-        equal = np.zeros((len(values), len(values)), np.uint8)
+        equal = np.zeros((len(values), len(values)), np.uint8 if coordinates < 256 else np.int32)
         for k in range(coordinates):
             equal += values[:, k, None] == values[None, :, k]
         return (equal >= matches) & _sizes_near(table, percent)
@@ -241,16 +262,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     ``kept`` says that it is the document's own. Null, empty and wordless texts are linked with nothing. Repeated rows
     are in one class and all kept if their id is the smallest; a null doc_id is linked like others, gives its class no
     id, and is kept only if no other id is in the class. ``row_key`` is a hash of doc_id and text. Other columns are not
-    read. The texts are scanned twice, the second time only for documents with a candidate.
+    read. A link of the similarity asked for is missed with probability ``MISS`` at most. The texts are scanned twice, the second time only for documents with a candidate.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    described = cut_lineage(_described(rows, shingle))
+    coordinates, matches = thresholds(similarity)
+    described = cut_lineage(_described(rows, shingle, coordinates))
     nodes = described.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.max("n_shingles").alias("n_shingles"),
         F.first("signature").alias("signature"))
     nodes = cut_lineage(nodes)
-    groups = components(candidate_links(nodes, similarity))
+    groups = components(candidate_links(nodes, similarity, coordinates, matches))
     known = nodes.select("node", "row_key", "n_shingles").join(groups, "node")
     known = cut_lineage(known)
     weight = known.groupBy("label").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES),

@@ -69,3 +69,18 @@ def test_odd_rows_equal_brute_force(spark, monkeypatch):
 
 def test_query_equals_sql(spark):
     assert compare(QUERIES["op5_minhash_near_dup"](spark, SF), connect(SF), ORACLE["op5_minhash_near_dup"]) == []
+
+
+def test_match_threshold_follows_the_similarity(spark):
+    rng = random.Random(6)
+    docs = []
+    for k in range(300):  # 40 of 80 distinct shingles shared
+        word = lambda n: [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
+        shared = word(44)
+        docs += [(2 * k, " ".join([*shared, *word(20)])), (2 * k + 1, " ".join([*shared, *word(20)]))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(df, 0.5).collect()}
+    assert got == {i: i - i % 2 for i, _ in docs}
+    assert N.near_duplicates(df, 0.51).filter("kept").count() == len(docs)
+    assert N.thresholds(0.85) == (32, 16) and N.thresholds(0.8) == (32, 13) and N.thresholds(1.0) == (32, 32)
+    assert N.thresholds(0.5) == (64, 13)
