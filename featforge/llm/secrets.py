@@ -2,7 +2,8 @@
 
 Base spans (assignments, access keys, long hexadecimal runs) stand by themselves. Weak parts do not: identifiers, mixed
 tokens and endpoints are everywhere. A weak part is reported only if complementary parts begin within ``reach`` code
-points of it: a base span of another role, or one part of each of the two other roles. Parts are interval-joined by
+points of it: a base span of another role, or one part of each of the two other roles. An identifier or endpoint that
+overlaps a base span of another role, but is not inside one, is reported with it. Parts are interval-joined by
 cells of ``reach`` points: each cell of a document keeps the first and the last start of each role, so a weak part
 meets a few rows in its own and the two neighbouring cells, however many parts lie there.
 """
@@ -29,6 +30,7 @@ REACH = 200
 KINDS = [("assign", ASSIGN, "secret"), ("access", ACCESS, "identifier"), ("hex", HEX, "secret"),
          ("token", TOKEN, "secret"), ("identifier", IDENTIFIER, "identifier"), ("endpoint", ENDPOINT, "endpoint")]
 _BASE = 3
+_TOKEN = 3
 #: A text without one of these has no secret and no access key, so nothing in it can be reported.
 _ANY = rf"AKIA[A-Z0-9]{{16}}|[0-9a-f]{{24}}|(?=[A-Za-z0-9+/_-]{{16}})[A-Za-z+/_-]*[0-9]|{ASSIGN}"
 
@@ -68,12 +70,19 @@ def _linked(parts: DataFrame, reach: int) -> DataFrame:
     role = F.element_at(F.array(*[F.lit(r) for *_, r in KINDS]), F.col("kind") + 1)
     base = F.col("kind") < _BASE
     by = Window.partitionBy(*key).orderBy("start", "kind", "end")
-    earlier = F.max(F.when(base, F.col("end"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    later = F.min(F.when(base, F.col("start"))).over(by.rowsBetween(1, Window.unboundedFollowing))
-    # What a base span covers is already reported.
-    free = parts.withColumn("role", role).withColumn("earlier", earlier).withColumn("later", later).filter(
-        base | ((F.coalesce("earlier", F.lit(0)) <= F.col("start")) & (F.coalesce("later", F.col("end")) >= F.col("end"))))
-    free = free.select(*key, "kind", "start", "end", "role", base.alias("strong"), F.expr(f"start div {reach}").alias("cell"))
+    secret = base & (F.col("role") == "secret")
+    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
+    ends, starts = (lambda of: F.max(F.when(of, F.col("end"))).over(before)), (lambda of: F.min(F.when(of, F.col("start"))).over(after))
+    meets = lambda end, start: (F.coalesce(end, F.lit(0)) > F.col("start")) | (F.coalesce(start, F.col("end")) < F.col("end"))
+    seen = parts.withColumn("role", role).select("*", ends(base).alias("end_any"), starts(base).alias("start_any"),
+                                                 ends(secret).alias("end_secret"), starts(secret).alias("start_secret"))
+    # What a base span covers is already reported (one that covers a weak part comes before it), and so is a token that
+    # runs on from a base span. An identifier or endpoint with a base span of another role inside or across is its partner.
+    out = F.when(F.col("kind") == _TOKEN, meets("end_any", "start_any")).otherwise(F.coalesce("end_any", F.lit(0)) >= F.col("end"))
+    partner = F.when(F.col("role") == "endpoint", meets("end_any", "start_any")).otherwise(
+        (F.col("role") == "identifier") & meets("end_secret", "start_secret"))
+    free = seen.filter(base | ~out).select(*key, "kind", "start", "end", "role", base.alias("strong"),
+                                           (~base & partner).alias("held"), F.expr(f"start div {reach}").alias("cell"))
     posts = free.groupBy(*key, "cell", "role", "strong").agg(F.min("start").alias("low"), F.max("start").alias("high"))
     probes = free.filter(~F.col("strong")).select("*", F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1)).alias("at"))
     p, q = probes.alias("p"), posts.alias("q")
@@ -82,7 +91,8 @@ def _linked(parts: DataFrame, reach: int) -> DataFrame:
                   & (F.col("q.low") <= F.col("p.start") + reach) & (F.col("q.high") >= F.col("p.start") - reach))
     whole = near.groupBy("p.doc_id", "p.text_hash", "p.kind", "p.start", "p.end").agg(
         F.bool_or("q.strong").alias("strong"), F.min("q.role").alias("one"), F.max("q.role").alias("other"))
-    return whole.filter("strong or one != other").select(*key, "kind", "start", "end")
+    spans = [*key, "kind", "start", "end"]
+    return whole.filter("strong or one != other").select(*spans).unionByName(free.filter("held").select(*spans)).dropDuplicates(spans)
 
 
 def secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:

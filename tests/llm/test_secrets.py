@@ -60,3 +60,12 @@ def test_query_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = rows_of(QUERIES["op2_secret_scan"](spark, SF))
     assert got == sorted(((r.doc_id, *brute(r.text)) for r in docs), key=str)
+
+
+def test_endpoint_with_its_own_credential(spark):
+    url = "https://api.example.com/v1?api_key=abcdef123"
+    far = f"https://api.example.com/{'x/' * 150}?token=abcdef123"
+    docs = {url: f"endpoint:0:{len(url)},assign:27:{len(url)}", far: f"endpoint:0:{len(far)},assign:{far.index('token')}:{len(far)}",
+            "password=host=db1.local": "assign:0:23", "https://api.example.com/v1": ""}
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    assert [r.spans for r in S.secrets(df).sort("doc_id").collect()] == list(docs.values())
