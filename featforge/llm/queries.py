@@ -169,3 +169,50 @@ def op7(spark, sf_dir):
 def op10(spark, sf_dir):
     from featforge.llm.licenses import licenses
     return licenses(documents(spark, sf_dir))
+
+
+#: CRC-32 of the digits of doc_id, bit by bit, and sha256 of a leaf.
+_CRC = ("xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::bigint), lambda c, b: list_reduce(list_prepend("
+        "xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda a, z: if(a & 1 = 1, xor(a >> 1, 3988292384), a >> 1)), 4294967295::bigint), 4294967295)")
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+@query("op13_merkle_manifest", f"""
+with recursive d as (select *, {_leaf_sql('text')} as leaf, row_number() over (order by doc_id) as row from documents),
+p as (select row, doc_id, leaf, source, row_number() over (partition by source order by doc_id, leaf) - 1 as idx,
+             if({_CRC} % 2 = 0, {_leaf_sql("replace(text, chr(10), '')")}, leaf) as other from d),
+n as (select source, 0 as level, idx, leaf as h, count(*) over (partition by source) as n from p
+      union all select source, level + 1, idx // 3, sha256(string_agg(h, '' order by idx)), any_value((n + 2) // 3) from n where n > 1 group by source, level, idx // 3),
+r as (select source, h as subroot, level as tall, row_number() over (order by source nulls first) - 1 as pos from n where n = 1),
+t as (select 0 as level, pos as idx, subroot as h, count(*) over () as n from r
+      union all select level + 1, idx // 3, sha256(string_agg(h, '' order by idx)), any_value((n + 2) // 3) from t where n > 1 group by level, idx // 3),
+a as (select row, tall, other, p.source, idx, pos, subroot from p join r on p.source is not distinct from r.source),
+s as (select row, n.level, string_agg(n.h, '' order by n.idx) filter (n.idx < a.idx // (3 ** n.level)::bigint) as l,
+             string_agg(n.h, '' order by n.idx) filter (n.idx > a.idx // (3 ** n.level)::bigint) as r
+      from a join n on a.source is not distinct from n.source and n.level < a.tall and n.idx // 3 = a.idx // (3 ** (n.level + 1))::bigint
+      group by all),
+u as (select pos, t.level, string_agg(t.h, '' order by t.idx) filter (t.idx < pos // (3 ** t.level)::bigint) as l,
+             string_agg(t.h, '' order by t.idx) filter (t.idx > pos // (3 ** t.level)::bigint) as r
+      from r join t on t.n > 1 and t.idx // 3 = pos // (3 ** (t.level + 1))::bigint group by all),
+w as (select row, level, coalesce(l, '') as l, coalesce(r, '') as r from s
+      union all select row, tall + level, coalesce(l, ''), coalesce(r, '') from a join u using (pos)),
+f as (select row, 0 as level, other as h from a
+      union all select f.row, f.level + 1, sha256(w.l || f.h || w.r) from f join w on f.row = w.row and f.level = w.level),
+e as (select row, max_by(h, level) as folded_root from f group by 1),
+q as (select row, sha256(string_agg(l || r, '' order by level)) as proof_sha256 from w group by 1)
+select doc_id, leaf, subroot, (select h from t where n = 1) as root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root,
+       folded_root = (select h from t where n = 1) as verified
+from p join a using (row) join e using (row) left join q using (row)""")
+def op13(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from featforge.llm.merkle import build_manifest
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    manifest = build_manifest(documents(spark, sf_dir, *columns), columns, "source", "doc_id", {"text": text})
+    return manifest.prove(proofs=False).select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
