@@ -216,3 +216,20 @@ def op13(spark, sf_dir):
     text = F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))
     manifest = build_manifest(documents(spark, sf_dir, *columns), columns, "source", "doc_id", {"text": text})
     return manifest.prove(proofs=False).select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def pieces_model() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op11_sentence_pieces")
+def op11(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from featforge.llm.pieces import decode_pieces, encode_pieces
+    encoded = encode_pieces(documents(spark, sf_dir), pieces_model())
+    encoded = encoded.select("doc_id", "ids", F.element_at("ends", -1).cast("bigint").alias("n_bytes"))
+    return decode_pieces(encoded, pieces_model()).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), "n_bytes")
