@@ -233,3 +233,22 @@ def op11(spark, sf_dir):
     return decode_pieces(encoded, pieces_model()).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"), "n_bytes")
+
+
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op12_ranked_search", f"""
+with t as (select doc_id, unnest({_TERMS}) as term from documents),
+f as (select doc_id, term, count(*)::bigint as tf from t group by all),
+n as (select doc_id, count(*)::bigint as n from t group by 1),
+s as (select count(*)::bigint as nd, sum(n)::bigint as nt from n),
+w as (select term, floor(1000 * ln((2 * any_value(nd) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from f, s group by term),
+q as (select distinct item_id, unnest({_TERMS}) as term from benchmark),
+r as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // nt))))::bigint as score
+      from q join w using (term) join f using (term) join n using (doc_id), s group by all),
+k as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from r where score > 0)
+select item_id, rank, doc_id, score from k where rank <= 50""")
+def op12(spark, sf_dir):
+    from featforge.llm.lexical import ranked_search
+    return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
