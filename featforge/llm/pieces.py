@@ -4,15 +4,10 @@ Normalisation is done here: the longest prefix that the model's compiled charact
 space is treated as the model says, and every normalised byte remembers the byte of the text that it came from. The
 library's merges then run on the normalised text, by a copy of the model that leaves its input as it is, and the pieces'
 lengths lead through the alignment back to spans of the original bytes.
-
-No piece of most models has white space after another character. Merges then never cross the beginning of a word, so
-every word is encoded once and remembered by the worker.
 """
 
 from __future__ import annotations
 
-import re
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -23,13 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: U+2581 stands for a space in pieces.
-SPACE = "▁"
-_SPACE = SPACE.encode()
-#: Words that a worker remembers, and the longest one in characters.
-MAX_WORDS = 300_000
-LONGEST = 64
+_SPACE = "▁".encode()
 #: Bytes of text whose pieces leave a task in one batch.
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 _UNKNOWN, _USER, _BYTE = 2, 4, 6
 _loaded: dict[str, Pieces] = {}
 
@@ -157,7 +148,7 @@ class Pieces:
         self._suffix = bool(trainer.get(24, 0))
         self.map = CharacterMap(spec.get(2, b""), tuple(n for n, k in zip(names, kinds) if k == _USER))
         whole = SentencePieceProcessor(model_proto=model)
-        self.end, self.decode = whole.eos_id(), whole.decode
+        self._whole, self.end = whole, whole.eos_id()
         # The same pieces, but text is left as it is: no character map (2) and no white space rules (3, 4, 5).
         plain = _message(1, b"identity") + b"\x18\0\x20\0\x28\0"
         same = b"".join(_message(k, v) for k, v in parts if k in (1, 2))
@@ -165,11 +156,6 @@ class Pieces:
         self._length = np.array([len(n) for n in names], np.int32)
         self._byte = np.array([int(n[3:5], 16) if k == _BYTE else -1 for n, k in zip(names, kinds)], np.int32)
         self._unknown = np.array([k == _UNKNOWN for k in kinds])
-        crosses = any(SPACE in n.decode().lstrip(SPACE) for n in names)
-        # Unknown characters in a row are one piece unless they fall back to bytes, so words then depend on their neighbours.
-        alone = not crosses and bool(trainer.get(35, 0)) and self._space == _SPACE and trainer.get(3, 1) == 2
-        self._words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if alone else "(?s:.+)")
-        self._clear()
 
     @staticmethod
     def load(path: str) -> Pieces:
@@ -178,10 +164,6 @@ class Pieces:
             _loaded[path] = Pieces(path)
         return _loaded[path]
 
-    def _clear(self) -> None:
-        self._code: dict[str, int] = {}
-        self._ids, self._sizes, self._from = array("i"), array("i"), array("q", [0])
-
     def normalise(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them, and for their end, the byte of ``data`` where its source begins."""
         if not data:
@@ -232,54 +214,42 @@ class Pieces:
             norm, origin = norm + self._space, np.concatenate((origin, np.full(width, end, kind)))
         return norm, np.append(origin, kind(end))
 
-    def _learn(self, words: list[str]) -> None:
-        if not words:
-            return
-        found = self._plain.encode(words)
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.int32, int(count.sum()))
+    def _widths(self, found: list[list[int]], normal: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, the normalised bytes that each covers, and where each text begins."""
+        edges = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))))
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(edges[-1]))
         sizes, byte = self._length[ids], self._byte[ids]
         first = np.flatnonzero((byte >= 0) & ((byte & 0xC0) != 0x80))
         if len(first):  # the last byte of a character stands for it
             width = np.select([byte[first] >= 0xF0, byte[first] >= 0xE0, byte[first] >= 0xC0], [4, 3, 2], 1)
             sizes[byte >= 0] = 0
             sizes[first + width - 1] = width
-        total = np.concatenate(([0], np.cumsum(count)))
-        for i in np.unique(np.searchsorted(total, np.flatnonzero(self._unknown[ids]), "right") - 1).tolist():
-            # A protocol message tells how much of the word an unknown piece covers.
-            told = self._plain.encode(words[i], return_type="proto").pieces
-            sizes[total[i]:total[i + 1]] = [p.end - p.begin for p in told]
-        base = len(self._ids)
-        self._code.update(zip(words, range(len(self._from) - 1, len(self._from) - 1 + len(words))))
-        self._ids.frombytes(ids.tobytes())
-        self._sizes.frombytes(sizes.astype(np.int32).tobytes())
-        self._from.frombytes((total[1:] + base).tobytes())
+        for i in np.unique(np.searchsorted(edges, np.flatnonzero(self._unknown[ids]), "right") - 1).tolist():
+            # A protocol message tells how much of the text an unknown piece covers.
+            told = self._plain.encode(normal[i], return_type="proto").pieces
+            sizes[edges[i]:edges[i + 1]] = [p.end - p.begin for p in told]
+        return ids, sizes, edges
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(ids, starts, ends) of each text, the end id last; starts and ends are bytes of the text's UTF-8 form."""
         data = [t.encode() for t in texts]
         normal = [self.normalise(d) for d in data]
-        words = [self._words.findall(n.decode()) for n, _ in normal]
-        if len(self._code) > MAX_WORDS:
-            self._clear()
-        new = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in self._code]
-        self._learn(new)
+        plain = [n.decode() for n, _ in normal]
+        ids, sizes, edges = self._widths(self._plain.encode(plain, num_threads=1), plain)
         out = []
-        all_ids, all_sizes, at = (np.frombuffer(a, k) for a, k in ((self._ids, np.int32), (self._sizes, np.int32), (self._from, np.int64)))
-        for d, (_, origin), ws in zip(data, normal, words):
-            codes = np.fromiter(map(self._code.__getitem__, ws), np.int64, len(ws))
-            low, count = at[codes], at[codes + 1] - at[codes]
-            total = np.concatenate(([0], np.cumsum(count)))
-            place = np.repeat(low - total[:-1], count) + np.arange(total[-1])
-            edges = origin[np.concatenate(([0], np.cumsum(all_sizes[place])))].astype(np.int32)
-            last = np.int32(len(d))
-            out.append((np.append(all_ids[place], np.int32(self.end)), np.append(edges[:-1], last), np.append(edges[1:], last)))
-        del all_ids, all_sizes, at
-        for w in new:
-            if len(w) > LONGEST:
-                del self._code[w]
+        for d, (_, origin), low, high in zip(data, normal, edges[:-1].tolist(), edges[1:].tolist()):
+            starts = np.full(high - low + 1, len(d), np.int32)
+            ends = np.full(high - low + 1, len(d), np.int32)
+            upto = np.cumsum(sizes[low:high])
+            ends[:-1] = origin[upto]
+            if high > low:
+                starts[0], starts[1:-1] = origin[0], ends[:-2]
+            out.append((np.append(ids[low:high], np.int32(self.end)), starts, ends))
         return out
 
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self._whole.decode(ids, num_threads=1)
+
 
 def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
     low = size = 0
