@@ -35,8 +35,8 @@ STEP = 32
 LEAST_MATCHES = 8
 MISS = 6e-7
 #: Nodes, and shingles, of a block.
-BLOCK = 1024
-BLOCK_SHINGLES = 500_000
+BLOCK = 512
+BLOCK_SHINGLES = 250_000
 
 
 def thresholds(similarity: float) -> tuple[int, int]:
@@ -156,15 +156,27 @@ def _stars(adjacent: np.ndarray) -> np.ndarray:
 
 
 def _linked(rows: DataFrame, compare: Callable[[pa.Table], np.ndarray]) -> DataFrame:
-    """Links (a, b) inside each run of rows of the same (key, x, y): stars of what ``compare`` finds adjacent."""
+    """Links (a, b) inside each run of rows of the same (key, x, y): stars of what ``compare`` finds adjacent.
+
+    A group of N nodes in B blocks gives at most N links inside its blocks and, as blocks of near copies are few components,
+    about one for each pair of blocks.
+    """
     def links(table: pa.Table) -> tuple[list, list]:
-        adjacent = compare(table)
-        if table["x"][0].as_py() != table["y"][0].as_py():  # pairs inside one block belong to x = y
+        adjacent, nodes = compare(table), table["node"].to_pylist()
+        if table["x"][0].as_py() == table["y"][0].as_py():
+            root = np.arange(len(nodes))
+            label = _stars(adjacent)
+        else:  # components inside one block are linked by x = y; here one link joins two of them, however many pairs do
             block = table["block"].to_numpy()
-            adjacent &= block[:, None] != block[None, :]
-        label, nodes = _stars(adjacent), table["node"].to_pylist()
-        far = np.flatnonzero(label != np.arange(len(label))).tolist()
-        return [nodes[i] for i in far], [nodes[label[i]] for i in far]
+            inside = block[:, None] == block[None, :]
+            own = _stars(adjacent & inside)
+            root, index = np.unique(own, return_inverse=True)
+            a, b = np.nonzero(adjacent & ~inside)
+            joined = np.zeros((len(root), len(root)), bool)
+            joined[index[a], index[b]] = True
+            label = root[_stars(joined)]
+        far = np.flatnonzero(label != root)
+        return [nodes[i] for i in root[far].tolist()], [nodes[i] for i in label[far].tolist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []

@@ -84,3 +84,17 @@ def test_match_threshold_follows_the_similarity(spark):
     assert N.near_duplicates(df, 0.51).filter("kept").count() == len(docs)
     assert N.thresholds(0.85) == (32, 16) and N.thresholds(0.8) == (32, 13) and N.thresholds(1.0) == (32, 32)
     assert N.thresholds(0.5) == (64, 13)
+
+
+def test_links_of_a_group_grow_with_its_nodes(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 64)
+    rng, per_node = random.Random(8), []
+    for n in (150, 600):
+        docs = spark.createDataFrame(copies(rng, n, 300, 2, 0), "doc_id bigint, text string").repartition(5)
+        rows = N._described(docs.selectExpr("doc_id", "text", "doc_id as row_key"), 5, 32)
+        found = N.candidate_links(rows.dropDuplicates(["node"]), 0.85, 32, 16)
+        per_node.append((found.count() / n, found.distinct().count() / n))
+        got = components(found).groupBy("label").count().collect()
+        assert len(got) == 1
+    assert per_node[0][0] < 20 and per_node[1][0] < 20
+    assert per_node[1][0] < 1.3 * per_node[0][0] and per_node[1][1] < 1.3 * per_node[0][1]
