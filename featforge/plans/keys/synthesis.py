@@ -84,15 +84,20 @@ def entity_check(spark, sf_dir):
     return entity_set(spark, sf_dir).check()
 
 
-@key("dfs_defs", """
+_ALL_ORDER_FEATURES = ["COUNT(orders)", *(n for n, _ in _ORDER_FEATURES)]
+
+
+@key("dfs_defs", f"""
 with f as (select unnest(['sum', 'mean', 'max', 'min', 'std']) as fn),
 line as (select upper(fn) || '(lineitem.' || c || ')' as base from f, (select unnest(['l_quantity', 'l_extendedprice', 'l_discount']) as c)
          union all select 'COUNT(lineitem)'),
 defs as (select 'COUNT(orders)' as name, 'size' as fn, null as input, null as base, 1 as depth
          union all select upper(fn) || '(orders.o_totalprice)', fn, 'o_totalprice', null, 1 from f
-         union all select upper(fn) || '(orders.' || base || ')', fn, null, base, 2 from f, line)
-select name, fn, 'orders' as entity, input, base, null::varchar as condition, depth::int as depth,
-       (select count(*) from customer)::bigint as n_values from defs""")
+         union all select upper(fn) || '(orders.' || base || ')', fn, null, base, 2 from f, line),
+matrix as (select coalesce("COUNT(orders)", 0) as "COUNT(orders)", {", ".join(f'"{n}"' for n, _ in _ORDER_FEATURES)}
+           from customer left join ({_DEPTH2}) on c_custkey = o_custkey),
+filled as ({" union all ".join(f"""select '{n}' as name, count("{n}")::bigint as n_values from matrix""" for n in _ALL_ORDER_FEATURES)})
+select name, fn, 'orders' as entity, input, base, null::varchar as condition, depth::int as depth, n_values from defs join filled using (name)""")
 def dfs_defs(spark, sf_dir):
     """Each definition beside the number of customers that have a value for it."""
     from featforge.operators.rollup import per_column
