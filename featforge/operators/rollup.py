@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from featforge.operators.encode import OneHot
 from featforge.operators.joins import attach
 from featforge.operators.quantiles import most_frequent, quantile_columns, value_table
 from featforge.operators.rows import split_columns
+from featforge.operators.states import StatePrimitive, aggregate_states
 
 Spec = Mapping[str, Sequence[str]]
 
@@ -188,13 +190,13 @@ class Primitive:
 
 
 class PrimitiveRegistry:
-    """Named aggregates with input and output types; a primitive builds an aggregate Column from a Column.
+    """Named aggregates with input and output types: a function from a Column to an aggregate Column, or a state in Python.
 
     ``primitives()`` is what ``dfs`` takes as ``custom``.
     """
 
     def __init__(self):
-        self._items: dict[str, Primitive] = {}
+        self._items: dict[str, Primitive | StatePrimitive] = {}
 
     def register(self, name: str, in_types: Sequence[type[DataType]], out_type: DataType,
                  fn: Callable[[Column], Column]) -> None:
@@ -202,7 +204,14 @@ class PrimitiveRegistry:
             raise ValueError(f"primitive {name!r} exists already")
         self._items[name] = Primitive(tuple(in_types), out_type, fn)
 
-    def primitives(self) -> dict[str, Primitive]:
+    def register_state(self, name: str, in_types: Sequence[type[DataType]], out_type: DataType, zero: Callable[[], Any],
+                       update: Callable[[Any, list], Any], merge: Callable[[Any, Any], Any], finish: Callable[[Any], Any]) -> None:
+        """A primitive over the raw values of a group, as a state that tasks fold and merge (see ``states``)."""
+        if name in self._items:
+            raise ValueError(f"primitive {name!r} exists already")
+        self._items[name] = StatePrimitive(tuple(in_types), out_type, zero, update, merge, finish)
+
+    def primitives(self) -> dict[str, Primitive | StatePrimitive]:
         return dict(self._items)
 
     def apply(self, df: DataFrame, keys: str | Sequence[str], name: str, columns: Sequence[str] | None = None
@@ -212,5 +221,7 @@ class PrimitiveRegistry:
         skip = set(_keys(keys))
         chosen = [f.name for f in df.schema.fields if isinstance(f.dataType, made.in_types) and f.name not in skip
                   and (columns is None or f.name in columns)]
+        if isinstance(made, StatePrimitive):
+            return aggregate_states(df, keys, {f"{name.upper()}({c})": (c, made) for c in chosen})
         exprs = [made(col(c)).alias(f"{name.upper()}({c})") for c in chosen]
         return df.groupBy(*[col(k) for k in _keys(keys)]).agg(*exprs)

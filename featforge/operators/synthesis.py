@@ -19,14 +19,15 @@ from featforge.functions.aggregates import FUNCTIONS, NUMERIC, aggregate_sql
 from featforge.functions.numeric import col, literal, quote, ratio
 from featforge.operators.joins import attach
 from featforge.operators.ordered import add_row_index, cumulative, percentile_ranks
-from featforge.operators.rollup import group_mode, group_nunique, grouped
+from featforge.operators.rollup import group_mode, group_nunique, grouped, normalized_mode_count
 from featforge.operators.rows import coerce_numeric, split_columns
+from featforge.operators.states import StatePrimitive, aggregate_states
 from featforge.session import cut_lineage
 
 AGGREGATES = ("sum", "mean", "count", "max", "min", "std")
 TRANSFORMS = ("DIFF", "CUM_SUM", "CUM_MEAN", "PERCENTILE")
 #: Aggregates of text and true/false columns, counted by (key, value) first.
-DISCRETE = {"mode": group_mode, "nunique": group_nunique}
+DISCRETE = {"mode": group_mode, "nunique": group_nunique, "normalized_mode_count": normalized_mode_count}
 
 
 @dataclass(frozen=True)
@@ -203,7 +204,10 @@ def _rolled_up(es: EntitySet, edge: Relationship, agg, depth, max_depth, where,
     text = set(_discrete(child.df))
     counted = [f for f in features if f.fn in DISCRETE and f.fn not in custom and f.column in text]
     plain = grouped(df, edge.child_key, {f.name: _text(f, es) for f in features if f.fn not in custom and f not in counted})
-    own = [custom[f.fn](col(f.base or f.column)).alias(f.name) for f in features if f.fn in custom]
+    states = {f.name: (f.base or f.column, custom[f.fn]) for f in features if isinstance(custom.get(f.fn), StatePrimitive)}
+    if states:
+        plain = attach(plain, aggregate_states(df, edge.child_key, states), edge.child_key)
+    own = [custom[f.fn](col(f.base or f.column)).alias(f.name) for f in features if f.fn in custom and f.name not in states]
     if own:
         plain = attach(plain, df.groupBy(col(edge.child_key)).agg(*own), edge.child_key)
     for f in counted:

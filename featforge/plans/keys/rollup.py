@@ -261,3 +261,66 @@ def custom_primitive(spark, sf_dir):
     registry = A.PrimitiveRegistry()
     registry.register("range", [T.DoubleType], T.DoubleType(), lambda c: F.max(c) - F.min(c))
     return registry.apply(table(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity", "l_extendedprice"), "l_orderkey", "range")
+
+
+def _add_values(state, values):
+    """Counts of values, nulls among them."""
+    for v in values:
+        state[v] = state.get(v, 0) + 1
+    return state
+
+
+def _add_counts(state, other):
+    for v, n in other.items():
+        state[v] = state.get(v, 0) + n
+    return state
+
+
+def _mode_share(state):
+    known = [n for v, n in state.items() if v is not None]
+    return max(known) / sum(state.values()) if known else None
+
+
+def _mode_state(registry):
+    registry.register_state("mode_share", [T.StringType], T.DoubleType(), dict, _add_values, _add_counts, _mode_share)
+    return registry
+
+
+@key("state_primitive", """
+with c as (select o_custkey, o_orderpriority as v, count(*) as n from orders group by 1, 2),
+s as (select o_custkey, o_orderstatus as v, count(*) as n from orders group by 1, 2)
+select o_custkey, round(p, 9) as "MODE_SHARE(o_orderpriority)", round(q, 9) as "MODE_SHARE(o_orderstatus)"
+from (select o_custkey, max(n)::double / sum(n)::double as p from c group by 1) join (select o_custkey, max(n)::double / sum(n)::double as q from s group by 1)
+     using (o_custkey)""")
+def state_primitive(spark, sf_dir):
+    """A primitive over raw values, as a state folded by tasks and merged."""
+    df = table(spark, sf_dir, "orders", "o_custkey", "o_orderpriority", "o_orderstatus")
+    return rounded(_mode_state(A.PrimitiveRegistry()).apply(df, "o_custkey", "mode_share"), 9)
+
+
+@key("state_primitive_hot", """
+select l_returnflag, round(max(n)::double / sum(n)::double, 9) as "MODE_SHARE(l_shipdate)"
+from (select l_returnflag, l_shipdate, count(*) as n from lineitem group by 1, 2) group by 1""")
+def state_primitive_hot(spark, sf_dir):
+    """The same with three keys that hold all rows between them."""
+    df = table(spark, sf_dir, "lineitem", "l_returnflag", "l_shipdate").select("l_returnflag", F.col("l_shipdate").cast("string").alias("l_shipdate"))
+    return rounded(_mode_state(A.PrimitiveRegistry()).apply(df, "l_returnflag", "mode_share"), 9)
+
+
+@key("dfs_state_primitive", """
+with c as (select o_custkey, o_orderpriority as v, count(*) as n from orders group by 1, 2),
+s as (select o_custkey, o_orderstatus as v, count(*) as n from orders group by 1, 2)
+select c_custkey, (select count(*) from orders where o_custkey = c_custkey)::bigint as "COUNT(orders)",
+       round(q, 9) as "NORMALIZED_MODE_COUNT(orders.o_orderstatus)", round(p, 9) as "NORMALIZED_MODE_COUNT(orders.o_orderpriority)",
+       round(q, 9) as "MODE_SHARE(orders.o_orderstatus)", round(p, 9) as "MODE_SHARE(orders.o_orderpriority)"
+from customer left join (select o_custkey, max(n)::double / sum(n)::double as p from c group by 1) a on a.o_custkey = c_custkey
+     left join (select o_custkey, max(n)::double / sum(n)::double as q from s group by 1) b on b.o_custkey = c_custkey""")
+def dfs_state_primitive(spark, sf_dir):
+    """A built-in primitive of text columns beside the same one written as a state, both found by synthesis."""
+    from featforge.operators import synthesis as D
+    es = D.EntitySet("customer")
+    es.add("customer", table(spark, sf_dir, "customer", "c_custkey"), "c_custkey")
+    es.add("orders", table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
+    es.relate("customer", "c_custkey", "orders", "o_custkey")
+    registry = _mode_state(A.PrimitiveRegistry())
+    return rounded(D.dfs(es, ["count", "normalized_mode_count", "mode_share"], max_depth=1, custom=registry.primitives()), 9)
