@@ -1,9 +1,13 @@
 """Minority oversampling by interpolation between near neighbours (SMOTE).
 
-Neighbours are exact. Rows are cut into blocks of equal size along the feature with the largest spread; the distance
+Neighbours are found exactly or by hashing. For exact ones, rows are cut into blocks of equal size along the feature with the largest spread; the distance
 along one feature never exceeds the full distance, so a row only has to visit the blocks within its k-th distance
 found so far. Every task compares two blocks at most, however many rows are alike, and only the k best of a
-comparison leave it.
+comparison leave it; on many features without a spread of their own that is a quadratic sweep.
+
+For hashed ones, every table splits the rows again and again into quarters along random directions, until a bucket has about
+``LEAF`` rows, and a row meets its own bucket and the next one on its nearer side. Work is linear in the rows; the recall
+that a number of tables gives can be measured (``measured_recall``).
 """
 
 from __future__ import annotations
@@ -21,6 +25,10 @@ from featforge.operators.sampling import class_counts, hash_order, sample_n
 from featforge.session import cut_lineage
 
 _PAIRS = "id {key_type}, distance double, neighbour {key_type}"
+#: Tables of hashed neighbours, rows of a bucket, and rows of a query set whose recall is measured.
+TABLES = 12
+LEAF = 512
+QUERIES = 256
 
 
 def _best(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -97,14 +105,90 @@ def nearest_neighbours(df: DataFrame, key: str, features: Sequence[str], k: int
     return _nearest(inside.unionByName(outside), k)
 
 
+def _buckets(points: DataFrame, width: int, tables: int, leaf: int, seed: int) -> DataFrame:
+    """id, x, t, node, part, near: the bucket of each row in each table, and the part of a bucket that can't be split by place.
+
+    ``near`` is the neighbouring bucket on the side where the row is nearer to the edge, null without one.
+    """
+    n = points.count()
+    levels = 0
+    while n > leaf * 4 ** levels:
+        levels += 1
+    rng = np.random.default_rng(seed)
+    rows = points.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))).withColumn("node", F.lit(0).cast("bigint"))
+    rows = rows.withColumn("near", F.lit(None).cast("bigint"))
+    for level in range(levels):
+        way = [[float(v) for v in direction] for direction in rng.normal(size=(tables, width))]
+        ways = F.array(*[F.array(*map(F.lit, w)) for w in way])
+        along = F.aggregate(F.arrays_zip(F.col("x").alias("a"), F.element_at(ways, F.col("t") + 1).alias("b")), F.lit(0.0),
+                            lambda s, z: s + z["a"] * z["b"])
+        placed = rows.withColumn("p", along)
+        # A bucket's cuts are sketched by all tasks and merged; ends are kept for the distance to an edge.
+        cuts = placed.groupBy("t", "node").agg(F.percentile_approx("p", [0.25, 0.5, 0.75], 1000).alias("cuts"))
+        child = F.size(F.filter("cuts", lambda c: c < F.col("p")))
+        low, high = F.element_at("cuts", F.greatest(child, F.lit(1))), F.element_at("cuts", F.least(child + 1, F.lit(3)))
+        down = (child == 3) | ((child > 0) & (F.col("p") - low < high - F.col("p")))
+        side = F.when(down, child - 1).otherwise(child + 1)
+        placed = placed.join(cuts, ["t", "node"]).select("id", "x", "t", (F.col("node") * 4 + child).alias("node"), (F.col("node") * 4 + side).alias("near"))
+        rows = cut_lineage(placed)
+    # Rows that no direction tells apart stay together beyond a leaf: they are dealt by a hash, another in each table.
+    sizes = rows.groupBy("t", "node").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).alias("parts"))
+    return rows.join(sizes, ["t", "node"]).withColumn("part", F.pmod(F.xxhash64("id", "t", F.lit(seed)), "parts")).drop("parts")
+
+
+def hashed_neighbours(df: DataFrame, key: str, features: Sequence[str], k: int = 5, tables: int = TABLES, leaf: int = LEAF,
+                      seed: int = 42) -> DataFrame:
+    """``(id, distance, neighbour, rank)`` as ``nearest_neighbours`` gives, with the nearest rows that share a bucket in some table.
+
+    Exact for up to ``leaf`` rows. Each row is compared with at most ``4 * leaf`` others a table, about. Ties go to the smaller id.
+    """
+    points = df.select(col(key).alias("id"), F.array(*[col(f).cast("double") for f in features]).alias("x"))
+    schema = _PAIRS.format(key_type=points.schema["id"].dataType.simpleString())
+    rows = cut_lineage(_buckets(points, len(features), tables, leaf, seed))
+    hosts = rows.select("t", "node", "part", F.lit(False).alias("guest"), "id", "x")
+    # A guest meets one part of the next bucket, and only if that has rows.
+    there = rows.groupBy("t", F.col("node").alias("near")).agg((F.max("part") + 1).alias("parts"))
+    guests = rows.drop("node", "part").join(there, ["t", "near"]).select(
+        "t", F.col("near").alias("node"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), "parts").alias("part"), F.lit(True).alias("guest"), "id", "x")
+
+    def meet(g: pd.DataFrame) -> pd.DataFrame:
+        host = g[~g["guest"]]
+        return _best(g, host, k)
+
+    met = guests.unionByName(hosts).groupBy("t", "node", "part").applyInPandas(meet, schema)
+    return _nearest(met.groupBy("id", "neighbour").agg(F.min("distance").alias("distance")), k).select("id", "distance", "neighbour", "rank")
+
+
+def measured_recall(df: DataFrame, key: str, features: Sequence[str], found: DataFrame, k: int = 5, queries: int = QUERIES,
+                    seed: int = 42) -> float:
+    """Share of the true k nearest of a stated query set that ``found`` has, or has another row as near in place of.
+
+    At most ``queries`` rows, chosen by a hash, are compared with all rows, batch by batch; 1.0 without any.
+    """
+    points = df.select(col(key).alias("id"), F.array(*[col(f).cast("double") for f in features]).alias("x"))
+    schema = _PAIRS.format(key_type=points.schema["id"].dataType.simpleString())
+    chosen = points.orderBy(F.xxhash64("id", F.lit(seed))).limit(queries).toPandas()
+    if chosen.empty:
+        return 1.0
+    shared = df.sparkSession.sparkContext.broadcast(chosen)
+    near = points.mapInPandas(lambda batches: (_best(shared.value, b, k) for b in batches), schema)
+    least = _nearest(near, k).groupBy("id").agg(F.max("distance").alias("reach"), F.count(F.lit(1)).alias("n"))
+    hit = found.join(least, "id", "right").groupBy("id").agg(F.count(F.when(F.col("distance") <= F.col("reach") * (1 + 1e-12), 1)).alias("hits"),
+                                                              F.first("n").alias("n"))
+    total = hit.agg(F.sum(F.least("hits", "n")).alias("hits"), F.sum("n").alias("n")).first()
+    return float(total["hits"] or 0) / float(total["n"] or 1)
+
+
 def smote(df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5, seed: int = 42,
-          block: int = 1024) -> DataFrame:
+          block: int = 1024, method: str = "hashed") -> DataFrame:
     """``(key, features, label)`` with synthetic minority rows (null key) until both classes have equal size.
 
     Every minority row gets the same number of synthetic rows, up to one. Each lies between the row and one of its
-    k neighbours; which one and how far is a hash of key, copy and seed. Minority rows with a missing or infinite
+    k neighbours, by ``method`` hashed (linear work) or exact; which one and how far is a hash of key, copy and seed. Minority rows with a missing or infinite
     feature, and a minority of one row, have no neighbours and raise: impute first.
     """
+    if method not in ("hashed", "exact"):
+        raise ValueError(f"method {method!r} is neither hashed nor exact")
     sizes = {c: n for c, n in class_counts(df, label).items() if c is not None}
     if len(sizes) != 2:
         raise ValueError(f"{label!r} must have two classes, found {sorted(sizes)}")
@@ -121,7 +205,7 @@ def smote(df: DataFrame, features: Sequence[str], label: str, key: str, k: int =
         raise ValueError(f"{bad} rows of class {minority!r} have features without a finite value; impute them first")
     if sizes[minority] < 2:
         raise ValueError(f"class {minority!r} has a single row, so no neighbours to draw from")
-    near = nearest_neighbours(rare, key, features, k, block)
+    near = nearest_neighbours(rare, key, features, k, block) if method == "exact" else hashed_neighbours(rare, key, features, k, seed=seed)
     near = near.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))).alias("near"))  # k at most
     each, extra = divmod(missing, sizes[minority])
     more = sample_n(rare, extra, key, seed).select(col(key).alias("id"), F.lit(1).alias("_more")) if extra else None

@@ -135,3 +135,34 @@ def smote(spark, sf_dir):
     data = customers.join(orders, "c_custkey", "left").fillna(0.0)
     out = oversample(data, ["n_orders", "mean_price"], "target", "c_custkey")
     return out.groupBy("target").agg(F.count(F.lit(1)).alias("n_rows"), F.count("c_custkey").alias("n_real"))
+
+
+_NEAREST = """
+with d as (select a.p_partkey as id, b.p_partkey as neighbour,
+                  sqrt((a.p_size - b.p_size)::double * (a.p_size - b.p_size)::double
+                       + (a.p_retailprice / 100 - b.p_retailprice / 100) * (a.p_retailprice / 100 - b.p_retailprice / 100)) as distance
+           from part a join part b on a.p_partkey <> b.p_partkey)
+select id, neighbour, row_number() over (partition by id order by distance, neighbour)::int as rank from d
+qualify row_number() over (partition by id order by distance, neighbour) <= 3"""
+
+
+def _parts(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), (F.col("p_retailprice") / 100).alias("price"))
+
+
+@key("neighbours_exact", _NEAREST)
+def neighbours_exact(spark, sf_dir):
+    from featforge.operators.oversample import nearest_neighbours
+    return nearest_neighbours(_parts(spark, sf_dir), "p_partkey", ["size", "price"], 3, block=64).select("id", "neighbour", "rank")
+
+
+@key("neighbours_hashed", """
+select count(*)::bigint as n_rows, 3 * count(*)::bigint as n_pairs, true as recalled from part""")
+def neighbours_hashed(spark, sf_dir):
+    """All rows have their neighbours, and at least 0.9 of the true ones of a query set are found in buckets of 64 rows."""
+    from featforge.operators.oversample import hashed_neighbours, measured_recall
+    parts = _parts(spark, sf_dir)
+    found = hashed_neighbours(parts, "p_partkey", ["size", "price"], 3, leaf=64).cache()
+    recall = measured_recall(parts, "p_partkey", ["size", "price"], found, 3)
+    return found.agg(F.countDistinct("id").alias("n_rows"), F.count(F.lit(1)).alias("n_pairs")).withColumn("recalled", F.lit(recall >= 0.9))
+

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from featforge.operators import oversample as O
 from featforge.operators.oversample import nearest_neighbours, smote
 
 
@@ -58,3 +59,45 @@ def test_rows_without_neighbours_raise(spark):
             smote(df, ["x"], "y", "id")
     with pytest.raises(ValueError, match="single row"):
         smote(spark.createDataFrame(rows[2:], "id long, x double, y int"), ["x"], "y", "id")
+
+
+def test_hashed_neighbours_of_one_bucket_are_exact(spark):
+    rng = np.random.default_rng(2)
+    points = [(i, [float(u), float(v)]) for i, (u, v) in enumerate(np.round(rng.normal(size=(200, 2)), 3))]
+    df = spark.createDataFrame([(i, *v) for i, v in points], "id long, a double, b double").repartition(5)
+    exact = nearest_neighbours(df, "id", ["a", "b"], 4).select("id", "rank", "neighbour").collect()
+    got = O.hashed_neighbours(df, "id", ["a", "b"], 4, tables=1, leaf=512)
+    assert sorted(got.select("id", "rank", "neighbour").collect()) == sorted(exact)
+    assert O.hashed_neighbours(df.limit(0), "id", ["a", "b"]).count() == 0
+
+
+@pytest.mark.parametrize("width", [3, 10])
+def test_recall_of_hashed_neighbours(spark, width):
+    names = [f"f{i}" for i in range(width)]
+    df = spark.range(12_000).select("id", *[F.rand(i + 1).alias(n) for i, n in enumerate(names)]).repartition(8).cache()
+    found = O.hashed_neighbours(df, "id", names, 5, leaf=256).cache()
+    assert O.measured_recall(df, "id", names, found) >= 0.9
+    # Every row has its k neighbours, none is the row itself, and the ranks are gapless.
+    rows = found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last"), F.count_if(F.col("id") == F.col("neighbour")).alias("own"))
+    assert [tuple(r) for r in rows.select("n", "last", "own").distinct().collect()] == [(5, 5, 0)] and rows.count() == 12_000
+
+
+def test_work_of_hashed_neighbours_is_linear(spark):
+    """Rows of a bucket stay near its size, at twice and four times the rows, also where a third of them are one point."""
+    names, leaf = [f"f{i}" for i in range(10)], 128
+    for n in (4_000, 16_000):
+        cells = [F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(F.rand(i + 1)) for i in range(10)]
+        points = spark.range(n).select("id", F.array(*cells).alias("x")).repartition(8)
+        met = O._buckets(points, 10, 2, leaf, 1).groupBy("t", "node", "part").count().agg(F.max("count"), F.sum("count")).first()
+        assert met[0] <= 6 * leaf and met[1] == 2 * n
+    df = spark.range(3_000).select("id", *[F.lit(1.0).alias(n) for n in names])
+    found = O.hashed_neighbours(df, "id", names, 3, tables=2, leaf=128)
+    assert found.groupBy("id").count().filter("count = 3").count() == 3_000
+
+
+def test_both_methods_make_equal_classes(spark):
+    df = spark.range(300).select("id", (F.col("id") * 7 % 29).cast("double").alias("a"), (F.col("id") % 10 == 0).cast("int").alias("y"))
+    made = [sorted(tuple(r) for r in smote(df, ["a"], "y", "id", method=m).filter("id is null").collect()) for m in ("hashed", "exact")]
+    assert made[0] == made[1] and len(made[0]) == 240
+    with pytest.raises(ValueError, match="neither"):
+        smote(df, ["a"], "y", "id", method="other")
