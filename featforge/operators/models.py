@@ -154,17 +154,18 @@ def _estimator(family: str, params: Mapping, label: str, seed: int, validation:
 
 def check_labels(df: DataFrame, label: str) -> dict:
     """Class sizes; raises unless both classes are there."""
-    sizes = {c: n for c, n in class_counts(df, label).items() if c is not None}
+    counted = class_counts(df, label)
+    sizes = {c: n for c, n in (counted or {}).items() if c is not None}
     if set(sizes) != {0, 1}:
-        raise ValueError(f"{label!r} must have the classes 0 and 1, found {sorted(sizes)}")
+        raise ValueError(f"{label!r} must have the classes 0 and 1, found {'more' if counted is None else sorted(sizes)}")
     return sizes
 
 
 def majority_baseline(df: DataFrame, label: str) -> dict[str, float]:
     """What a target with a single class allows: AUC 0.5 and the share of the most common class."""
-    sizes = {c: n for c, n in class_counts(df, label).items() if c is not None}
-    total = sum(sizes.values())
-    return {"auc": 0.5, "accuracy": max(sizes.values()) / total if total else 0.0, "n_classes": float(len(sizes))}
+    sizes = df.where(col(label).isNotNull()).groupBy(col(label)).count()
+    found = sizes.agg(F.sum("count").alias("total"), F.max("count").alias("most"), F.count(F.lit(1)).alias("classes")).first()
+    return {"auc": 0.5, "accuracy": found["most"] / found["total"] if found["total"] else 0.0, "n_classes": float(found["classes"])}
 
 
 def assemble(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = (),

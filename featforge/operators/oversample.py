@@ -189,9 +189,10 @@ def smote(df: DataFrame, features: Sequence[str], label: str, key: str, k: int =
     """
     if method not in ("hashed", "exact"):
         raise ValueError(f"method {method!r} is neither hashed nor exact")
-    sizes = {c: n for c, n in class_counts(df, label).items() if c is not None}
+    counted = class_counts(df, label)
+    sizes = {c: n for c, n in (counted or {}).items() if c is not None}
     if len(sizes) != 2:
-        raise ValueError(f"{label!r} must have two classes, found {sorted(sizes)}")
+        raise ValueError(f"{label!r} must have two classes, found {'too many' if counted is None else sorted(sizes)}")
     minority = min(sizes, key=lambda c: (sizes[c], c))
     missing = max(sizes.values()) - sizes[minority]
     real = df.select(col(key), *[col(f).cast("double").alias(f) for f in features], col(label))

@@ -115,6 +115,37 @@ def permuted_rows(spark, sf_dir):
     return M.permute_label(_orders(spark, sf_dir), "o_orderkey", "o_orderstatus", _SEED).select("o_orderkey", "o_orderstatus")
 
 
+# The same with thousands of classes of a few rows each.
+_WIDE = "select *, o_orderkey % 5000 as c from orders"
+_WIDE_SIZES = f"select c as label, count(*) as n from ({_WIDE}) group by 1"
+_IN_WIDE = f"row_number() over (partition by c order by {_HASH})"
+
+
+def _wide(spark, sf_dir):
+    return table(spark, sf_dir, "orders", "o_orderkey").withColumn("c", F.col("o_orderkey") % 5000)
+
+
+@key("stratified_wide_rows", f"""
+with q as ({_quota("(select least(800, count(*)) from orders)", _WIDE_SIZES)})
+select o_orderkey, c from ({_WIDE}) join q on label = c qualify {_IN_WIDE} <= n_rows""")
+def stratified_wide_rows(spark, sf_dir):
+    return M.sample_stratified(_wide(spark, sf_dir), 800, "c", "o_orderkey", _SEED).select("o_orderkey", "c")
+
+
+@key("fold_wide_rows", f"""
+select o_orderkey, (({_IN_WIDE} - 1) * 3 // count(*) over (partition by c))::int as fold from ({_WIDE})""")
+def fold_wide_rows(spark, sf_dir):
+    return M.assign_folds(_wide(spark, sf_dir), 3, "o_orderkey", _SEED, stratify="c").select("o_orderkey", "fold")
+
+
+@key("permuted_wide_rows", f"""
+with r as (select o_orderkey, row_number() over (order by {_HASH}) as rank from orders),
+l as (select c, row_number() over (order by c) as rank from ({_WIDE}))
+select o_orderkey, c from r join l using (rank)""")
+def permuted_wide_rows(spark, sf_dir):
+    return M.permute_label(_wide(spark, sf_dir), "o_orderkey", "c", _SEED).select("o_orderkey", "c")
+
+
 @key("size_report", """
 select 'orders' as dataset, count(*)::bigint as original_rows, least(3000, count(*))::bigint as current_rows,
        least(3000, count(*)) * 100.0::double / count(*) as percent_kept, 3::int as n_columns from orders""")

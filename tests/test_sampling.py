@@ -64,3 +64,41 @@ def test_profiles(rows):
     assert {k: d.count() for k, d in drawn.items()} == {"app": 100, "other": 100}
     assert drawn["app"].where("y = 1").count() == 10
     assert M.apply_profile(data, "Full Dataset", keys, "app", "y")["app"] is rows
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    """A third of the rows in one class, a null class, and many small ones."""
+    label = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.concat(F.lit("c"), F.col("id") % 97))
+    return spark.range(4000).select("id", label.alias("y")).repartition(5).cache()
+
+
+@pytest.mark.parametrize("small", [20_000, 3])
+def test_many_classes_give_the_rows_of_brute_force(wide, monkeypatch, small):
+    """The cuts of a table, found in one round or in several, against ranks counted here."""
+    monkeypatch.setattr(M, "_SMALL", small)
+    rows = [(r.id, r.y, r.h) for r in wide.select("id", "y", M.hash_order("id", 42).alias("h")).collect()]
+    assert len({y for _, y, _ in rows}) > M._FEW_CLASSES
+    groups = {}
+    for i, y, h in sorted(rows, key=lambda r: r[2]):
+        groups.setdefault(y, []).append(i)
+    sizes = {y: len(g) for y, g in groups.items()}
+    quota = M._quotas(sizes, 700)
+    assert ids(M.sample_stratified(wide, 700, "y", "id")) == sorted(i for y, g in groups.items() for i in g[:quota[y]])
+    quota = M._quotas(sizes, 1200)
+    test = {i for y, g in groups.items() for i in g[:quota[y]]}
+    assert {r.id for r in M.add_split(wide, 0.3, "id", stratify="y").filter("split = 'test'").collect()} == test
+    folds = {i: 4 * at // len(g) for g in groups.values() for at, i in enumerate(g)}
+    assert {r.id: r.fold for r in M.assign_folds(wide, 4, "id", stratify="y").collect()} == folds
+    labels = sorted((y for _, y, _ in rows), key=lambda y: (y is None, y))
+    want = {i: y for (i, _, _), y in zip(sorted(rows, key=lambda r: r[2]), labels)}
+    mixed = M.permute_label(wide, "id", "y", name="z")
+    assert mixed.columns == ["id", "y", "z"] and {r.id: r.z for r in mixed.collect()} == want
+
+
+def test_a_class_for_each_row(spark):
+    df = spark.range(3000).select("id", F.col("id").cast("string").alias("y")).repartition(4)
+    assert M.sample_stratified(df, 100, "y", "id").count() == 100
+    assert ids(M.sample_stratified(df, 3000, "y", "id")) == list(range(3000)) and ids(M.sample_stratified(df, 0, "y", "id")) == []
+    assert M.assign_folds(df, 1, "id", stratify="y").filter("fold = 0").count() == 3000
+    assert sorted(r.y for r in M.permute_label(df, "id", "y").collect()) == sorted(str(i) for i in range(3000))
