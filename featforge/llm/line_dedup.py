@@ -19,8 +19,10 @@ SEGMENTS = 3
 #: Lines of fewer tokens are never templates; generalising a run asks for this many more than the depth.
 MIN_TOKENS = 3
 GENERAL_TOKENS = 6
-#: Lines of a recurring template.
+#: Lines of a recurring template, or of one with ``LONG_TOKENS`` tokens or more: chance does not repeat such a line.
 MIN_LINES = 3
+LONG_TOKENS = 50
+LONG_LINES = 2
 WILDCARD = "<*>"
 
 _VARIABLE = r"(?<![^\x09-\x0D\x20])[^\x09-\x0D\x200-9]*+[0-9][^\x09-\x0D\x20]*+"
@@ -47,10 +49,11 @@ def _keys(depth: int, segments: int, min_tokens: int) -> Column:
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, depth: int = DEPTH, segments: int = SEGMENTS,
-                min_tokens: int = MIN_TOKENS) -> DataFrame:
+                min_tokens: int = MIN_TOKENS, long_tokens: int = LONG_TOKENS) -> DataFrame:
     """All columns of ``docs`` with the lines of recurring templates dropped from ``text``, and ``lines_dropped``.
 
-    A template recurs if at least ``min_lines`` lines are instances of it and not all in one document. They stay in its
+    A template recurs if at least ``min_lines`` lines, or ``LONG_LINES`` of ``long_tokens`` tokens or more, are instances of it and not all in
+    one document. They stay in its
     first document, the one with the smallest doc_id, and are dropped elsewhere, so copies of a document lose their lines
     to one that stays whole. Lines end at \\n; blank lines and lines under ``min_tokens`` tokens always stay. A row is
     known by its doc_id: rows of one id are one document, and those with a null id are one that comes before all others.
@@ -62,11 +65,14 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, depth: int = DEPTH,
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("lines"))
     lines = rows.select(*key, F.posexplode_outer("lines").alias("at", "line"))
     lines = lines.select(*key, "at", tokens(F.col("line")).alias("tokens")).withColumn("n", F.size("tokens"))
-    keyed = cut_lineage(lines.select(*key, "at", _keys(depth, segments, min_tokens).alias("keys")))
-    keyed = keyed.select(*key, "at", F.explode_outer("keys").alias("key")).filter("key is not null")
+    keyed = cut_lineage(lines.select(*key, "at", (F.col("n") >= long_tokens).alias("long"), _keys(depth, segments, min_tokens).alias("keys")))
+    keyed = keyed.select(*key, "at", "long", F.explode_outer("keys").alias("key")).filter("key is not null")
     number = F.coalesce("doc_id", F.lit(_NO_ID))
-    templates = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.min(number).alias("first"), F.max(number).alias("last"))
-    recurring = cut_lineage(templates.filter((F.col("lines") >= min_lines) & (F.col("first") < F.col("last"))).select("key", "first"))
+    # The number of tokens is part of the key, so all lines of a template are long or none is.
+    templates = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.min(number).alias("first"), F.max(number).alias("last"),
+                                         F.max("long").alias("long"))
+    enough = F.col("lines") >= F.when(F.col("long"), F.lit(min(LONG_LINES, min_lines))).otherwise(F.lit(min_lines))
+    recurring = cut_lineage(templates.filter(enough & (F.col("first") < F.col("last"))).select("key", "first"))
     hit = keyed.join(recurring, "key").filter(number != F.col("first"))
     words = hit.groupBy(*key, F.expr(f"at div {_BITS}").alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(at % {_BITS} as int))")).alias("bits"))

@@ -129,7 +129,7 @@ n as (select *, len(t) as n from t),
 k as (select doc_id, pos, -1 as s, n, t as a, null as b from n where n >= 3
       union all select doc_id, pos, s, n, t[:2 + (n - 2) * s // 3], t[2 + (n - 2) * (s + 1) // 3 + 1:]
       from n, unnest([0, 1, 2]) u(s) where n >= 8),
-r as (select s, n, a, b, min(doc_id) as first from k group by all having count(*) >= 3 and min(doc_id) != max(doc_id)),
+r as (select s, n, a, b, min(doc_id) as first from k group by all having count(*) >= if(n >= 50, 2, 3) and min(doc_id) != max(doc_id)),
 x as (select distinct doc_id, pos from k join r on k.s = r.s and k.n = r.n and k.a = r.a and k.b is not distinct from r.b
       where doc_id != first),
 g as (select doc_id, count(*) as n from x group by 1),

@@ -28,7 +28,8 @@ def brute(docs):
         for line in (d[1] or "").split("\n"):
             for k in keys(line):
                 seen[k].append(number(d))
-    first = {k: min(v) for k, v in seen.items() if len(v) >= 3 and len(set(v)) > 1}
+    size = lambda k: len(k[1]) if k[0] == -1 else k[1]
+    first = {k: min(v) for k, v in seen.items() if len(v) >= (2 if size(k) >= 50 else 3) and len(set(v)) > 1}
     out = []
     for d in docs:
         if d[1] is None:
@@ -47,7 +48,9 @@ def test_odd_rows_equal_brute_force(spark):
             (10, "call 1 now\r\ncall two now"), (11, "Served by node alpha in 12 ms for user bob today ok"),
             (12, "Served by node alpha in 7 ms for user carol_x today ok"), (13, "Served by node alpha in 9 ms for user dan today ok"),
             (14, "\n".join(f"line {'abc'[i % 3]} of many {i}" for i in range(400))), (15, "line a of many 7\n" * 200), (16, "w " * 30_000),
-            (17, "é ü  3ñ\té\nthe end"), (18, "é ü 4 é\n"), (19, "é  ü 5x é"), (20, "x" * 50_000), (21, f"same id\n{shared}"), (21, f"{shared} \x0b\n other")]
+            (17, "é ü  3ñ\té\nthe end"), (18, "é ü 4 é\n"), (19, "é  ü 5x é"), (20, "x" * 50_000),
+            (22, "long " * 49 + "line"), (23, "own\n" + "long " * 49 + "line"), (24, "much " * 48 + "line"), (25, "much " * 48 + "line"),
+            (26, "a b " + "c " * 30 + "d " * 30), (27, "a b " + "c " * 30 + "e " * 30), (21, f"same id\n{shared}"), (21, f"{shared} \x0b\n other")]
     df = spark.createDataFrame([(a, b, 1, "s", 5) for a, b in docs],
                                "doc_id bigint, text string, key int, first string, lines_dropped int").repartition(4)
     out = L.dedup_lines(df)
