@@ -6,12 +6,13 @@ the batch. Hashes are 64 bits wide: a polynomial over the bytes of a word, mixed
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -130,6 +131,16 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers outlive a stage, and what they hold would add to that of the next."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def chunks(column: pa.Array, table: np.ndarray, limit: int = CHUNK) -> Iterator[Texts]:
     """The texts of an Arrow string column in runs of about ``limit`` bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -146,3 +157,4 @@ def chunks(column: pa.Array, table: np.ndarray, limit: int = CHUNK) -> Iterator[
         last = max(first + 1, int(np.searchsorted(edges, edges[first] + limit, "right")) - 1)
         yield Texts(data[edges[first]:edges[last]], edges[first:last + 1] - edges[first], table, first)
         first = last
+    release()
