@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featforge.functions.numeric import as_column, col, literal, quote
-from featforge.operators.ordered import add_row_index
+from featforge.operators.ordered import OrderedTable, add_row_index
 from featforge.operators.quantiles import unpivot
 from featforge.operators.rows import string_columns
+from featforge.session import cut_lineage
 
 #: Categories of a column become columns or broadcast codes, so their number is checked for each column.
 MAX_CATEGORIES = 10_000
@@ -37,7 +39,7 @@ def categories(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIE
         out.setdefault(r["column"], []).append(r["value"])
     over = sorted({c for c in columns if c not in fit} | {c for c, v in out.items() if len(v) > limit})
     if over and wide == "raise":
-        raise ValueError(f"more than {limit} categories in {over}; encode them with factorize or ordinal_encode")
+        raise ValueError(f"more than {limit} categories in {over}; encode them with one_hot_vector, factorize or ordinal_encode")
     return {c: sorted(out[c]) for c in columns if c not in over}
 
 
@@ -91,6 +93,54 @@ def one_hot(df: DataFrame, cols: Sequence[str] | None = None, null_category: boo
     return model.transform(df), list(model.new_columns())
 
 
+def category_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, value, slot)``: every distinct non-null value of each column, slots 0.. of a column in order of its values.
+
+    A table of any size, numbered by the distributed row index; nothing of it reaches the driver.
+    """
+    distinct = unpivot(df, columns, "string").where(F.col("value").isNotNull()).distinct()
+    numbered = OrderedTable(distinct, ["value"], by=["column"]).running(row_number="_row")
+    return cut_lineage(numbered.select("column", "value", (F.col("_row") - 1).cast("int").alias("slot")))
+
+
+def category_sizes(table: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Slots of each column of a category table."""
+    found = {r["column"]: r["count"] for r in table.groupBy("column").count().collect()}
+    return {c: found.get(c, 0) for c in columns}
+
+
+def add_vectors(df: DataFrame, table: DataFrame, sizes: Mapping[str, int], names: Mapping[str, str]) -> DataFrame:
+    """``df`` with a sparse 0/1 vector ``names[c]`` of ``sizes[c]`` slots for each column of ``names``.
+
+    Values are looked up by a join with the category table; nulls, values it lacks and columns that ``df`` lacks give zeros.
+    """
+    codes = {c: f"_code_{i}" for i, c in enumerate(names)}
+    out = df
+    for c, code in codes.items():
+        if c not in df.columns:
+            out = out.withColumn(code, F.lit(-1.0))
+            continue
+        own = table.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("slot").alias("_slot"))
+        out = out.join(own, col(c).cast("string") == F.col("_value"), "left").withColumn(
+            code, F.coalesce(F.col("_slot"), F.lit(-1)).cast("double")).drop("_value", "_slot")
+    # The model only needs the number of slots: a row with the last one tells it. One more slot takes what is unknown, and is dropped.
+    last = df.sparkSession.createDataFrame([tuple(float(max(sizes[c], 1) - 1) for c in codes)], ", ".join(f"{v} double" for v in codes.values()))
+    encoder = OneHotEncoder(inputCols=list(codes.values()), outputCols=[names[c] for c in codes], dropLast=True, handleInvalid="keep").fit(last)
+    return encoder.transform(out).drop(*codes.values())
+
+
+def one_hot_vector(df: DataFrame, columns: Sequence[str], table: DataFrame | None = None, name: str = "one_hot") -> tuple[DataFrame, DataFrame]:
+    """``df`` with one sparse vector for all ``columns``, of any number of categories, and the category table that gives its slots.
+
+    The slots of a column follow those of the columns before it.
+    """
+    table = category_table(df, columns) if table is None else table
+    parts = {c: f"_hot_{i}" for i, c in enumerate(columns)}
+    out = add_vectors(df, table, category_sizes(table, columns), parts)
+    out = VectorAssembler(inputCols=list(parts.values()), outputCol=name).transform(out)
+    return out.drop(*parts.values()), table
+
+
 def _numbered(distinct: DataFrame, order: str) -> DataFrame:
     """``(value, code)`` with codes 0.. over a table of distinct values.
 

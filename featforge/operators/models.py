@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featforge.functions.numeric import col
-from featforge.operators.encode import OneHot, categories
+from featforge.operators.encode import OneHot, add_vectors, categories, category_sizes, category_table
 from featforge.operators.impute import Imputer
 from featforge.operators.metrics import class_metrics, fold_summary, roc_auc
 from featforge.operators.rows import clean_infinite, split_columns, string_columns
@@ -39,7 +39,7 @@ FAMILIES: dict[str, Callable[..., object]] = {
 }
 
 
-#: Sparse slots for all string columns with too many values for slots of their own.
+#: Sparse slots for all string columns that share slots by a hash on request.
 HASHED = 1 << 12
 
 
@@ -47,15 +47,20 @@ HASHED = 1 << 12
 class Preprocessor:
     """Numeric columns with values, one-hot string columns, fills; ``transform`` gives a ``features`` vector.
 
-    String columns with too many values for a slot each share ``HASHED`` sparse slots by the hash of column and value.
+    String columns with too many values for columns of their own have sparse slots by a category table, as many as values; with
+    ``wide="hash"`` they share ``HASHED`` slots by the hash of column and value instead.
     """
 
     numeric: list[str] = field(default_factory=list)
     categories: dict[str, list[str]] = field(default_factory=dict)
     fills: dict[str, float] = field(default_factory=dict)
     hashed: list[str] = field(default_factory=list)
+    slots: dict[str, int] = field(default_factory=dict)
+    table: DataFrame | None = None
 
-    def fit(self, df: DataFrame, features: Sequence[str], strategy: str = "mean") -> Preprocessor:
+    def fit(self, df: DataFrame, features: Sequence[str], strategy: str = "mean", wide: str = "table") -> Preprocessor:
+        if wide not in ("table", "hash"):
+            raise ValueError(f"wide columns can be kept by a table or by hash, not {wide!r}")
         chosen = clean_infinite(df.select(*[col(c) for c in features]))
         counts = chosen.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(features)]).first()
         present = [c for i, c in enumerate(features) if counts[i] > 0]
@@ -63,7 +68,10 @@ class Preprocessor:
         self.numeric = split_columns(chosen)[0]
         text = string_columns(chosen)
         self.categories = categories(chosen, text, wide="skip")
-        self.hashed = [c for c in text if c not in self.categories]
+        rest = [c for c in text if c not in self.categories]
+        self.hashed = rest if wide == "hash" else []
+        self.table = category_table(chosen, rest) if rest and wide == "table" else None
+        self.slots = category_sizes(self.table, rest) if self.table is not None else {}
         fitted = Imputer(strategy).fit(chosen.select(*[col(c) for c in self.numeric])) if self.numeric else Imputer()
         self.fills = {c: float(v) for c, v in fitted.values.items()}
         return self
@@ -72,7 +80,12 @@ class Preprocessor:
     def names(self) -> list[str]:
         """Names of the vector slots; one-hot slots are ``<column>_<value>``."""
         slots = list(OneHot(self.categories, null_category=False).new_columns())
-        return self.numeric + slots + [f"hashed_{i}" for i in range(HASHED if self.hashed else 0)]
+        wide: list[str] = []
+        if self.slots:  # as many as the weights of a model, which the driver holds too
+            order = {c: i for i, c in enumerate(self.slots)}
+            rows = sorted(self.table.collect(), key=lambda r: (order[r["column"]], r["slot"]))
+            wide = [f"{r['column']}_{r['value']}" for r in rows]
+        return self.numeric + slots + [f"hashed_{i}" for i in range(HASHED if self.hashed else 0)] + wide
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """Columns the table lacks count as missing: numbers take their fill, categories match no value."""
@@ -89,10 +102,19 @@ class Preprocessor:
         inputs = [f"_x{i}" for i in range(len(columns))]
         wide = {f"_h{i}": c for i, c in enumerate(self.hashed)}
         columns += [(col(c).cast("string") if c in df.columns else F.lit(None).cast("string")).alias(h) for h, c in wide.items()]
+        tabled = {c: f"_t{i}" for i, c in enumerate(self.slots)}
+        columns += [(col(c).cast("string") if c in df.columns else F.lit(None).cast("string")).alias(f"_s{i}") for i, c in enumerate(self.slots)]
         narrow = df.select(*[col(k) for k in keep], *columns)
         if wide:
             narrow = FeatureHasher(inputCols=list(wide), outputCol="_hashed", numFeatures=HASHED).transform(narrow)
             inputs.append("_hashed")
+        if tabled:
+            sources = {c: f"_s{i}" for i, c in enumerate(self.slots)}
+            of = F.create_map(*[F.lit(x) for pair in sources.items() for x in pair])
+            renamed = self.table.withColumn("column", of[F.col("column")])
+            narrow = add_vectors(narrow, renamed, {sources[c]: n for c, n in self.slots.items()}, {sources[c]: t for c, t in tabled.items()})
+            narrow = narrow.drop(*sources.values())
+            inputs += list(tabled.values())
         return VectorAssembler(inputCols=inputs, outputCol="features").transform(narrow).drop(*inputs, *wide)
 
 
@@ -123,16 +145,20 @@ class FittedModel:
     def save(self, spark: SparkSession, path: str) -> None:
         PipelineModel([self.model]).write().overwrite().save(f"{path}/model")
         p = self.preprocessor
-        state = json.dumps({"numeric": p.numeric, "categories": p.categories, "fills": p.fills, "hashed": p.hashed, "label": self.label,
-                            "params": self.params})
+        state = json.dumps({"numeric": p.numeric, "categories": p.categories, "fills": p.fills, "hashed": p.hashed, "slots": p.slots,
+                            "label": self.label, "params": self.params})
+        if p.slots:
+            p.table.write.mode("overwrite").parquet(f"{path}/categories")
         spark.createDataFrame([(state,)], "state string").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> FittedModel:
         state = json.loads(spark.read.parquet(f"{path}/state").first()["state"])
         stage = PipelineModel.load(f"{path}/model").stages[0]
-        return FittedModel(Preprocessor(state["numeric"], state["categories"], state["fills"], state["hashed"]), stage, state["label"],
-                           state["params"])
+        slots = state.get("slots") or {}
+        table = spark.read.parquet(f"{path}/categories") if slots else None
+        prep = Preprocessor(state["numeric"], state["categories"], state["fills"], state["hashed"], slots, table)
+        return FittedModel(prep, stage, state["label"], state["params"])
 
 
 def _probability(scored: DataFrame, keep: Sequence[str], threshold: float = 0.5) -> DataFrame:

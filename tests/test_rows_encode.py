@@ -169,3 +169,33 @@ def test_category_limit_counts_each_column(spark, tmp_path):
     model = fit(df, ["x", "b"], "y", "id", {"maxDepth": 1}, "tree_gini")
     model.save(spark, str(tmp_path / "m"))
     assert FittedModel.load(spark, str(tmp_path / "m")).score(df, ["id"]).count() == 1200
+
+
+def test_fifty_thousand_categories_have_exact_slots(spark, tmp_path, monkeypatch):
+    from featforge.operators.models import FittedModel, Preprocessor, fit
+    n = 50_000
+    df = spark.range(n + 2).selectExpr(
+        "id", f"case when id < {n} then concat('v', lpad(id, 6, '0')) end as wide", "cast(id % 3 as string) as few",
+        "cast(id % 2 as int) as y", "cast(id % 5 as double) as x").repartition(6)
+    out, table = E.one_hot_vector(df, ["wide", "few"])
+    assert table.filter("column = 'wide'").count() == n and out.columns == [*df.columns, "one_hot"]
+    for r in out.filter("id % 9973 = 0 or wide is null").select("id", "wide", "few", "one_hot").collect():
+        assert r.one_hot.size == n + 3
+        assert sorted(int(i) for i in r.one_hot.indices) == ([r.id] if r.wide else []) + [n + int(r.few)]
+    again, _ = E.one_hot_vector(spark.createDataFrame([("v000007", "9"), ("new", None)], "wide string, few string"), ["wide", "few"], table)
+    assert [[int(i) for i in r.one_hot.indices] for r in again.orderBy("wide").collect()] == [[], [7]]
+    prep = Preprocessor().fit(df, ["x", "few", "wide"])
+    assert prep.slots == {"wide": n} and prep.hashed == [] and len(prep.names) == 1 + 3 + n
+    row = prep.transform(df.filter("id = 41"), ["id"]).first()
+    hot = dict(zip(row.features.indices.tolist(), row.features.values.tolist()))
+    assert row.features.size == 4 + n and hot == {0: 1.0, 1 + 2: 1.0, 4 + 41: 1.0} and prep.names[4 + 41] == "wide_v000041"
+    assert prep.transform(df.drop("wide")).first()["features"].size == 4 + n
+    assert Preprocessor().fit(df, ["x", "wide"], wide="hash").hashed == ["wide"]
+    few = df.filter("id % 500 = 0 or wide is null").cache()
+    monkeypatch.setattr(E, "MAX_CATEGORIES", 10)
+    monkeypatch.setattr(E.categories, "__defaults__", (10, "raise"))
+    model = fit(few, ["x", "wide"], "y", "id", {"maxIter": 3}, "logistic")
+    assert model.preprocessor.slots["wide"] == few.filter("wide is not null").select("wide").distinct().count()
+    want = sorted(tuple(r) for r in model.score(few, ["id"]).collect())
+    model.save(spark, str(tmp_path / "wide"))
+    assert sorted(tuple(r) for r in FittedModel.load(spark, str(tmp_path / "wide")).score(few, ["id"]).collect()) == want
