@@ -21,6 +21,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose likeliest language has less than this share of its letters is rejected.
 MIN_SCORE = 0.4
 CAPACITY = 2048
+#: Documents whose five-word shingles are this similar are near duplicates.
+SIMILARITY = 0.8
 
 
 def _same(left: DataFrame, right: DataFrame) -> list:
@@ -45,7 +47,7 @@ def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each class of near duplicates; equal rows are one document."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id", F.col("row_key").alias("_hash")).distinct()
+    kept = near_duplicates(docs, SIMILARITY).filter("kept").select("doc_id", F.col("row_key").alias("_hash")).distinct()
     rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_hash"))
     first = F.row_number().over(Window.partitionBy("_hash", "doc_id").orderBy("_hash"))
     out = rows.join(kept, _same(rows, kept), "left_semi")
@@ -53,7 +55,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a window of a benchmark item occurs."""
+    """Drops documents in which a window of a benchmark item occurs; null and empty texts stay, repeated rows go or stay together."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate(docs, items).filter("contaminated").select("doc_id", F.col("text_hash").alias("_hash")).distinct()
     rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_hash"))
@@ -61,7 +63,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all token pieces in sequences of ``CAPACITY`` tokens."""
+    """Places of all token pieces in sequences of ``CAPACITY`` tokens; null and empty texts have their end id alone, repeated rows are packed each."""
     return pack(docs, tokenizer(), CAPACITY)
 
 
