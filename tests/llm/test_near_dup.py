@@ -14,12 +14,12 @@ def sets(text):
     return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute(docs):
+def brute(docs, percent=85):
     found = [sets(t) for _, t in docs]
     label = list(range(len(docs)))
     for i, a in enumerate(found):
         for j, b in enumerate(found[:i]):
-            if a and b and 100 * len(a & b) >= 85 * len(a | b) and label[i] != label[j]:
+            if a and b and 100 * len(a & b) >= percent * len(a | b) and label[i] != label[j]:
                 old = max(label[i], label[j])
                 label = [min(label[i], label[j]) if x == old else x for x in label]
     out = []

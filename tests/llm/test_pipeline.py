@@ -28,7 +28,7 @@ def test_every_stage_equals_brute_force(spark):
     rows = rows_of(frame)
     assert rows == sorted(want, key=str)
     frame = P.drop_near_duplicates(spark, frame, SF).cache()
-    kept = {k for k, *_, own in near_dup([r[:2] for r in rows]) if own}
+    kept = {k for k, *_, own in near_dup([r[:2] for r in rows], 80) if own}
     rows = [r for r in rows if r[0] in kept]
     assert rows_of(frame) == rows
     frame = P.drop_contaminated(spark, frame, SF).cache()
@@ -48,17 +48,18 @@ def test_every_stage_equals_brute_force(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a line that comes again and again here", "en", "s", 1),
+    long = "a very long text of many words " * 30_000
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (8, long, "en", "s", len(long)), (3, "a line that comes again and again here", "en", "s", 1),
             (4, "a line that comes again and again here", None, "s", 1), (5, "a line that comes again and again here\n \n", "en", None, 1),
             (6, "only here", "en", "s", 9), (6, "only here", "en", "s", 9), (None, "no id at all", "en", "s", 2), (None, None, None, None, None)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows],
                                "doc_id bigint, text string, lang string, source string, n_chars bigint, _hash int, kept int").repartition(3)
     lang = P.identify_language(spark, df, SF)
-    assert lang.columns == P.COLUMNS and {r.doc_id for r in lang.collect()} == {3, 4, 5, 6, None}
+    assert lang.columns == P.COLUMNS and {r.doc_id for r in lang.collect()} == {3, 4, 5, 6, 8, None}
     lines = P.drop_template_lines(spark, df, SF)
-    assert lines.columns == P.COLUMNS and sorted(str(r.doc_id) for r in lines.collect()) == ["1", "2", "3", "6", "6", "None", "None"]
+    assert lines.columns == P.COLUMNS and sorted(str(r.doc_id) for r in lines.collect()) == ["1", "2", "3", "6", "6", "8", "None", "None"]
     near = P.drop_near_duplicates(spark, df, SF)
-    assert near.columns == P.COLUMNS and sorted(str(r.doc_id) for r in near.collect()) == ["1", "2", "3", "6", "None", "None"]
+    assert near.columns == P.COLUMNS and sorted(str(r.doc_id) for r in near.collect()) == ["1", "2", "3", "6", "8", "None", "None"]
     clean = P.drop_contaminated(spark, df, SF)
     assert clean.columns == P.COLUMNS and clean.count() == len(rows)
     for _, stage in P.STAGES:
