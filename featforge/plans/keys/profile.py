@@ -223,3 +223,24 @@ def feature_breakdown(spark, sf_dir):
     from featforge.plans.keys.synthesis import entity_set
     matrix = dfs(entity_set(spark, sf_dir, with_lines=False), max_depth=1)
     return Q.feature_breakdown(matrix).withColumn("n_rows", F.lit(matrix.count()))
+
+
+@key("profile_merged", " union all ".join(f"""
+select '{c}' as column, count(*)::bigint as rows, count(*) filter ({c} is null)::bigint as missing, min({c})::double as low, max({c})::double as high,
+       true as distinct_held, true as median_held from {_LINES}""" for c in _NUMERIC))
+def profile_merged(spark, sf_dir):
+    """Profiles of parts of the lines, merged by their sketches, and whether the estimates keep their stated bounds."""
+    from featforge.operators import sketches as S
+    from featforge.operators.profile import distinct_table
+    df = _lines(spark, sf_dir, "l_orderkey", *_NUMERIC)
+    parts = S.sketch_profile(df.withColumn("_part", F.col("l_orderkey") % 7), _NUMERIC, ["_part"])
+    found = S.read_profiles(S.merge_profiles(parts))
+    exact = distinct_table(df, _NUMERIC).withColumnRenamed("n_distinct", "_exact")
+    found = found.join(exact, "column")
+    medians = {r["column"]: r["median"] for r in found.select("column", "median").collect()}
+    share = lambda c, sign: F.avg((F.expr(f"{c} {sign} {medians[c]!r}d")).cast("double"))
+    ranks = df.agg(*[share(c, sign).alias(f"{c}{sign}") for c in _NUMERIC for sign in ("<", "<=")]).first()
+    held = {c: ranks[f"{c}<"] - S.rank_error() <= 0.5 <= ranks[f"{c}<="] + S.rank_error() for c in _NUMERIC}
+    of = F.create_map(*[F.lit(v) for pair in held.items() for v in pair])
+    close = F.abs(F.col("n_distinct") / F.col("_exact") - 1) <= S.distinct_error()
+    return found.select("column", "rows", "missing", "low", "high", close.alias("distinct_held"), of[F.col("column")].alias("median_held"))
