@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,42 +17,48 @@ from featforge.operators.rollup import per_column
 from featforge.operators.rows import split_columns
 
 _SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
-
-
-def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Co-moment sums of one partition for all column pairs; nulls drop out pair by pair."""
-    sums = None
-    for batch in batches:
-        raw = batch.to_numpy(dtype=float)
-        mask = (~np.isnan(raw)).astype(float)
-        x = np.where(mask > 0, raw, 0.0)
-        part = [mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x]
-        sums = part if sums is None else [a + b for a, b in zip(sums, part)]
-    if sums is None:
-        return
-    i, j = np.triu_indices(sums[0].shape[0], 1)
-    n, sx, sxx, sxy = sums
-    parts = [n[i, j], sx[i, j], sx[j, i], sxx[i, j], sxx[j, i], sxy[i, j]]
-    yield pd.DataFrame({"i": [i.astype(np.int32)], "j": [j.astype(np.int32)], **{s: [v] for s, v in zip(_SUMS, parts)}})
+#: Columns of a tile: up to as many, one pass over the rows does; more take a task for each partition and tile.
+TILE = 256
+
+
+def _moments(low: int, high: int):
+    """Co-moment sums of one partition for the pairs of the columns of a tile with all later columns; nulls drop out pair by pair."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = None
+        for batch in batches:
+            raw = batch.to_numpy(dtype=float)[:, low:]  # earlier columns have met this tile in theirs
+            mask = (~np.isnan(raw)).astype(float)
+            x = np.where(mask > 0, raw, 0.0)
+            t, m = x[:, :high - low], mask[:, :high - low]
+            part = [m.T @ mask, t.T @ mask, m.T @ x, (t * t).T @ mask, m.T @ (x * x), t.T @ x]
+            sums = part if sums is None else [np.add(a, b, out=a) for a, b in zip(sums, part)]
+        if sums is None:
+            return
+        i, j = np.nonzero(np.arange(sums[0].shape[1])[None, :] > np.arange(high - low)[:, None])
+        yield pd.DataFrame({"tile": [low], "i": [(i + low).astype(np.int32)], "j": [(j + low).astype(np.int32)],
+                            **{s: [v[i, j]] for s, v in zip(_SUMS, sums)}})
+
+    return run
 
 
 def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The sums of many partitions as one row."""
-    total = None
+    """The sums of many partitions as one row for each tile."""
+    total: dict[int, list] = {}
     for batch in batches:
         for row in batch.itertuples(index=False):
-            values = [np.asarray(v) for v in row]
-            total = values if total is None else values[:2] + [a + b for a, b in zip(total[2:], values[2:])]
-    if total is not None:
-        yield pd.DataFrame({c: [v] for c, v in zip(["i", "j", *_SUMS], total)})
+            tile, values = int(row[0]), [np.asarray(v) for v in row[1:]]
+            old = total.get(tile)
+            total[tile] = values if old is None else old[:2] + [a + b for a, b in zip(old[2:], values[2:])]
+    for tile, values in total.items():
+        yield pd.DataFrame({"tile": [tile], **{c: [v] for c, v in zip(["i", "j", *_SUMS], values)}})
 
 
 def corr_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(a, b, corr)`` for every pair of columns, a before b; pairwise complete, null when a side is constant.
 
-    Columns are standardised first, so the sums keep their digits. Cost per row is p*p multiply-adds in numpy; each
-    task sends one row of p*p/2 sums, which are merged in about as many tasks as the square root of their number before
-    they are spread by pair.
+    Columns are standardised first, so the sums keep their digits. Cost per row is p*p multiply-adds in numpy. Columns are dealt
+    in tiles of ``TILE``: a task adds up the sums of one tile with all later columns, so its memory grows with p, not with its square, and
+    the sums of a tile are merged in about as many tasks as the square root of their number before they are spread by pair.
     """
     columns = split_columns(df)[0] if columns is None else list(columns)
     scale = df.agg(*[e for c in columns for e in (F.avg(col(c).cast("double")), F.stddev_pop(col(c).cast("double")))]).first()
@@ -59,10 +66,13 @@ def corr_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     for i, c in enumerate(columns):
         mean, std = scale[2 * i], scale[2 * i + 1]
         scaled.append(((col(c).cast("double") - (mean or 0.0)) / (std if std else 1.0)).alias(f"x{i}"))
-    kind = "i array<int>, j array<int>, " + ", ".join(f"{s} array<double>" for s in _SUMS)
+    kind = "tile int, i array<int>, j array<int>, " + ", ".join(f"{s} array<double>" for s in _SUMS)
     narrow = df.select(*scaled)
     groups = math.ceil(math.sqrt(max(1, narrow.rdd.getNumPartitions())))
-    merged = narrow.mapInPandas(_moments, kind).repartition(groups).mapInPandas(_merged, kind)
+    tiles = [narrow.mapInPandas(_moments(low, min(low + TILE, len(columns))), kind) for low in range(0, len(columns), TILE)]
+    sums = reduce(DataFrame.union, tiles)
+    spread = F.pmod(F.spark_partition_id(), F.lit(groups))  # of one tile, so that a task merges few tiles
+    merged = sums.withColumn("_share", spread).repartition(groups * len(tiles), "tile", "_share").drop("_share").mapInPandas(_merged, kind)
     pairs = merged.select(F.explode(F.arrays_zip("i", "j", *_SUMS)).alias("_p")).select("_p.*")
     sums = pairs.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
     vx = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
