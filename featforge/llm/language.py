@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,14 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _MAX_CACHED = 300_000
+#: Letters of the longest word; writing without spaces is read as words of so many letters.
+LONGEST = 40
 
 
 @dataclass
 class Settings:
     """Bounds of the fit. ``rows`` labelled rows of each language give ``chains`` runs of ``length`` words each, spread evenly
-    over the whole text. Longer words than ``letters`` give the n-grams of their first and last letters only."""
+    over the whole text."""
 
     rows: int = 200
     chains: int = 8
@@ -36,17 +39,20 @@ class Settings:
     rounds: int = 40
     rate: float = 0.3
     decay: float = 1e-4
-    letters: int = 40
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters in lower case."""
-    return [w for w in _WORD.findall((text or "").lower()) if w.isalpha()]
+    """Runs of letters in lower case; runs of over ``LONGEST`` letters as several words, so that all their letters are read."""
+    out = []
+    for run in _WORD.findall((text or "").lower()):
+        # The pattern takes signs such as a raised 2 for parts of words.
+        parts = [run] if run.isalpha() else ["".join(g) for letters, g in groupby(run, str.isalpha) if letters]
+        for w in parts:
+            out += [w] if len(w) <= LONGEST else [w[i:i + LONGEST] for i in range(0, len(w), LONGEST)]
+    return out
 
 
-def features(word: str, buckets: int, letters: int) -> list[int]:
-    if len(word) > letters:
-        word = word[:letters // 2] + word[-letters // 2:]
+def features(word: str, buckets: int) -> list[int]:
     n = len(word)
     names = [f"w{word}", *[f"p{word[:k]}" for k in range(1, min(4, n) + 1)], *[f"s{word[-k:]}" for k in range(1, min(4, n) + 1)]]
     framed = f"^{word}$"
@@ -99,7 +105,7 @@ class Crf:
 
     def _indices(self, word: str) -> list[int]:
         s = self.settings
-        return features(word, s.buckets, s.letters) + [s.buckets + k for k in self.lexicon.get(word, ())]
+        return features(word, s.buckets) + [s.buckets + k for k in self.lexicon.get(word, ())]
 
     @staticmethod
     def fit(chains: list[tuple[str, list[str]]], settings: Settings) -> Crf:
@@ -236,7 +242,7 @@ def fit_language(docs: DataFrame, train: Column | None = None, settings: Setting
                 last = max(0, len(words) - settings.length)
                 for begin in sorted({last * k // max(1, settings.chains - 1) for k in range(settings.chains)}):
                     langs.append(lang)
-                    runs.append([w[:100] for w in words[begin:begin + settings.length]])
+                    runs.append(words[begin:begin + settings.length])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(runs, pa.list_(pa.string()))], ["lang", "words"])
 
     chains = drawn.select("lang", "text").mapInArrow(cut, "lang string, words array<string>").toArrow()

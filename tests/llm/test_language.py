@@ -70,3 +70,17 @@ def test_odd_rows(spark):
     assert L.predict_language(df.limit(0), model).count() == 0
     assert L.fit_language(df.limit(0)).labels == []
     assert L.fit_language(df.filter(F.col("lang") == "de")).predict(["abc"])[0] == ["de"]
+
+
+def test_words_are_runs_of_letters():
+    assert L.words_of("x² m² H₂O ½kg a_b 12c") == ["x", "m", "h", "o", "kg", "a", "b", "c"]
+    assert L.words_of("² ½ 12 _") == [] and L.words_of(None) == []
+    long = "ab" * 2500
+    assert "".join(L.words_of(long)) == long and {len(w) for w in L.words_of(long)} == {L.LONGEST}
+    # What tells the language of a run without spaces may stand anywhere in it.
+    rng = np.random.default_rng(1)
+    chains = [(lang, ["".join(rng.choice(stems, 4)) for _ in range(30)]) for lang, stems in (("aa", ["tal", "mor", "kel"]), ("bb", ["zos", "pri", "wen"]))
+              for _ in range(30)]
+    model = L.Crf.fit(chains, L.Settings(rounds=30, buckets=1 << 12))
+    text = "".join(["tal"] * 12 + ["zos", "wen", "pri"] * 400 + ["mor"] * 12)
+    assert model.predict([text, "x²"])[0][0] == "bb" and model.predict(["x²"])[0][0] != "und"
