@@ -26,6 +26,8 @@ from featforge.session import cut_lineage
 
 AGGREGATES = ("sum", "mean", "count", "max", "min", "std")
 TRANSFORMS = ("DIFF", "CUM_SUM", "CUM_MEAN", "PERCENTILE")
+#: Values that the sketch of a column keeps when interesting ones are looked for.
+TRACKED = 1_000
 #: Aggregates of text and true/false columns, counted by (key, value) first.
 DISCRETE = {"mode": group_mode, "nunique": group_nunique, "normalized_mode_count": normalized_mode_count}
 
@@ -173,6 +175,47 @@ def define(es: EntitySet, agg: Sequence[str] = AGGREGATES, max_depth: int = 2,
     return out
 
 
+def interesting_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5, min_share: float = 0.01,
+                       tracked: int = TRACKED) -> DataFrame:
+    """``(column, value, rows, rank)``: the k most common non-null values of each text column that ``min_share`` of the rows hold.
+
+    One pass keeps a mergeable sketch of heavy hitters a column, of at most ``tracked`` values: every value of more than
+    ``rows / (0.75 * tracked)`` rows is in it, which must be no more than the share asked for. A second pass counts the k * 4 largest exactly,
+    so that errors of the sketch don't decide; ties go to the smaller value.
+    """
+    if min_share < 1 / (0.75 * tracked):
+        raise ValueError(f"a share of {min_share} needs more than {tracked} tracked values")
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)] if columns is None else list(columns)
+    empty = "column string, value string, rows bigint, rank int"
+    if not names:
+        return df.sparkSession.createDataFrame([], empty)
+    sketches = df.agg(F.count(F.lit(1)).alias("_rows"), *[
+        F.expr(f"approx_top_k(cast({quote(c)} as string), {min(4 * k, tracked)}, {tracked})").alias(f"_{i}") for i, c in enumerate(names)]).first()
+    found = {c: sorted({r["item"] for r in sketches[f"_{i}"] or [] if r["item"] is not None}) for i, c in enumerate(names)}
+    pairs = [(c, v) for c, values in found.items() for v in values]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], empty)
+    counts = [F.expr(f"count_if(cast({quote(c)} as string) = {literal(v)})") for c, v in pairs]
+    exact = df.agg(F.array(*counts).alias("n")).first()["n"]  # at most 4 * k for each column
+    rows, least = [], min_share * sketches["_rows"]
+    for c in names:
+        own = sorted((-n, v) for (col_, v), n in zip(pairs, exact) if col_ == c and n >= least)
+        rows += [(c, v, -n, i + 1) for i, (n, v) in enumerate(own[:k])]
+    return df.sparkSession.createDataFrame(rows, empty)
+
+
+def where_values(es: EntitySet, k: int = 5, min_share: float = 0.01) -> dict[str, dict[str, list[str]]]:
+    """What ``dfs`` takes as ``where``, found by ``interesting_values`` in the text columns of every child table."""
+    out: dict[str, dict[str, list[str]]] = {}
+    for name, entity in es.entities.items():
+        text = [f.name for f in entity.df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in es.skipped_columns(name)]
+        if name == es.root or not text:
+            continue
+        for r in interesting_values(entity.df, text, k, min_share).orderBy("column", "rank").collect():
+            out.setdefault(name, {}).setdefault(r["column"], []).append(r["value"])
+    return out
+
+
 def definitions_table(es: EntitySet, defs: Sequence[Feature]) -> DataFrame:
     spark = es.entities[es.root].df.sparkSession
     rows = [(f.name, f.fn, f.entity, f.column, f.base, f"{f.where[0]} = {f.where[1]}" if f.where else None, f.depth)

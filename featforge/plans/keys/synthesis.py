@@ -209,3 +209,29 @@ def dfs_mode(spark, sf_dir):
     es.add("orders", table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
     es.relate("customer", "c_custkey", "orders", "o_custkey")
     return D.dfs(es, ["count", "mode", "nunique", "longest"], max_depth=1, custom=registry.primitives())
+
+
+@key("interesting_values", " union all ".join(f"""
+select * from (select '{c}' as column, {c} as value, count(*)::bigint as rows, row_number() over (order by count(*) desc, {c})::int as rank
+               from lineitem where {c} is not null group by 2 qualify count(*) >= 0.05 * (select count(*) from lineitem)) where rank <= 3"""
+    for c in ("l_returnflag", "l_linestatus")) + """
+union all select * from (select 'key' as column, l_partkey::varchar as value, count(*)::bigint as rows, 1::int as rank from lineitem
+                         group by 2 having count(*) >= 0.05 * (select count(*) from lineitem)) where rank <= 3""")
+def interesting_values(spark, sf_dir):
+    """Heavy hitters by a sketch, counted exactly; a column without any gives none."""
+    df = table(spark, sf_dir, "lineitem", "l_returnflag", "l_linestatus", "l_partkey")
+    df = df.select("l_returnflag", "l_linestatus", F.col("l_partkey").cast("string").alias("key"))
+    return D.interesting_values(df, k=3, min_share=0.05)
+
+
+@key("dfs_where_found", "select c_custkey, coalesce(n, 0)::bigint as \"COUNT(orders)\", " + ", ".join(
+    f"coalesce(n_{v}, 0)::bigint as \"COUNT(orders WHERE o_orderstatus = {v})\"" for v in "FOP")
+    + " from customer left join (select o_custkey, count(*) as n, " + ", ".join(
+    f"count(*) filter (o_orderstatus = '{v}') as n_{v}" for v in "FOP") + " from orders group by 1) on c_custkey = o_custkey")
+def dfs_where_found(spark, sf_dir):
+    """Conditions that the synthesis finds by itself: the statuses that at least a tenth of the orders have."""
+    es = D.EntitySet("customer")
+    es.add("customer", table(spark, sf_dir, "customer", "c_custkey"), "c_custkey")
+    es.add("orders", table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey")
+    es.relate("customer", "c_custkey", "orders", "o_custkey")
+    return D.dfs(es, ["count"], max_depth=1, where=D.where_values(es, k=3, min_share=0.1))
