@@ -7,6 +7,7 @@ root by the application key. Column names of the sources are those of the public
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ EXTERNAL = ["EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3"]
 def manual_features(app: DataFrame, bureau: DataFrame | None = None, previous: DataFrame | None = None,
                     installments: DataFrame | None = None) -> DataFrame:
     """Ratios of the application plus loan, application and payment history of the same client."""
+    # Names and columns of the ratios.
     out = add_ratios(app, {
         "credit_income_ratio": ("AMT_CREDIT", "AMT_INCOME_TOTAL"),
         "annuity_income_ratio": ("AMT_ANNUITY", "AMT_INCOME_TOTAL"),
@@ -134,6 +136,7 @@ def clean_applications(train: DataFrame, test: DataFrame | None = None) -> DataF
         df = factorize(df, c, [KEY])[0]
     df = one_hot(df, null_category=False)[0]
     df = null_sentinel(df, ["DAYS_EMPLOYED"], UNKNOWN_DAYS)
+    # Names and columns of the ratios.
     return add_ratios(df, {
         "DAYS_EMPLOYED_PERC": ("DAYS_EMPLOYED", "DAYS_BIRTH"),
         "INCOME_CREDIT_PERC": ("AMT_INCOME_TOTAL", "AMT_CREDIT"),
@@ -189,12 +192,18 @@ def card_features(card: DataFrame) -> DataFrame:
 
 def clean_and_aggregate(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Seven tables to one matrix with a row per application; column names made safe for model libraries."""
-    matrix = assemble(
-        clean_applications(tables["application_train"], tables.get("application_test")),
-        [bureau_features(tables["bureau"], tables["bureau_balance"]), previous_features(tables["previous_application"]),
-         pos_features(tables["pos_cash_balance"]), installment_features(tables["installments_payments"]),
-         card_features(tables["credit_card_balance"])], KEY)
-    return sanitize_names(matrix)[0]
+    parts = [
+        lambda: clean_applications(tables["application_train"], tables.get("application_test")),
+        lambda: bureau_features(tables["bureau"], tables["bureau_balance"]),
+        lambda: previous_features(tables["previous_application"]),
+        lambda: pos_features(tables["pos_cash_balance"]),
+        lambda: installment_features(tables["installments_payments"]),
+        lambda: card_features(tables["credit_card_balance"]),
+    ]
+    # Each part looks up the categories of its own table first: small jobs that need not wait for one another.
+    with ThreadPoolExecutor(len(parts)) as pool:
+        root, *rest = [f.result() for f in [pool.submit(p) for p in parts]]
+    return sanitize_names(assemble(root, rest, KEY))[0]
 
 
 # Average everything ------------------------------------------------------------------------------------------------
@@ -222,6 +231,7 @@ def average_everything(tables: Mapping[str, DataFrame]) -> tuple[DataFrame, Data
         codes = factorize_map(train, c, [KEY])
         train, test = apply_codes(train, c, codes), apply_codes(test, c, codes)
     previous = tables["previous_application"]
+    # Prefixes of the averages and of the 0/1 columns.
     parts = [
         average_bureau(tables["bureau"], tables["bureau_balance"]),
         _averages(previous, KEY, [PREVIOUS_KEY], {c: c for c in string_columns(previous)}),

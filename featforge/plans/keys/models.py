@@ -4,6 +4,7 @@ Trainers differ, so fits on real features have no SQL. The keys named ``*_decide
 column ``debt`` decides the label, so folds, predictions, scores, importances and selected features follow by SQL.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from featforge.operators import models as L
@@ -193,3 +194,51 @@ from (select count(*) as n from customer group by c_acctbal < 0)""")
 def majority_baseline(spark, sf_dir):
     found = L.majority_baseline(decided(spark, sf_dir), "target")
     return spark.createDataFrame([(found["auc"], found["accuracy"], found["n_classes"])], "auc double, accuracy double, n_classes double")
+
+
+@key("predictions_written", """
+select c_custkey, (c_acctbal < 0)::int as target, (c_acctbal < 0)::int::double as probability from customer""")
+def predictions_written(spark, sf_dir):
+    """Predictions with their targets, written as CSV and read again."""
+    from featforge.sources.files import write_predictions
+    data = decided(spark, sf_dir)
+    scored = L.fit(data, _FLAGS, "target", "c_custkey", _ONE_SPLIT, "tree_gini").score(data, ["c_custkey", "target"])
+    path = scratch_path(spark, "predictions")
+    write_predictions(scored, path, "c_custkey", target="target")
+    return spark.read.csv(path, header=True, schema="c_custkey bigint, target int, probability double")
+
+
+@key("null_importance_decided", """
+select feature, (feature = 'debt')::int::double as real, 2::bigint as n_runs, feature = 'debt' as above_all
+from (select unnest(['debt', 'n_orders', 'rest']) as feature) where (select count(*) from customer) > 0""")
+def null_importance_decided(spark, sf_dir):
+    """The feature that tells the label, and only it, is worth more than under any permuted label."""
+    data = decided(spark, sf_dir)
+    real = L.tree_importance(data, _FLAGS, "target", "c_custkey", {"maxIter": 1, "maxDepth": 1})
+    null = L.null_importance(data, _FLAGS, "target", "c_custkey", 2, {"maxIter": 1, "maxDepth": 2}, seed=_PORTABLE)
+    null = null.groupBy("feature").agg(F.max("importance_gain").alias("most"), F.countDistinct("run").alias("n_runs"))
+    gain = F.coalesce("importance_gain", F.lit(0.0))
+    told = F.round(gain / F.sum(gain).over(Window.partitionBy()), 9).alias("real")  # three features
+    return real.join(null, "feature").select("feature", told, "n_runs", (gain > F.col("most")).alias("above_all"))
+
+
+@key("feature_subset", "select 5::int as n_chosen, 5::int as n_known, true as in_order, 5 * count(*)::bigint as n_values from customer")
+def feature_subset(spark, sf_dir):
+    """Half of the features, in their order, drawn once for a seed, and the values that they have."""
+    from featforge.operators.rollup import per_column
+    names = [f"f{i}" for i in range(10)]
+    chosen = L.feature_subset(names, 0.5, 42)
+    data = table(spark, sf_dir, "customer", "c_custkey").select(*[F.col("c_custkey").alias(n) for n in names])
+    held = per_column(data, chosen, {"n": lambda c: f"count({c})"}).agg(F.sum("n").alias("n_values"))
+    ordered = chosen == sorted(chosen) and chosen == L.feature_subset(names, 0.5, 42)
+    return held.select(F.lit(len(chosen)).alias("n_chosen"), F.lit(len(set(chosen) & set(names))).alias("n_known"), F.lit(ordered).alias("in_order"), "n_values")
+
+
+@key("select_and_evaluate_decided", """
+select 3::int as n_features, true as found, 1.0::double as oof_auc, 1.0::double as test_auc from customer limit 1""")
+def select_and_evaluate_decided(spark, sf_dir):
+    """Selection keeps the feature that tells the label, so that every fold and the untouched part are told apart."""
+    from featforge.plans.workflows import select_and_evaluate as job
+    out = job(decided(spark, sf_dir), _FLAGS, "target", "c_custkey", 2, 2, {"maxIter": 1, "maxDepth": 2}, seed=_PORTABLE)
+    return out.select("n_features", F.array_contains("selected", "debt").alias("found"), F.round("oof_auc", 9).alias("oof_auc"),
+                      F.round("test_auc", 9).alias("test_auc"))
