@@ -68,6 +68,46 @@ TEMPLATES = {
         commercial or non-commercial, and by any means.""",
 }
 
+#: Licenses whose texts are near to those above.
+RELATIVES = {
+    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+        THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+        version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+        warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.
+        You should have received a copy of the GNU Affero General Public License along with this program. If not, see
+        https://www.gnu.org/licenses/.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+        list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE
+        COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later
+        version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+        warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You
+        should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software
+        Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later
+        version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+        warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.
+        You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free
+        Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA""",
+    "LGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+        version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+        warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.
+        You should have received a copy of the GNU Lesser General Public License along with this program. If not, see
+        https://www.gnu.org/licenses/.""",
+}
+LIBRARY = TEMPLATES | RELATIVES
+
 #: Runs of words that tell a short template's license from others; of a short template that is not listed, all words do.
 IDENTIFYING = {
     "Apache-2.0-notice": ("Apache",),
@@ -77,6 +117,23 @@ IDENTIFYING = {
     "MIT-notice": ("MIT",),
 }
 
+#: Runs of words that no text of a license holds, but those of its relatives do.
+FOREIGN = {
+    "BSD-2-Clause": ("Neither the name",),
+    "GPL-2.0": ("Lesser General Public", "Library General Public", "Affero General Public"),
+    "GPL-3.0": ("Lesser General Public", "Library General Public", "Affero General Public"),
+    "LGPL-2.1": ("Affero General Public",),
+    "LGPL-3.0": ("Affero General Public",),
+    "AGPL-3.0": ("Lesser General Public",),
+}
+#: The version of a license, which is the number after one of ``VERSION_WORDS``.
+VERSIONS = {"AGPL-3.0": (3,), "Apache-2.0": (2,), "GPL-2.0": (2,), "GPL-3.0": (3,), "LGPL-2.1": (2, 1), "LGPL-3.0": (3,), "MPL-2.0": (2,)}
+VERSION_WORDS = ("version", "v")
+
+
+def _hashes(run: str) -> np.ndarray:
+    return next(X.chunks(pa.array([run]), X.PLAIN_LOWER)).word_hashes()
+
 
 def _contains(words: np.ndarray, run: np.ndarray) -> bool:
     return len(run) <= len(words) and bool((np.lib.stride_tricks.sliding_window_view(words, len(run)) == run).all(axis=1).any())
@@ -102,6 +159,9 @@ class Index:
     def __init__(self, templates: Mapping[str, str], shingle: int = SHINGLE, window: int = WINDOW,
                  identifying: Mapping[str, tuple[str, ...]] = IDENTIFYING):
         self.names, self.shingle = list(templates), shingle
+        self.foreign = {k: [_hashes(run) for run in FOREIGN.get(name, ())] for k, name in enumerate(self.names)}
+        self.versions = {k: VERSIONS[name] for k, name in enumerate(self.names) if name in VERSIONS}
+        self.version_words = np.concatenate([_hashes(w) for w in VERSION_WORDS])
         self.words: list[np.ndarray] = []
         #: Of each short template the hashes of its identifying runs, and the numbers in it.
         self.runs: dict[int, list[np.ndarray]] = {}
@@ -127,11 +187,13 @@ class Index:
         self.keys, self.of, self.place = keys[order], of[order], place[order]
 
     def names_license(self, of: int, t: X.Texts, words: np.ndarray, matches: int, begin: int, end: int) -> bool:
-        """Whether words [begin, end), aligned with a template, name its license; nothing is asked of long templates.
+        """Whether words [begin, end), aligned with a template, name its license.
 
-        Of a short one all words but one must match, its identifying runs must stand there, and no number that it has not:
+        They hold no run of words that only its relatives have, and no version but its own. Of a short template all words but one must match, its identifying runs must stand there, and no number that it has not:
         neither in the span nor right after one that stops before the template's last word.
         """
+        if any(_contains(words[begin:end], run) for run in self.foreign[of]) or not self._own_version(of, t, words, begin, end):
+            return False
         if of not in self.runs:
             return True
         template = self.words[of]
@@ -140,6 +202,21 @@ class Index:
         after = words[end - 1] != template[-1] and end < len(words) and t.doc[end] == t.doc[begin]
         return self.numbers[of].issuperset(_numbers(t, begin, end + after))
 
+    def _own_version(self, of: int, t: X.Texts, words: np.ndarray, begin: int, end: int) -> bool:
+        """Numbers after a word for versions are those of the license, zeros at the end aside; without numbers nothing is asked."""
+        if of not in self.versions:
+            return True
+        for at in (begin + np.flatnonzero(np.isin(words[begin:end], self.version_words))).tolist():
+            found, k = [], at + 1
+            while k < len(words) and t.doc[k] == t.doc[at] and (w := t.data[t.start[k]:t.end[k]].tobytes()).isdigit() and len(w) < 3 and len(found) < 3:
+                found.append(int(w))
+                k += 1
+            while found and found[-1] == 0:
+                found.pop()
+            if found and tuple(found) != self.versions[of]:
+                return False
+        return True
+
     def hits(self, t: X.Texts, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, template, place in it) of every shingle of the texts that the index has."""
         grams, at = X.ngrams(words, t.doc, self.shingle)
@@ -247,7 +324,7 @@ def scan(index: Index, t: X.Texts, coverage: float) -> list[tuple[int, str, floa
     return sorted(out, key=lambda r: (r[0], r[4], r[1]))
 
 
-def licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: float = COVERAGE, key: str = "doc_id",
+def licenses(docs: DataFrame, templates: Mapping[str, str] = LIBRARY, coverage: float = COVERAGE, key: str = "doc_id",
              text: str = "text") -> DataFrame:
     """A row for each license found in a text: key, license, coverage, n_matched, start, end.
 

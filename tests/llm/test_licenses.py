@@ -125,3 +125,23 @@ def test_short_notices_need_the_words_that_identify_them():
     for r in L.scan(L.Index(templates), t, L.COVERAGE):
         got[r[0]].append(r[1])
     assert dict(zip(texts, got)) == texts
+
+
+def test_relatives_and_other_versions_are_told_apart():
+    gpl, apache, mpl, bsd = (L.LIBRARY[k] for k in ("GPL-3.0", "Apache-2.0", "MPL-2.0", "BSD-3-Clause"))
+    texts = {
+        gpl: ["GPL-3.0"], gpl.replace("version 3", "version 2"): ["GPL-2.0"], L.LIBRARY["GPL-2.0"]: ["GPL-2.0"],
+        gpl.replace("General Public", "Lesser General Public"): ["LGPL-3.0"], gpl.replace("General Public", "Affero General Public"): ["AGPL-3.0"],
+        gpl.replace("General Public", "Library General Public").replace("version 3", "version 2"): [],
+        gpl.replace("General Public", "Lesser General Public").replace("version 3", "version 2.1"): ["LGPL-2.1"], L.LIBRARY["LGPL-2.1"]: ["LGPL-2.1"],
+        apache: ["Apache-2.0"], apache.replace("Version 2.0", "Version 1.1").replace("LICENSE-2.0", "LICENSE-1.1"): [],
+        apache.replace("Version 2.0", "Version 2"): ["Apache-2.0"], apache.replace(", Version 2.0", ""): ["Apache-2.0"],
+        mpl: ["MPL-2.0"], mpl.replace("v. 2.0", "v. 1.1").replace("MPL/2.0", "MPL/1.1"): [], mpl.replace("v. 2.0", "Version 1.1"): [],
+        bsd: ["BSD-3-Clause"], L.LIBRARY["BSD-2-Clause"]: ["BSD-2-Clause"], L.LIBRARY["0BSD"]: ["0BSD"], L.LIBRARY["ISC"]: ["ISC"],
+        f"{gpl} See version 2 of the manual": ["GPL-3.0"],
+    }
+    t, = X.chunks(pa.array(list(texts)), X.PLAIN_LOWER)
+    got = [[] for _ in texts]
+    for r in L.scan(L.Index(L.LIBRARY), t, L.COVERAGE):
+        got[r[0]].append(r[1])
+    assert got == list(texts.values())
