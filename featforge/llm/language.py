@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from featforge.llm.text import release
+
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_MAX_CACHED = 300_000
+_MAX_CACHED = 200_000
 #: Letters of the longest word; writing without spaces is read as words of so many letters.
 LONGEST = 40
 
@@ -270,6 +272,7 @@ def predict_language(docs: DataFrame, model: Crf, text: str = "text", prefix: st
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang), pa.array(score)],
                                                  [*[f.name for f in kept], *names])
                 low = high
+            release()
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
     schema = StructType([*kept, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
