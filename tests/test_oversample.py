@@ -101,3 +101,41 @@ def test_both_methods_make_equal_classes(spark):
     assert made[0] == made[1] and len(made[0]) == 240
     with pytest.raises(ValueError, match="neither"):
         smote(df, ["a"], "y", "id", method="other")
+
+
+def pairs(rows, k):
+    """What SQL gives: each pair of rows with different keys, by distance and the other key."""
+    out = {}
+    for a, *x in rows:
+        if a is not None and None not in x and np.isfinite(x).all():
+            out.setdefault(a, []).extend((float(np.sqrt(sum((u - v) ** 2 for u, v in zip(x, y)))), b) for b, *y in rows
+                                         if b is not None and b != a and None not in y and np.isfinite(y).all())
+    return {(a, rank): b for a, found in out.items() for rank, (_, b) in enumerate(sorted(found)[:k], 1)}
+
+
+@pytest.mark.parametrize("block", [8, 40])
+def test_exact_neighbours_in_many_cells(spark, monkeypatch, block):
+    """A widest feature of few values, ties, repeated keys and rows, rows without key or with features that aren't finite."""
+    monkeypatch.setattr(O, "BLOCKS", 1)
+    rng = np.random.default_rng(3)
+    rows = [(i, float(u), float(v)) for i, (u, v) in enumerate(zip(rng.integers(0, 6, 500) * 10, np.round(rng.random(500) * 3, 1)))]
+    rows += [*rows[:40], *[(i, 3.0, 1.0) for i in range(10)], (None, 1.0, 1.0), (900, None, 1.0), (901, 1.0, float("nan")), (902, float("inf"), 1.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double").repartition(7)
+    got = {(r["id"], r["rank"]): r["neighbour"] for r in nearest_neighbours(df, "id", ["a", "b"], 4, block).collect()}
+    assert got == pairs(rows, 4)
+
+
+@pytest.mark.parametrize("kind", ["few", "uniform"])
+def test_work_of_exact_neighbours_is_linear(monkeypatch, kind):
+    """Four times the rows are compared about four times, also where the widest feature has few values."""
+    work, rng, meet = [], np.random.default_rng(4), O._meet
+    monkeypatch.setattr(O, "_meet", lambda x, code, guests, hosts, *rest: work.append(len(guests) * len(hosts)) or meet(x, code, guests, hosts, *rest))
+    done = []
+    for n in (16_000, 64_000):
+        x = np.stack((rng.integers(0, 50, n) if kind == "few" else rng.random(n), rng.random(n)), 1).astype(float)
+        work.clear()
+        O._search(x, np.arange(n), np.arange(n), np.arange(n), 3, 64)
+        done.append(sum(work))
+    assert done[1] < 6 * done[0] and done[1] < 1000 * 64_000
+    cells = np.bincount(O._Cells(x, 16).of(x))
+    assert 16 <= cells[cells > 0].min() and len(cells[cells > 0]) > 64_000 // 64
