@@ -139,3 +139,29 @@ def test_work_of_exact_neighbours_is_linear(monkeypatch, kind):
     assert done[1] < 6 * done[0] and done[1] < 1000 * 64_000
     cells = np.bincount(O._Cells(x, 16).of(x))
     assert 16 <= cells[cells > 0].min() and len(cells[cells > 0]) > 64_000 // 64
+
+
+def test_places_of_many_rows(spark):
+    """Two thirds of the rows are at two places: they have the smallest ids there, and no task gets them all."""
+    df = spark.range(6_000).select("id", F.when(F.col("id") % 3 < 2, F.col("id") % 3).otherwise(F.rand(1) * 9).cast("double").alias("a")).repartition(8).cache()
+    hosts, rest = O._places(O._points(df, "id", ["a"]), 3)
+    assert hosts.count() == 2_000 + 2 * 4 and rest.count() == 3 * (4_000 - 8)
+    for found in (nearest_neighbours(df, "id", ["a"], 3, 64), O.hashed_neighbours(df, "id", ["a"], 3, leaf=64)):
+        got = {(r["id"], r["rank"]): r["neighbour"] for r in found.filter("id % 3 < 2").collect()}
+        assert len(got) == 3 * 4_000
+        for i in (0, 3, 3000, 1, 4, 3001):
+            assert [got[i, rank] for rank in (1, 2, 3)] == [j for j in range(i % 3, 15, 3) if j != i][:3]
+
+
+def test_coarse_buckets_of_a_sample(spark, monkeypatch):
+    """Cuts from a sample of a tenth of the rows, then cuts in the tasks: bucket sizes and recall hold, and a task has a bounded number of rows."""
+    monkeypatch.setattr(O, "BUCKETS", 4)
+    monkeypatch.setattr(O, "SAMPLE", 1_200)
+    names = ["a", "b", "c"]
+    df = spark.range(12_000).select("id", *[F.rand(i + 1).alias(n) for i, n in enumerate(names)]).repartition(8).cache()
+    points = O._points(df, "id", names)
+    rows, levels = O._coarse(points, 3, 4, 64, 1)
+    assert levels == 3 and rows.groupBy("t", "coarse", "share").count().agg(F.max("count")).first()[0] < 1_000
+    sizes = O._buckets(points, 3, 4, 64, 1).groupBy("t", "node", "part").count().agg(F.max("count"), F.sum("count")).first()
+    assert sizes[0] <= 2 * 64 and sizes[1] == 4 * 12_000
+    assert O.measured_recall(df, "id", names, O.hashed_neighbours(df, "id", names, 5, leaf=64)) >= 0.9
