@@ -132,11 +132,11 @@ def test_work_of_exact_neighbours_is_linear(monkeypatch, kind):
     monkeypatch.setattr(O, "_meet", lambda x, code, guests, hosts, *rest: work.append(len(guests) * len(hosts)) or meet(x, code, guests, hosts, *rest))
     done = []
     for n in (16_000, 64_000):
-        x = np.stack((rng.integers(0, 50, n) if kind == "few" else rng.random(n), rng.random(n)), 1).astype(float)
+        x = np.stack((rng.integers(0, 4, n) if kind == "few" else rng.random(n), rng.random(n)), 1).astype(float)
         work.clear()
         O._search(x, np.arange(n), np.arange(n), np.arange(n), 3, 64)
         done.append(sum(work))
-    assert done[1] < 6 * done[0] and done[1] < 1000 * 64_000
+    assert done[1] < 6 * done[0] and done[1] < 1500 * 64_000, done
     cells = np.bincount(O._Cells(x, 16).of(x))
     assert 16 <= cells[cells > 0].min() and len(cells[cells > 0]) > 64_000 // 64
 
