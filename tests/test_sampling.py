@@ -102,3 +102,21 @@ def test_a_class_for_each_row(spark):
     assert ids(M.sample_stratified(df, 3000, "y", "id")) == list(range(3000)) and ids(M.sample_stratified(df, 0, "y", "id")) == []
     assert M.assign_folds(df, 1, "id", stratify="y").filter("fold = 0").count() == 3000
     assert sorted(r.y for r in M.permute_label(df, "id", "y").collect()) == sorted(str(i) for i in range(3000))
+
+
+def test_select_and_evaluate_reads_its_table_once(spark):
+    """What the table is made from is computed once, however many fits follow."""
+    from pyspark.sql import functions as F
+
+    from featforge.plans.workflows import select_and_evaluate
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(200, numPartitions=4).select("id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 2 * 3 + F.col("id") % 3).cast("double").alias("a"),
+                                                  (F.col("id") % 7).cast("double").alias("b"))
+    out = select_and_evaluate(df.mapInArrow(mark, df.schema), ["a", "b"], "y", "id", 1, 2, {"maxIter": 1, "maxDepth": 2}).first()
+    assert out["n_features"] == 2 and seen.value == 200
