@@ -29,10 +29,22 @@ def _keys(keys: str | Sequence[str]) -> list[str]:
 
 
 def grouped(df: DataFrame, keys: str | Sequence[str], exprs: Mapping[str, str]) -> DataFrame:
-    """``groupBy.agg`` of named SQL texts. They travel as one struct, which the optimizer takes apart again."""
+    """``groupBy.agg`` of named SQL texts. They travel as one struct, which the optimizer takes apart again.
+
+    Distinct counts beside other aggregates are counted by themselves and joined: in one aggregate, the partial results of all
+    the others would be shuffled for each key and distinct value, and then again for each key.
+    """
     names = [quote(k) for k in _keys(keys)]
     if not exprs:
         return df.select(*names).distinct()
+    alone = {n: e for n, e in exprs.items() if e.startswith("count(distinct ")}
+    if names and alone and len(alone) < len(exprs):
+        out = grouped(df, keys, {n: e for n, e in exprs.items() if n not in alone})
+        for name, text in alone.items():
+            own = grouped(df, keys, {"_n": text}).toDF(*[f"_k{i}" for i in range(len(names))], "_n")
+            same = [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(_keys(keys))]
+            out = out.join(own, same, "left").withColumn(name, F.col("_n")).drop("_n", *own.columns)
+        return out.select(*names, *[quote(n) for n in exprs])
     fields = ", ".join(f"{e} as {quote(n)}" for n, e in exprs.items())
     return df.groupBy(*names).agg(F.expr(f"struct({fields})").alias("_agg")).select(*names, "_agg.*")
 

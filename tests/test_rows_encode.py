@@ -199,3 +199,14 @@ def test_fifty_thousand_categories_have_exact_slots(spark, tmp_path, monkeypatch
     want = sorted(tuple(r) for r in model.score(few, ["id"]).collect())
     model.save(spark, str(tmp_path / "wide"))
     assert sorted(tuple(r) for r in FittedModel.load(spark, str(tmp_path / "wide")).score(few, ["id"]).collect()) == want
+
+
+def test_distinct_counts_are_not_expanded_with_other_aggregates(spark):
+    """Beside other aggregates a distinct count is its own narrow one; keys may be null and columns keep their order."""
+    from featforge.operators.rollup import group_agg
+    df = spark.createDataFrame([(1, 1.0, 5.0), (1, 2.0, 5.0), (1, 2.0, 6.0), (None, 3.0, None), (2, None, 1.0)], "k int, a double, b double")
+    out = group_agg(df, "k", {"a": ["nunique", "sum"], "b": ["max", "nunique"]})
+    assert out.columns == ["k", "a_NUNIQUE", "a_SUM", "b_MAX", "b_NUNIQUE"]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, 2, 5.0, 6.0, 2), (None, 1, 3.0, None, 0), (2, 0, 0.0, 1.0, 1)], key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("distinct" in line and "sum(" in line for line in plan.splitlines())
