@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from featforge.llm import kneser_ney as K
+from featforge.llm import lookup as L
 from featforge.llm import text as X
 from featforge.llm import toxicity as T
 
@@ -95,3 +96,39 @@ def test_model_measures_pairs_by_length(spark):
     assert np.allclose(x[:4, 0], np.clip(excess[:4] / 2, -2, 2) * 10) and abs(x[4, 0] - np.clip(excess[4] / 100, -2, 2) * 10) < 1e-9
     score = model.score(x)
     assert min(score[0], score[2]) > max(score[1], score[3])
+
+
+def test_no_pair_is_left_out(spark):
+    """More than the 1,048,576 pairs that the models were once bounded to."""
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 3000, (1200, 1100))
+    df = spark.createDataFrame([(i % 2, " ".join(f"w{k}" for k in row)) for i, row in enumerate(ids.tolist())], "toxic int, text string").repartition(8)
+    pairs, words = K.count_pairs(df, lambda t: (*T._contexts(t), t.doc))
+    model = K.word_models(pairs, words, words.selectExpr("word", "both as shared"))
+    inner = np.unique(ids[:, :-1].astype(np.int64) * 3000 + ids[:, 1:])
+    assert len(inner) > 1 << 20
+    assert len(model.pairs[0]) == len(inner) + len(np.unique(ids[:, 0])) and len(model.words[0]) == 3000 and len(model.contexts[0]) == 3001
+
+
+def test_tasks_find_what_the_driver_finds(spark, monkeypatch):
+    """Blocks of several tasks and many slices; texts without words, null and equal ones, unknown words, repeated and null ids."""
+    monkeypatch.setattr(L, "SLICE", 16)
+    rng = np.random.default_rng(4)
+    text = lambda c, n: " ".join(f"{c}{k}" for k in rng.zipf(1.3, n) if k < 200)
+    rows = [(i, text("ab"[i % 4 == 0] if i % 3 else "c", 12), int(i % 4 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").repartition(3)
+    model = T.fit_toxicity(df, df)
+    docs = [*[r[:2] for r in rows[:90]], rows[0][:2], (500, None), (501, ""), (502, "zz yy zz"), (None, "a1 b1 c1"), (503, "a1 b1 c1")]
+    got = T.score_toxicity(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), model)
+    (t,) = X.chunks(pa.array([d[1] for d in docs]), X.PLAIN_LOWER)
+    excess, x = model.measure(t, model.models.whole())
+    want = [(d[0], round(s, 9), round(e, 6)) for d, s, e in zip(docs, model.score(x).tolist(), excess.tolist())]
+    assert sorted(want, key=str) == sorted(((r.doc_id, round(r.score, 9), round(r.excess, 6)) for r in got.collect()), key=str)
+    assert np.allclose(model.measure(t)[0], excess)
+
+
+def test_numbers_come_back():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 1000, np.uint64))
+    assert (L.unmix(X.mix(keys)) == keys).all()
+    for some in (keys, keys[:1], np.unique(keys >> np.uint64(50)), keys[[0, -1]]):
+        assert (L.unpack(L.pack(some)) == some).all()
